@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from evidra.llm import simhash, token_counts
+from evidra.llm import fingerprints, line_dedup, mixing, quality_rules, simhash, token_counts
 
-QUERIES = {f.__name__: f for f in (token_counts.op2_token_counts, simhash.op3_simhash_golay)}
-SQL: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        fingerprints.op1_iblt_fingerprints,
+        token_counts.op2_token_counts,
+        simhash.op3_simhash_golay,
+        line_dedup.op5_line_dedup,
+        mixing.op6_pareto_mixing,
+        quality_rules.op7_quality_rules,
+    )
+}
+SQL: dict[str, str] = {"op5_line_dedup": line_dedup.OP5_SQL, "op6_pareto_mixing": mixing.OP6_SQL}
