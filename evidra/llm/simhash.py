@@ -176,3 +176,109 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
 
 def op3_simhash_golay(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
+
+
+# --- near copies by the similarity of their shingles -------------------------------------------------
+
+#: Anchors of a text (least shingle hashes under as many orders) and least hashes kept to estimate similarity.
+ANCHORS, SKETCH = 8, 256
+#: An anchor shared by more texts than this is parted by the Golay indices of the fingerprints' segments.
+FEW = 24
+
+
+def _mix(x: np.ndarray, salt: int) -> np.ndarray:
+    x = x + np.uint64(salt * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def signatures(docs: DataFrame, words: int) -> DataFrame:
+    """(id, fp, same, anchors, sketch) of docs (doc_id, text): `same` is a hash of the words in order, equal for copies."""
+
+    def run(batches):
+        for whole in batches:
+            for b in byte_chunks(whole, 1):
+                fp, same, anchors, sketch = [], [], [], []
+                for t in b.column(1).to_pylist():
+                    h = shingle_hashes(t or "", words)
+                    u = np.unique(np.array(h, np.uint64))
+                    fp.append(simhash(h))
+                    same.append(xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 1))
+                    anchors.append([int(_mix(u, k + 1).min().view(np.int64)) for k in range(ANCHORS)] if len(u) else [])
+                    low = np.unique(_mix(u, 0) >> np.uint64(33)).astype(np.int32)  # 31 bits
+                    sketch.append(low[:SKETCH].tolist())
+                ints = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, same)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *ints, pa.array(anchors, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int32()))], names=["id", "fp", "same", "anchors", "sketch"])
+
+    return docs.select(doc_key().alias("id"), "text").mapInArrow(run, "id long, fp long, same long, anchors array<long>, sketch array<int>")
+
+
+def _pairs(rows: DataFrame) -> DataFrame:
+    """(a, b) candidates of rows (key, rep): all pairs of a key of at most FEW, else each with the least and the greatest."""
+    size = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("n > 1")
+    members = rows.join(size, "key")
+    few, many = members.where(F.col("n") <= FEW), members.where(F.col("n") > FEW)
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
+    stars = many.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("rep").alias("b")).where("a != b")
+    return pairs.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, same, rep) groups of docs (doc_id, text): rep is the least id of the group of copies and near copies.
+
+    Texts whose shingle sets (of `words` words) have a Jaccard similarity of `similarity` or more are
+    linked. Candidates come from the Golay keys of their SimHash fingerprints (within two bits) and from
+    anchors: shingles least under a hash, which two texts share with a probability of their similarity. An
+    anchor that many texts share (a common passage, a large group of copies) is parted by Golay indices of
+    the fingerprint's segments, of which near fingerprints share some; parts that stay large are compared
+    with two of their texts each. Similarity is that of the SKETCH least shingle hashes: exact up to so many
+    different shingles, else an estimate. Exact copies are one node whatever their number.
+    """
+    sig = written(signatures(docs, words), "signatures")
+    reps = sig.groupBy("same").agg(F.min("id").alias("rep"))
+    node = written(sig.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "rep"), "nodes")
+    by_fp = node.groupBy("fp").agg(F.min("rep").alias("rep"))
+    found = [links(by_fp), node.join(by_fp.withColumnRenamed("rep", "b"), "fp").where("rep != b").select(F.col("rep").alias("a"), "b")]
+    anchored = node.select("rep", "fp", F.explode(F.expr("transform(anchors, (x, i) -> xxhash64(x, i))")).alias("key"))
+    size = anchored.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = written(anchored.join(size, "key"), "anchors")
+    found.append(_pairs(members.where(F.col("n") <= FEW).select("key", "rep")))
+
+    def parted(batches):
+        for b in batches:
+            key, rep, fp = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            f, at, out = fp.view(np.uint64), 0, []
+            for k, n in enumerate(SEGMENTS):
+                idx, mask = golay_indices((f >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64))
+                r, c = np.nonzero(mask)
+                out.append((r, _mix(key[r].view(np.uint64) ^ (np.uint64(k) << np.uint64(12) | idx[r, c].astype(np.uint64)), 5).view(np.int64)))
+                at += n
+            r, k = (np.concatenate(z) for z in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(rep[r])], names=["key", "rep"])
+
+    found.append(_pairs(members.where(F.col("n") > FEW).select("key", "rep", "fp").mapInArrow(parted, "key long, rep long")))
+    pairs = found[0]
+    for p in found[1:]:
+        pairs = pairs.union(p)
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    left = pairs.join(node.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(node.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
+    # of the least hashes of both, the share that both have
+    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
+    both = F.size(F.array_intersect(F.array_intersect("u", "x"), "y")) / F.size("u")
+    edges = left.withColumn("u", union).where((F.size("u") > 0) & (both >= similarity)).select("a", "b")
+    comp = components(edges)
+    reps = reps.join(comp, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("rep"))
+    return sig.select("id", "same").join(reps, "same")
+
+
+def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs (all columns) with one document of each group of near copies: that of the least doc_id.
+
+    Texts without words are copies of each other. A null doc_id counts as the least; rows that share a doc_id
+    stay or go together. An empty table stays empty.
+    """
+    gone = near_copies(docs, words, similarity).where("id != rep").select("id").distinct()
+    keep = written(gone, "gone")
+    return docs.join(keep.withColumnRenamed("id", "_gone_id").hint("shuffle_hash"), doc_key() == F.col("_gone_id"), "left_anti")

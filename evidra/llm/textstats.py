@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame
@@ -50,13 +52,20 @@ class Batch:
         first[1:] &= blank[:-1]
         self.word_start = np.nonzero(first)[0]
         self.doc = np.searchsorted(self.start, self.word_start, "right") - 1
-        place = np.arange(len(self.bytes)) - (self.word_start[np.cumsum(first) - 1] if len(self.word_start) else 0)
-        val = (self.bytes.astype(np.uint64) + np.uint64(1)) * mix64(place.astype(np.uint64) * _A + _B)
-        val[blank] = 0
-        self.ids = mix64(np.add.reduceat(val, self.word_start)) if len(self.word_start) else np.zeros(0, np.uint64)
+        self.first = first
         self.blank = blank
         self.n_words = np.bincount(self.doc, minlength=self.n)
 
+    @cached_property
+    def ids(self) -> np.ndarray:
+        """The words' hashes."""
+        if not len(self.word_start):
+            return np.zeros(0, np.uint64)
+        place = np.arange(len(self.bytes)) - self.word_start[np.maximum(np.cumsum(self.first) - 1, 0)]
+        val = (self.bytes.astype(np.uint64) + np.uint64(1)) * mix64(place.astype(np.uint64) * _A + _B)
+        val[self.blank] = 0
+        return mix64(np.add.reduceat(val, self.word_start))
+
     def total(self, flags: np.ndarray) -> np.ndarray:
         """Sums by text of a value for each byte."""
         s = np.concatenate([[0], np.cumsum(flags)])
