@@ -18,7 +18,7 @@ BITS, WIDE, HIDDEN = 14, 8, 8
 #: Leading bytes of a word that are inputs of their own.
 HEADS = (4, 5, 6, 7)
 #: Labelled rows of each label that the network is fitted on, and the longest of them in code points.
-PER_LABEL, MAX_CHARS = 1200, 20_000
+PER_LABEL, MAX_CHARS = 900, 12_000
 #: Labels of rows with this remainder of crc32(doc_id) by 4 are never learnt.
 HELD_OUT = (4, 2)
 
@@ -217,7 +217,7 @@ class Network:
                 self.p[k] = self.p[k] - lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
 
 
-def fit(texts: list[str], y: list[int], rounds: int = 3, steps: int = 160) -> Network:
+def fit(texts: list[str], y: list[int], rounds: int = 2, steps: int = 130) -> Network:
     """Fit on texts with labels by multiple-instance learning: a toxic text has some toxic window, a clean one none.
 
     The first round takes the windows of toxic texts whose inputs lean most to toxic texts (by smoothed log
@@ -229,12 +229,16 @@ def fit(texts: list[str], y: list[int], rounds: int = 3, steps: int = 160) -> Ne
         net.slope, net.shift = 0.0, 4.0 if sum(y) else -4.0
         return net
     y = np.array(y)
-    batch = Batch(texts)
-    slots = inputs(batch)
-    first, size, text = windows(batch)
+    parts, words = [], 0
+    for i in range(0, len(texts), 64):  # a few texts at a time: of a batch, only slots and windows stay
+        batch = Batch(texts[i : i + 64])
+        f, n, t = windows(batch)
+        parts.append((inputs(batch), batch.doc + i, f + words, n, t + i))
+        words += len(batch.doc)
+    slots, doc, first, size, text = map(np.concatenate, zip(*parts))
     lean = np.zeros(len(slots))
     for k in range(slots.shape[1]):
-        pair = np.unique(batch.doc.astype(np.int64) << BITS | slots[:, k])
+        pair = np.unique(doc.astype(np.int64) << BITS | slots[:, k])
         d, s = pair >> BITS, pair & (1 << BITS) - 1
         hold = [np.bincount(s[y[d] == c], minlength=1 << BITS) for c in (0, 1)]
         odds = np.log((hold[1] + 0.5) / ((y == 1).sum() + 1)) - np.log((hold[0] + 0.5) / ((y == 0).sum() + 1))
