@@ -16,8 +16,17 @@ SPACE = r"(?U)[\s\x1c-\x1f]"
 TOKEN = r"(?U)[\w.+#/\-]+"
 
 
+def arrow(schema: str):
+    """A vectorised function that becomes a UDF when it is called, so that modules import without a session."""
+
+    def made(f):
+        return lambda *columns: F.pandas_udf(f, schema)(*columns)
+
+    return made
+
+
 def _normal(form: str):
-    @F.pandas_udf("string")
+    @arrow("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unicodedata.normalize(form, t))
 
@@ -54,7 +63,7 @@ def protected_tokens(col: Column) -> Column:
     return F.filter(F.regexp_extract_all(col, F.lit(f"({TOKEN})"), 1), lambda t: t.rlike(r"(?U)[\p{L}\p{N}]"))
 
 
-@F.pandas_udf("array<struct<text:string,is_protected:boolean>>")
+@arrow("array<struct<text:string,is_protected:boolean>>")
 def _parts(s: pd.Series) -> pd.Series:
     import re
 
@@ -118,15 +127,7 @@ def grams(col: Column, n: int) -> Column:
     return F.when(F.length(col) >= n, F.transform(F.sequence(F.lit(1), F.length(col) - (n - 1)), lambda i: F.substring(col, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
-def _counts(grams_: Column) -> Column:
-    """Sorted grams numbered within equal ones, so that multisets become sets: gram, 0; gram, 1; ..."""
-    step = lambda acc, g: F.struct(
-        F.when(acc.last == g, acc.n + 1).otherwise(0).alias("n"), g.alias("last"), F.concat(acc.out, F.array(F.concat(g, F.lit("\x00"), F.when(acc.last == g, acc.n + 1).otherwise(0).cast("string")))).alias("out")
-    )
-    return F.aggregate(F.array_sort(grams_), F.struct(F.lit(0).alias("n"), F.lit(None).cast("string").alias("last"), F.array().cast("array<string>").alias("out")), step, lambda a: a.out)
-
-
-@F.pandas_udf("struct<score:double,scores:array<struct<n:int,weight:double,left_count:int,right_count:int,dice:double>>,warning:string>")
+@arrow("struct<score:double,scores:array<struct<n:int,weight:double,left_count:int,right_count:int,dice:double>>,warning:string>")
 def _dice(left: pd.Series, right: pd.Series) -> pd.DataFrame:
     from collections import Counter
 
@@ -161,7 +162,7 @@ def simhash_bits(bit_sums: Column) -> Column:
     return F.lpad(F.lower(F.conv(bits, 2, 16)), 16, "0")
 
 
-@F.pandas_udf("string")
+@arrow("string")
 def _simhash(s: pd.Series) -> pd.Series:
     import hashlib
     from collections import Counter
