@@ -13,7 +13,7 @@ from evidra.llm.textstats import Batch, labelled_sample, one_label, sigmoid
 #: Weights of each kind of feature (words, word pairs, byte n-grams) as a power of two.
 BITS = 15
 #: Labelled rows of each label that the classifier is fitted on, and the longest of them in code points.
-PER_LABEL, MAX_CHARS = 1500, 20_000
+PER_LABEL, MAX_CHARS = 600, 20_000
 #: A document is kept at this calibrated probability or more.
 THRESHOLD = 0.5
 _SCALE = 20.0
@@ -39,6 +39,15 @@ def features(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return both // (4 << BITS), both % (4 << BITS), np.bincount(at, v)
 
 
+def many_features(texts: list[str], step: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features of many texts, made a few at a time so that the driver holds the distinct ones only."""
+    parts = []
+    for i in range(0, len(texts), step):
+        r, s, v = features(Batch(texts[i : i + step]))
+        parts.append(((r + i).astype(np.int32), s.astype(np.int32), v.astype(np.float32)))
+    return tuple(map(np.concatenate, zip(*parts)))
+
+
 class Model:
     """Logistic regression with Platt calibration."""
 
@@ -51,7 +60,7 @@ class Model:
         if len(set(y)) < 2:
             p = (sum(y) + 1.0) / (len(y) + 2.0) if y else 1.0
             return cls(np.zeros(3 << BITS), 0.0, 0.0, float(np.log(p / (1 - p + 1e-12) + 1e-12)))
-        text, slot, val = features(Batch(texts))
+        text, slot, val = many_features(texts)
         y = np.array(y, float)
         test = np.arange(len(y)) % 5 == 4
         if len(set(y[~test])) < 2 or len(set(y[test])) < 2:
@@ -120,8 +129,7 @@ def base_failed(base: dict[str, np.ndarray], min_words: int = 50, repeat_share:
 def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_chars: int = MAX_CHARS) -> Model:
     """The classifier of labels.quality, fitted on a bounded sample of the labelled rows of docs, without those that fail the base rules."""
     rows = labelled_sample(docs, one_label(labels, "quality"), per_label, max_chars)
-    failed = base_failed(Batch([r[0] for r in rows]).base_counts()) if rows else []
-    rows = [r for r, bad in zip(rows, failed) if not bad]
+    rows = [r for i in range(0, len(rows), 64) for r, bad in zip(rows[i : i + 64], base_failed(Batch([r[0] for r in rows[i : i + 64]]).base_counts())) if not bad]
     return Model.fit([r[0] for r in rows], [r[1] for r in rows])
 
 
