@@ -188,9 +188,12 @@ def new_versions(drafts: DataFrame, versions: DataFrame) -> DataFrame:
 def edit_criteria(criteria: Column, edits: dict[str, str | None], add: list[tuple[str, str]] = ()) -> Column:
     """Criteria with texts replaced (None deletes) and (id, text) pairs appended."""
     out = F.filter(criteria, lambda c: ~c.criterion_id.isin(*[k for k, v in edits.items() if v is None])) if any(v is None for v in edits.values()) else criteria
+    def rewritten(k, v):
+        return lambda c: F.struct(c.criterion_id.alias("criterion_id"), F.when(c.criterion_id == k, F.lit(v)).otherwise(c.criterion_text).alias("criterion_text"), c["rule"].alias("rule"))
+
     for k, v in edits.items():
         if v is not None:
-            out = F.transform(out, lambda c, k=k, v=v: F.struct(c.criterion_id.alias("criterion_id"), F.when(c.criterion_id == k, F.lit(v)).otherwise(c.criterion_text).alias("criterion_text"), c["rule"].alias("rule")))
+            out = F.transform(out, rewritten(k, v))
     for k, v in add:
         out = F.concat(out, F.array(F.struct(F.lit(k).alias("criterion_id"), F.lit(v).alias("criterion_text"), F.lit(None).cast("string").alias("rule"))))
     return out
