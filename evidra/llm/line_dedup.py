@@ -192,7 +192,7 @@ class LineIndex:
     def delete(self, ids: DataFrame) -> LineIndex:
         """The index without the documents of ids (doc_id)."""
         gone = ids.select(doc_key().alias("id")).distinct()
-        return self._changed(written(self.posts.join(gone, "id", "left_anti"), "postings"))
+        return self._changed(written(self.posts.join(gone, "id", "left_anti").select("h1", "h2", "id"), "postings"))
 
     def drops(self) -> DataFrame:
         """(id, keys): the keys that each document loses; a document holds no more of them than it has lines."""

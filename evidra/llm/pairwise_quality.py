@@ -57,7 +57,7 @@ def features(batch: Batch) -> np.ndarray:
     slot = (batch.grams(2) & np.uint32((1 << GRAM_BITS) - 1)).astype(np.int64)
     inside = np.concatenate([np.arange(a, b) for a, b in zip(batch.start, batch.end)] or [np.zeros(0, np.int64)])
     owner = np.repeat(np.arange(batch.n), batch.end - batch.start)
-    grams = np.bincount(owner << GRAM_BITS | slot[inside], minlength=batch.n << GRAM_BITS).reshape(batch.n, -1) / size[:, None]
+    grams = np.bincount(owner << GRAM_BITS | slot[inside], minlength=batch.n << GRAM_BITS).reshape(batch.n, 1 << GRAM_BITS) / size[:, None]
     return np.concatenate([np.stack(cols, 1), np.sqrt(grams)], 1)
 
 
