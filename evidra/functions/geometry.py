@@ -8,46 +8,53 @@ from pyspark.sql import functions as F
 BOX = "struct<shape:string,x_min:double,y_min:double,x_max:double,y_max:double,center_x:double,center_y:double,width:double,height:double,error:string>"
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def bounds(bbox: Column) -> Column:
     """Geometry of a JSON text [l, t, r, b] or [[x, y], ...]; `error` says what is wrong with others.
 
     Numbers in quotes and booleans are not numbers; what is not JSON is of an invalid type.
     """
-    v = F.try_parse_json(bbox)
-    kind = F.schema_of_variant(v)
-    items = F.try_variant_get(v, "$", "array<variant>")
-    none = lambda e: F.lit(e)
-    nested = lambda x: F.schema_of_variant(x).startswith("ARRAY")
-    number = lambda x: F.schema_of_variant(x).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$")
+    is_list = lambda x: F.schema_of_variant(x).startswith("ARRAY")
+    is_number = lambda x: F.schema_of_variant(x).rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL.*|INT|SMALLINT|TINYINT)$")
     value = lambda x: F.try_variant_get(x, "$", "double")
-    point = lambda x: F.try_variant_get(x, "$", "array<variant>")
     finite = lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))
-    has_nested, has_scalar = F.exists(items, nested), F.exists(items, lambda x: ~nested(x))
-    flat = F.transform(items, value)
-    bad_flat = F.exists(items, lambda x: ~number(x))
-    pairs = F.transform(items, point)
-    bad_point = F.exists(pairs, lambda p: p.isNull() | (F.size(p) != 2))
-    bad_pair = F.exists(pairs, lambda p: F.exists(p, lambda x: ~number(x)))
-    xs, ys = F.transform(pairs, lambda p: value(p[0])), F.transform(pairs, lambda p: value(p[1]))
-    error = (
-        F.when(bbox.isNull() | (F.trim(bbox) == "null"), none("bbox_missing"))
-        .when(v.isNull() | ~kind.startswith("ARRAY"), none("bbox_invalid_type"))
-        .when(F.size(items) == 0, none("bbox_empty"))
-        .when(has_nested & has_scalar, none("bbox_mixed_format"))
-        .when(~has_nested & (F.size(items) != 4), none("bbox_invalid_flat_count"))
-        .when(~has_nested & bad_flat, none("bbox_invalid_number"))
-        .when(~has_nested & F.exists(flat, lambda x: ~finite(x)), none("bbox_non_finite"))
-        .when(~has_nested & ((flat[2] < flat[0]) | (flat[3] < flat[1])), none("bbox_negative_size"))
-        .when(has_nested & bad_point, none("bbox_invalid_point"))
-        .when(has_nested & bad_pair, none("bbox_invalid_number"))
-    )
-    pick = lambda a, b: F.when(error.isNull(), F.when(has_nested, b).otherwise(a))
-    x0, y0 = pick(flat[0], F.array_min(xs)), pick(flat[1], F.array_min(ys))
-    x1, y1 = pick(flat[2], F.array_max(xs)), pick(flat[3], F.array_max(ys))
-    return F.struct(
-        pick(F.lit("ltrb"), F.lit("polygon")).alias("shape"), x0.alias("x_min"), y0.alias("y_min"), x1.alias("x_max"), y1.alias("y_max"),
-        ((x0 + x1) / 2).alias("center_x"), ((y0 + y1) / 2).alias("center_y"), (x1 - x0).alias("width"), (y1 - y0).alias("height"), error.alias("error"),
-    )
+
+    def parsed(s):
+        items = F.try_variant_get(s.v, "$", "array<variant>")
+        return let(F.struct(s.v.alias("v"), s.t.alias("t"), items.alias("items"), F.exists(items, is_list).alias("nested"), F.exists(items, lambda x: ~is_list(x)).alias("scalar")), checked)
+
+    def checked(p):
+        points = F.transform(p["items"], lambda x: F.try_variant_get(x, "$", "array<variant>"))
+        return let(F.struct(p.v.alias("v"), p.t.alias("t"), p["items"].alias("items"), p.nested.alias("nested"), p.scalar.alias("scalar"), points.alias("points"), F.when(~p.nested, F.transform(p["items"], value)).alias("flat")), measured)
+
+    def measured(p):
+        wide = F.exists(p.points, lambda q: q.isNull() | (F.size(q) != 2))
+        error = (
+            F.when(p.t.isNull() | (F.trim(p.t) == "null"), "bbox_missing").when(p.v.isNull() | ~is_list(p.v), "bbox_invalid_type").when(F.size(p["items"]) == 0, "bbox_empty")
+            .when(p.nested & p.scalar, "bbox_mixed_format").when(~p.nested & (F.size(p["items"]) != 4), "bbox_invalid_flat_count").when(~p.nested & F.exists(p["items"], lambda x: ~is_number(x)), "bbox_invalid_number")
+            .when(~p.nested & F.exists(p.flat, lambda x: ~finite(x)), "bbox_non_finite").when(~p.nested & ((p.flat[2] < p.flat[0]) | (p.flat[3] < p.flat[1])), "bbox_negative_size")
+            .when(p.nested & wide, "bbox_invalid_point").when(p.nested & F.exists(p.points, lambda q: F.exists(q, lambda x: ~is_number(x))), "bbox_invalid_number")
+        )
+        xs, ys = (F.when(p.nested & ~wide, F.transform(p.points, at)) for at in (lambda q: value(q[0]), lambda q: value(q[1])))
+        return let(F.struct(error.alias("error"), p.nested.alias("nested"), p.flat.alias("flat"), xs.alias("xs"), ys.alias("ys")), framed)
+
+    def framed(m):
+        ok = m.error.isNull()
+        side = lambda flat, polygon: F.when(ok, F.when(m.nested, polygon).otherwise(flat))
+        four = (side(m.flat[0], F.array_min(m.xs)), side(m.flat[1], F.array_min(m.ys)), side(m.flat[2], F.array_max(m.xs)), side(m.flat[3], F.array_max(m.ys)))
+        return let(F.struct(F.when(ok, F.when(m.nested, "polygon").otherwise("ltrb")).alias("shape"), *(c.alias(n) for c, n in zip(four, ("x0", "y0", "x1", "y1"))), m.error.alias("error")), whole)
+
+    def whole(r):
+        return F.struct(
+            r["shape"].alias("shape"), r.x0.alias("x_min"), r.y0.alias("y_min"), r.x1.alias("x_max"), r.y1.alias("y_max"),
+            ((r.x0 + r.x1) / 2).alias("center_x"), ((r.y0 + r.y1) / 2).alias("center_y"), (r.x1 - r.x0).alias("width"), (r.y1 - r.y0).alias("height"), r.error.alias("error"),
+        )
+
+    return let(F.struct(bbox.alias("t"), F.try_parse_json(bbox).alias("v")), parsed)
 
 
 def effective_height(g: Column) -> Column:

@@ -11,7 +11,7 @@ import json
 import math
 import unicodedata
 from bisect import insort
-from statistics import mean, median
+from statistics import median
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,19 +46,15 @@ class Failure(Exception):
 
 
 class Rect:
-    """A box's bounds. Numbers in quotes and booleans are not numbers."""
+    """A box's bounds, centre and size; heights under one count as one in `tall`."""
 
-    __slots__ = ("x0", "y0", "x1", "y1")
+    __slots__ = ("x0", "y0", "x1", "y1", "width", "height", "tall", "cx", "cy", "area")
 
     def __init__(self, x0, y0, x1, y1):
         self.x0, self.y0, self.x1, self.y1 = x0, y0, x1, y1
-
-    width = property(lambda r: r.x1 - r.x0)
-    height = property(lambda r: r.y1 - r.y0)
-    tall = property(lambda r: max(1.0, r.y1 - r.y0))
-    cx = property(lambda r: (r.x0 + r.x1) / 2)
-    cy = property(lambda r: (r.y0 + r.y1) / 2)
-    area = property(lambda r: r.width * r.height)
+        self.width, self.height = x1 - x0, y1 - y0
+        self.tall = max(1.0, self.height)
+        self.cx, self.cy, self.area = (x0 + x1) / 2, (y0 + y1) / 2, self.width * self.height
 
 
 def _number(v) -> float:
@@ -226,9 +222,16 @@ def duplicates(boxes: list[dict], c: dict) -> tuple[list[dict], int]:
 # --- reading orders --------------------------------------------------------------------------------------
 
 
+def _middle(values: list[float]) -> float:
+    n = len(values)
+    return values[n // 2] if n % 2 else (values[n // 2 - 1] + values[n // 2]) / 2
+
+
 class _Line:
     """A line as it grows: sorted centres and heights give running medians."""
 
+    __slots__ = ("members", "centers", "heights", "top", "left", "source", "center", "height")
+
     def __init__(self, b: dict):
         self.members, self.centers, self.heights = [], [], []
         self.top, self.left, self.source = math.inf, math.inf, (math.inf, "")
@@ -239,12 +242,12 @@ class _Line:
         self.members.append(b)
         insort(self.centers, r.cy)
         insort(self.heights, r.tall)
-        self.top, self.left = min(self.top, r.y0), min(self.left, r.x0)
-        self.source = min(self.source, source_key(b)) if len(self.members) > 1 else source_key(b)
+        self.center, self.height = _middle(self.centers), _middle(self.heights)
+        self.top, self.left, self.source = min(self.top, r.y0), min(self.left, r.x0), min(self.source, source_key(b))
 
-    center = property(lambda s: float(median(s.centers)))
-    height = property(lambda s: float(median(s.heights)))
-    place = property(lambda s: (s.center, s.top, s.left, *s.source))
+    @property
+    def place(self):
+        return (self.center, self.top, self.left, *self.source)
 
 
 def median_lines(boxes: list[dict], c: dict) -> tuple[list[list[dict]], float | None]:
@@ -258,13 +261,15 @@ def median_lines(boxes: list[dict], c: dict) -> tuple[list[list[dict]], float |
     tall = float(median(b["rect"].tall for b in boxes))
     least = min(c["line_tolerance_max_px"], max(c["line_tolerance_min_px"], tall * c["line_tolerance_height_ratio"]))
     lines: list[_Line] = []
+    pair, share = c["line_pair_height_ratio"], c["same_line_vertical_overlap_ratio"]
     for b in sorted(boxes, key=lambda b: ((r := b["rect"]).cy, r.y0, r.x0, r.y1, r.x1, *source_key(b))):
         r, best = b["rect"], None
+        cy, y0, y1, tall_ = r.cy, r.y0, r.y1, r.tall
         for k, line in enumerate(lines):
             mid, high = line.center, line.height
-            away = abs(r.cy - mid)
-            over = max(0.0, min(r.y1, mid + high / 2) - max(r.y0, mid - high / 2)) / min(r.tall, high)
-            if away <= max(least, min(r.tall, high) * c["line_pair_height_ratio"]) or over >= c["same_line_vertical_overlap_ratio"]:
+            away, low = abs(cy - mid), min(tall_, high)
+            over = max(0.0, min(y1, mid + high / 2) - max(y0, mid - high / 2)) / low
+            if away <= max(least, low * pair) or over >= share:
                 rank = (away, -over, *line.place, k)
                 best = rank if best is None or rank < best else best
         if best is None:
@@ -275,17 +280,20 @@ def median_lines(boxes: list[dict], c: dict) -> tuple[list[list[dict]], float |
     return [sorted(s.members, key=lambda b: ((r := b["rect"]).x0, r.cy, r.y0, r.x1, r.y1, *source_key(b))) for s in lines], tall
 
 
-def mean_lines(items: list[tuple], floor: float = 8.0, ratio: float = 0.5) -> list[list[tuple]]:
-    """Lines of (center, height, ...) items in their order: an item joins the first line within max(floor, ratio * lesser height) of its mean centre."""
-    lines: list[list[tuple]] = []
+def mean_lines(items: list[tuple], floor: float = 8.0, ratio: float = 0.5) -> list[tuple[float, list[tuple]]]:
+    """(mean centre, items) of lines of (center, height, ...) items in their order: an item joins the first line within max(floor, ratio * lesser height) of its mean centre."""
+    lines: list[list] = []  # sum of centres, sum of heights, mean centre, mean height, items
     for it in items:
         for line in lines:
-            if abs(it[0] - mean(m[0] for m in line)) <= max(floor, ratio * min(it[1], mean(m[1] for m in line))):
-                line.append(it)
+            if abs(it[0] - line[2]) <= max(floor, ratio * min(it[1], line[3])):
+                line[4].append(it)
+                n = len(line[4])
+                line[0], line[1] = line[0] + it[0], line[1] + it[1]
+                line[2], line[3] = line[0] / n, line[1] / n
                 break
         else:
-            lines.append([it])
-    return lines
+            lines.append([it[0], it[1], it[0], it[1], [it]])
+    return [(line[2], line[4]) for line in lines]
 
 
 def fingerprint_order(boxes: list[dict]) -> list[dict]:
@@ -296,8 +304,8 @@ def fingerprint_order(boxes: list[dict]) -> list[dict]:
         items.append((r.cy, r.tall, r.y0, r.x0, r.y1, r.x1, i, b))
     items.sort(key=lambda t: (t[0], t[2], t[3], t[4], t[5], t[6]))
     lines = mean_lines(items)
-    lines.sort(key=lambda ln: (mean(m[0] for m in ln), ln[0][2], ln[0][3]))
-    return [m[-1] for ln in lines for m in sorted(ln, key=lambda t: (t[3], t[2], t[5], t[4], t[6]))]
+    lines.sort(key=lambda ln: (ln[0], ln[1][0][2], ln[1][0][3]))
+    return [m[-1] for _, ln in lines for m in sorted(ln, key=lambda t: (t[3], t[2], t[5], t[4], t[6]))]
 
 
 def anchor_order(boxes: list[dict]) -> list[dict]:
@@ -311,8 +319,8 @@ def anchor_order(boxes: list[dict]) -> list[dict]:
             continue
         items.append((r.cy, r.tall, r.y0, r.x0, i, b))
     items.sort(key=lambda t: (t[2], t[3]))
-    lines = sorted(mean_lines(items), key=lambda ln: mean(m[0] for m in ln))
-    return [m[-1] for ln in lines for m in sorted(ln, key=lambda t: t[3])] + rest
+    lines = sorted(mean_lines(items), key=lambda ln: ln[0])
+    return [m[-1] for _, ln in lines for m in sorted(ln, key=lambda t: t[3])] + rest
 
 
 def is_cjk(ch: str) -> bool:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evidra import config
 from evidra.operators import document, layout, novelty
+from evidra.shared import written
 
 KEY = ("run_id", "candidate_record_id")
 
@@ -38,8 +39,8 @@ def screens_of(documents: DataFrame, extra: DataFrame) -> DataFrame:
 
 def upgrade(boxes_screens: DataFrame, c: dict = config.LAYOUT) -> DataFrame:
     """All layers from boxes: screens (KEY, screen_id, screen_index, is_formal, boxes) to one row per screen with every layer's columns."""
-    s = layout.fingerprint_screens(layout.normalise_screens(boxes_screens, c))
+    s = written(layout.fingerprint_screens(layout.normalise_screens(boxes_screens, c)), "layout")
     s = s.withColumn("segments", F.col("lines"))
     docs = document.build_documents(s, KEY)
     extra = s.select(*KEY, "screen_id", "normalized_text", "comparison_text", "normalization_status", "exact_hash", "fingerprint_version", "boxes", "duplicate_groups").dropDuplicates([*KEY, "screen_id"])
-    return novelty.evaluate(screens_of(docs, extra))
+    return novelty.evaluate(written(screens_of(docs, extra), "screens"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import geometry, rules, text
 from evidra.operators import document, layout, novelty, screening, stopping, summaries
+from evidra.shared import written
 
 KEYWORDS = '"idiot" and not any("moron","clown"); "the" and any("erst","thth") or "und" and not "der"; any("que","los")'
 CRITERIA = ["(C001 AND C002) OR C003", "C003 AND C004"]
@@ -286,7 +287,7 @@ def _evaluated(spark, sf):
     whole = s.select(*novelty.KEY, "screen_id", F.array_join(F.transform("segments", lambda x: x.normalized_text), "\n").alias("t"))
     extra = whole.select(*novelty.KEY, "screen_id", F.col("t").alias("normalized_text"), text.comparison_text(F.col("t"), normalise=False).alias("comparison_text"), F.sha2("t", 256).alias("exact_hash"), F.lit("r03-v1").alias("fingerprint_version"), F.lit("completed").alias("normalization_status"))
     rows = d.select(*novelty.KEY, F.explode("screens").alias("s")).select(*novelty.KEY, "s.*")
-    return novelty.evaluate(rows.join(extra, [*novelty.KEY, "screen_id"]))
+    return novelty.evaluate(written(rows.join(extra, [*novelty.KEY, "screen_id"]), "screens"))
 
 
 def screen_novelty(spark, sf):
