@@ -156,12 +156,6 @@ def dice(left: Column, right: Column) -> Column:
     return _dice(left, right)
 
 
-def simhash_bits(bit_sums: Column) -> Column:
-    """16 hex digits of 64 vote sums, highest bit first; a bit is set for a positive sum."""
-    bits = F.array_join(F.transform(bit_sums, lambda v: F.when(v > 0, "1").otherwise("0")), "")
-    return F.lpad(F.lower(F.conv(bits, 2, 16)), 16, "0")
-
-
 @arrow("string")
 def _simhash(s: pd.Series) -> pd.Series:
     import hashlib

@@ -217,7 +217,72 @@ def stable_hash(screens: DataFrame) -> DataFrame:
     return screens.withColumn("hash_stable", same_fingerprint(F.lag("exact_hash").over(w), F.lag("fingerprint_version").over(w), F.col("exact_hash"), F.col("fingerprint_version")))
 
 
-def capture_outcome(stop_reason: Column) -> Column:
-    """(capture_status, end_reason, abort_reason) of a scan's stop reason."""
-    status = F.when(stop_reason == "interrupted", "interrupted").when(stop_reason.isin("failed", "ocr_failed", "load_failed", "store_failed"), "aborted").when(stop_reason.isNull(), "failed").otherwise("completed")
-    return F.struct(status.alias("capture_status"), F.when(status == "completed", stop_reason).alias("end_reason"), F.when(status != "completed", F.coalesce(stop_reason, F.lit("unknown"))).alias("abort_reason"))
+#: Reasons that an observation may name itself.
+FAILURES = ("load_failed", "switch_failed", "scroll_failed", "ocr_failed", "focus_restore_failed", "position_unresolved", "store_failed", "unexpected_error")
+
+
+def failure_reason(df: DataFrame, confirming: bool = False) -> Column:
+    """Why a saved observation cannot support an end, null if it can: its own reason, then store, load, recognition, switch, position.
+
+    `confirming` also asks that the position is "same" and certain.
+    """
+    bad = lambda c: ~F.coalesce(_get(df, c, "boolean"), F.lit(False))
+    position, own = _get(df, "position_status", "string"), _get(df, "failure_reason", "string")
+    first = F.when(own.isin(*FAILURES), own).when(bad("saved"), "store_failed")
+    if confirming:
+        first = first.when(position.isNull(), "position_unresolved")
+    out = first.when(bad("load_health"), "load_failed").when(bad("ocr_health"), "ocr_failed").when(bad("identity_health"), "switch_failed")
+    if confirming:
+        unsure = F.coalesce(_get(df, "insufficient_evidence", "boolean"), F.lit(True))
+        return out.when((position != "same") | unsure, "position_unresolved")
+    return out.when(position.isNull(), "position_unresolved")
+
+
+def rule_confirmations(observations: DataFrame, order: str) -> DataFrame:
+    """observations (KEY, order, capture_type, rule_index) with confirmed: a second look that matches the same rule as the look before."""
+    before = F.lag("rule_index").over(Window.partitionBy(*KEY).orderBy(order))
+    return observations.withColumn("confirmed", (F.col("capture_type") == "rule_confirmation") & F.coalesce(before == F.col("rule_index"), F.lit(False)))
+
+
+def promoted(observations: DataFrame, order: str, slots: int = SLOTS) -> DataFrame:
+    """observations with capture_type, is_formal, screen_index: a position confirmation whose position is "changed" becomes the next formal screen."""
+    up = (F.col("capture_type") == "position_confirmation") & (F.col("position_status") == "changed")
+    formal = F.col("is_formal") | up
+    n = F.count_if(formal).over(Window.partitionBy(*KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    s = observations.withColumn("_n", n).withColumn("_up", up)
+    return (
+        s.withColumn("screen_index", F.when(F.col("_up"), F.least(F.lit(slots), F.col("_n")).cast("int")).otherwise(F.col("screen_index")))
+        .withColumn("is_formal", F.col("is_formal") | F.col("_up")).withColumn("capture_type", F.when(F.col("_up"), "formal_screen").otherwise(F.col("capture_type"))).drop("_n", "_up")
+    )
+
+
+def load_attempts(observations: DataFrame, order: str, limit: int = 4) -> DataFrame:
+    """(KEY, loaded, attempts, action) of looks (KEY, order, loaded): the first of `limit` that is loaded, else recover."""
+    k = F.row_number().over(Window.partitionBy(*KEY).orderBy(order))
+    s = observations.withColumn("_k", k).where(F.col("_k") <= limit)
+    first = F.min(F.when(F.col("loaded"), F.col("_k")))
+    return s.groupBy(*KEY).agg(first.isNotNull().alias("loaded"), F.coalesce(first, F.max("_k")).cast("int").alias("attempts")).withColumn("action", F.when(F.col("loaded"), "scan").when(F.col("attempts") < limit, "retry").otherwise("recover"))
+
+
+def previous_pages(screens: DataFrame) -> DataFrame:
+    """(KEY, previous, reason): the comparable hashes of a candidate's formal screens, against which the next page is told apart; a reason where there are none."""
+    ok = F.col("is_formal") & comparable(F.col("exact_hash"), F.col("fingerprint_version"))
+    per = screens.groupBy(*KEY).agg(F.array_sort(F.collect_set(F.when(ok, F.struct(F.col("exact_hash").alias("hash"), F.col("fingerprint_version").alias("version"))))).alias("previous"))
+    return per.withColumn("reason", F.when(F.size("previous") == 0, "previous_fingerprints_unavailable"))
+
+
+def capture_outcome(stop_reason: Column, interrupt_reason: Column | None = None, abort_reason: Column | None = None) -> Column:
+    """(capture_status, end_reason, abort_reason) of a scan.
+
+    Interruptions and aborts come first; a bottom, no new text or the last slot complete it with a limit;
+    else it completed in its ordinary course.
+    """
+    none = F.lit(None).cast("string")
+    stop_by = none if interrupt_reason is None else interrupt_reason
+    abort = none if abort_reason is None else F.when(F.length(abort_reason) > 0, abort_reason)
+    limit = F.when(stop_reason.isin("scroll_bottom", "no_new_text"), stop_reason).when(stop_reason.isin("max_screens", "max_screen_limit"), "max_screen_limit")
+    interrupted = F.coalesce(stop_by.isin("user_interrupted", "runtime_expired"), F.lit(False)) | F.coalesce(stop_reason == "interrupted", F.lit(False))
+    abort = F.coalesce(abort, F.when(stop_reason == "failed", "failed"))
+    status = F.when(interrupted, "interrupted").when(abort.isNotNull(), "aborted").when(limit.isNotNull(), "completed_with_limit").otherwise("completed")
+    end = F.when(~interrupted & abort.isNull(), F.coalesce(limit, F.lit("existing_flow_completed")))
+    return F.struct(status.alias("capture_status"), end.alias("end_reason"), F.when(end.isNull(), F.coalesce(stop_by, abort, F.lit("interrupted"))).alias("abort_reason"))

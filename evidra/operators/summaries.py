@@ -141,7 +141,7 @@ def outcome_violations(c: DataFrame) -> DataFrame:
     """candidates with capture_status, end_reason, abort_reason: exactly one reason, fitting the status."""
     return c.withColumn("violations", _violations(
         ("one_reason", F.col("end_reason").isNotNull() != F.col("abort_reason").isNotNull()),
-        ("reason_fits", F.when(F.col("capture_status") == "completed", F.col("end_reason").isNotNull()).otherwise(F.col("abort_reason").isNotNull())),
+        ("reason_fits", F.when(F.col("capture_status").isin("completed", "completed_with_limit"), F.col("end_reason").isNotNull()).otherwise(F.col("abort_reason").isNotNull())),
     ))
 
 

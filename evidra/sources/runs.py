@@ -151,6 +151,25 @@ def sidecar(rows: DataFrame, run_dir: str, digest: str) -> None:
     create(formal, f"{run_dir}/r06-sidecar-{digest}.jsonl")
 
 
+def write_manifest(run: DataFrame, path: str) -> None:
+    """Replace a run's one-row manifest."""
+    run.limit(1).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def finished(run: DataFrame, screens_: DataFrame, candidates_: DataFrame, errors_: DataFrame, status: str, ended_at: str) -> DataFrame:
+    """The manifest of a run that ends: status, time and record counts."""
+    for name, rows in (("screen", screens_), ("candidate", candidates_), ("error", errors_)):
+        n = rows.groupBy("run_id").agg(F.count("*").alias("_n"))
+        column = "error_count" if name == "error" else f"{name}_record_count"
+        run = run.drop(column).join(n, "run_id", "left").withColumn(column, F.coalesce("_n", F.lit(0))).drop("_n")
+    return run.withColumn("status", F.lit(status)).withColumn("ended_at", F.lit(ended_at))
+
+
+def batch_sink(path: str):
+    """For foreachBatch: a batch replaces its own folder, so that a batch that is tried again is written once."""
+    return lambda df, batch: df.write.mode("overwrite").json(f"{path}/batch={batch}")
+
+
 class Breaker:
     """Gives up after three failures in a row."""
 

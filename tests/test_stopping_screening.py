@@ -153,3 +153,31 @@ def test_breaker():
 
 def test_statistics(spark):
     assert [r["x"] for r in spark.createDataFrame([(0.0,), (0.37,), (1.0,)], "v double").select(summaries.tenth(F.col("v")).alias("x")).collect()] == ["0.0-0.1", "0.3-0.4", "1.0-1.0"]
+
+
+def test_small_state_machines(spark):
+    key = "run_id string, candidate_record_id string"
+    looks = spark.createDataFrame([("r", "a", 1, False), ("r", "a", 2, True), ("r", "b", 1, False)] + [("r", "c", k, False) for k in range(1, 7)], f"{key}, k int, loaded boolean")
+    got = {r["candidate_record_id"]: (r["attempts"], r["action"]) for r in stopping.load_attempts(looks, "k").collect()}
+    assert got == {"a": (2, "scan"), "b": (1, "retry"), "c": (4, "recover")}
+    obs = spark.createDataFrame([("r", "a", 1, "formal_screen", 0, "initial", True, 1), ("r", "a", 2, "rule_confirmation", 0, "same", False, None), ("r", "a", 3, "position_confirmation", 1, "changed", False, None)], f"{key}, k int, capture_type string, rule_index int, position_status string, is_formal boolean, screen_index int")
+    assert [r["confirmed"] for r in stopping.rule_confirmations(obs, "k").orderBy("k").collect()] == [False, True, False]
+    assert [(r["capture_type"], r["screen_index"]) for r in stopping.promoted(obs, "k").orderBy("k").collect()][2] == ("formal_screen", 2)
+    f = spark.createDataFrame([(None, True, True, True, True, "same", False), ("ocr_failed", True, True, True, True, "same", False), (None, False, True, True, True, "same", False), (None, True, False, True, True, "same", False), (None, True, True, True, True, "changed", False)], "failure_reason string, saved boolean, load_health boolean, ocr_health boolean, identity_health boolean, position_status string, insufficient_evidence boolean")
+    rows = f.select(stopping.failure_reason(f).alias("a"), stopping.failure_reason(f, True).alias("b")).collect()
+    assert [r["a"] for r in rows] == [None, "ocr_failed", "store_failed", "load_failed", None] and rows[4]["b"] == "position_unresolved"
+    o = spark.createDataFrame([("no_new_text",), ("interrupted",), ("failed",), (None,), ("max_screens",)], "s string").select(stopping.capture_outcome(F.col("s")).alias("o"))
+    assert [r["o"]["capture_status"] for r in o.collect()] == ["completed_with_limit", "interrupted", "aborted", "completed", "completed_with_limit"]
+    assert summaries.outcome_violations(o.select("o.*")).where("size(violations) > 0").count() == 0
+
+
+def test_manifest(spark, tmp_path):
+    run = spark.createDataFrame([("r", "running")], "run_id string, status string")
+    rows = spark.createDataFrame([("r",), ("r",)], "run_id string")
+    m = runs.finished(run, rows, rows.limit(1), rows.limit(0), "completed", "2024-01-01T00:00:00Z")
+    runs.write_manifest(m, str(tmp_path / "run.json"))
+    r = runs.manifest(spark, str(tmp_path)).first()
+    assert (r["screen_record_count"], r["candidate_record_count"], r["error_count"], r["status"]) == (2, 1, 0, "completed")
+    runs.batch_sink(str(tmp_path / "sink"))(rows, 3)
+    runs.batch_sink(str(tmp_path / "sink"))(rows, 3)
+    assert spark.read.json(str(tmp_path / "sink")).count() == 2
