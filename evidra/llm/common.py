@@ -2,37 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
+import ctypes
+import gc
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidra.shared import shared_dir, written
+
 #: Stands for a null doc_id inside an operator, so that null ids sort first and still join.
 NULL_ID = -(2**63)
-_own_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="evidra-"))
-        atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
-    return "file://" + _own_dir[0]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of `df`: write it as Parquet in the shared folder and read it back."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/evidra-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["NULL_ID", "byte_chunks", "trim", "components", "doc_key", "documents", "null_key", "shared_dir", "written"]
 
 
 def doc_key(col: str = "doc_id"):
@@ -48,6 +29,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def trim() -> None:
+    """Give freed memory back to the system: workers live on between stages, and executors count all of theirs."""
+    gc.collect()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def byte_chunks(batch: pa.RecordBatch, text_col: int, limit: int = 1 << 20):
     """Row ranges of an Arrow batch that hold about `limit` bytes of text each (one row at least)."""
     col = batch.column(text_col)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import byte_chunks, documents
+from evidra.llm.common import byte_chunks, documents, trim
 from evidra.llm.textstats import Batch, labelled_sample, one_label, sigmoid
 
 #: Weights of each kind of feature (words, word pairs, byte n-grams) as a power of two.
@@ -157,6 +157,7 @@ def apply_rules(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), min_w
                 p = held.value.scores(batch)
                 cols_ = [*(pa.array(c, pa.int64()) for c in base.values()), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
                 yield pa.RecordBatch.from_arrays([b.column(0), *cols_, *b.columns[2:]], names=[x.split()[0] for x in schema.split(", ")])
+        trim()
 
     out = rows.mapInArrow(run, schema)
     return out.select(*out.columns[:9], *(F.col(x).alias(c) for c, x in zip(keep, cols)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 
@@ -9,14 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import byte_chunks, documents
+from evidra.llm.common import byte_chunks, documents, trim
 
 MARK = "▁"
 # Piece types and model types of the SentencePiece file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Code points of a slice of a long text.
-SLICE = 1 << 18
+#: Code points of a slice of a long text, bytes of texts that are encoded together, and the library's threads in a
+#: worker: encodings take many times the memory of their texts, and executors run several workers.
+SLICE, BATCH_BYTES, THREADS = 1 << 17, 1 << 18, 2
 
 
 def fields(data: bytes):
@@ -114,6 +116,7 @@ class Codec:
             path = public_tokenizers.path(path)
         with open(path, "rb") as f:
             self.model = Model(f.read())
+        os.environ.setdefault("RAYON_NUM_THREADS", str(THREADS))
         self.tok = self.model.tokenizer()
         self.safe = self.model.units_are_safe()
         self.out = [p.replace(MARK, " ").encode() if t in (NORMAL, USER_DEFINED, UNUSED) else b"" for p, _, t in self.model.pieces]
@@ -175,13 +178,15 @@ def encode(docs: DataFrame, path: str = "piece_bpe_32k.model", decoded: bool = F
     def run(batches):
         codec = Codec(path)
         for whole in batches:
-            for b in byte_chunks(whole, 1):
+            for b in byte_chunks(whole, 1, BATCH_BYTES):
                 ids = codec.encode([t or "" for t in b.column(1).to_pylist()])
                 cols, names = [b.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"]
                 if decoded:
                     cols.append(pa.array(codec.decode(ids), pa.string()))
                     names.append("decoded_text")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        del codec
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, ids array<int>" + (", decoded_text string" if decoded else ""))
@@ -193,11 +198,13 @@ def encode_checked(docs: DataFrame, path: str = "piece_bpe_32k.model") -> DataFr
     def run(batches):
         codec = Codec(path)
         for whole in batches:
-            for b in byte_chunks(whole, 1):
+            for b in byte_chunks(whole, 1, BATCH_BYTES):
                 texts = [t or "" for t in b.column(1).to_pylist()]
                 ids = codec.encode(texts)
                 same = [x == t for x, t in zip(codec.decode(ids), texts)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())], names=["doc_id", "n_pieces", "ids", "whole"])
+        del codec
+        trim()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(run, "doc_id long, n_pieces long, ids array<int>, whole boolean")
@@ -216,7 +223,6 @@ def decode(rows: DataFrame, path: str = "piece_bpe_32k.model") -> DataFrame:
 
 
 def op8_sentencepiece(spark, sf_dir):
-    """doc_id, n_pieces, ids_sha256 (of the ids, blank-separated), decoded_sha256 of every document."""
+    """doc_id, n_pieces, ids_hash (XXH64 of the ids), decoded_sha256 of every document."""
     out = encode(documents(spark, sf_dir), decoded=True)
-    joined = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.sha2(joined, 256).alias("ids_sha256"), F.sha2("decoded_text", 256).alias("decoded_sha256"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.sha2("decoded_text", 256).alias("decoded_sha256"))

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import byte_chunks, components, doc_key, documents, null_key, written
+from evidra.llm.common import byte_chunks, components, doc_key, documents, null_key, trim, written
 
 # The generator polynomial of the binary Golay code [23, 12, 7].
 GOLAY_POLY = 0b110001110101
@@ -210,6 +210,7 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     sketch.append(low[:SKETCH].tolist())
                 ints = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, same)]
                 yield pa.RecordBatch.from_arrays([b.column(0), *ints, pa.array(anchors, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int32()))], names=["id", "fp", "same", "anchors", "sketch"])
+        trim()
 
     return docs.select(doc_key().alias("id"), "text").mapInArrow(run, "id long, fp long, same long, anchors array<long>, sketch array<int>")
 
