@@ -14,7 +14,7 @@ from evidra.llm.common import byte_chunks, documents
 #: spans such a place (white space can only lead a piece), nor does an added token without white space.
 UNIT = re.compile(r"\s*\S+(?:[^\S \n]\s*\S+)*|\s+")
 CUT = re.compile(r"(?<=\S)[ \n]")
-#: Units kept in a worker's memory with their lengths, and the longest unit that is kept.
+#: Units kept in a worker's memory (with their lengths; of those seen once, without), and the longest unit that is kept.
 CACHE_UNITS, CACHE_CHARS = 300_000, 64
 
 
@@ -42,17 +42,21 @@ def safe_slices(text: str, limit: int = 1 << 18):
 
 
 class Counter:
-    """Counts tokens; each distinct unit of a batch is encoded once, the library sees byte-balanced lists of units."""
+    """Counts tokens: units met before have known lengths; the new ones of a text are joined again and encoded.
+
+    Units that begin with a blank or line feed and do not end in white space can be joined, for that gives
+    safe boundaries between them. A unit that comes a second time is encoded on its own and kept.
+    """
 
     def __init__(self, path: str, batch_bytes: int = 1 << 20):
-        self.tok, self.known, self.batch_bytes = load(path), {}, batch_bytes
+        self.tok, self.known, self.once, self.batch_bytes = load(path), {}, set(), batch_bytes
 
-    def _learn(self, units: list[str]) -> dict[str, int]:
-        out, part, size = {}, [], 0
-        for u in [*units, None]:
+    def _lengths(self, texts: list[str]) -> list[int]:
+        """Lengths of the encodings, by batches of about batch_bytes."""
+        out, part, size = [], [], 0
+        for u in [*texts, None]:
             if part and (u is None or size + len(u) > self.batch_bytes):
-                got = self.tok.encode_batch_fast(part, add_special_tokens=False)
-                out.update(zip(part, map(len, got)))
+                out += map(len, self.tok.encode_batch_fast(part, add_special_tokens=False))
                 part, size = [], 0
             if u is not None:
                 part.append(u)
@@ -60,22 +64,43 @@ class Counter:
         return out
 
     def counts(self, texts: list[str]) -> list[int]:
-        out = []
-        for t in texts:
-            n = 0
+        out, known, once = [0] * len(texts), self.known, self.once
+        rest: list[str] = []
+        owner: list[int] = []
+        again: dict[str, None] = {}
+        later: list[tuple[int, str]] = []
+        for i, t in enumerate(texts):
             for s in safe_slices(t):
-                units = UNIT.findall(s)
-                try:
-                    n += sum(map(self.known.__getitem__, units))
-                    continue
-                except KeyError:
-                    pass
-                new = self._learn([u for u in set(units) if u not in self.known])
-                n += sum(new[u] if u in new else self.known[u] for u in units)
-                if len(self.known) + len(new) > CACHE_UNITS:
-                    self.known.clear()
-                self.known.update((u, k) for u, k in new.items() if len(u) <= CACHE_CHARS)
-            out.append(n)
+                n, new = 0, []
+                for u in UNIT.findall(s):
+                    if u in known:
+                        n += known[u]
+                    elif u in once:
+                        again[u] = None
+                        later.append((i, u))
+                    else:
+                        if len(u) <= CACHE_CHARS:
+                            once.add(u)
+                        if u[0] in " \n" and not u[-1].isspace():
+                            new.append(u)
+                        else:
+                            rest.append(u)
+                            owner.append(i)
+                out[i] += n
+                if new:
+                    rest.append("".join(new))
+                    owner.append(i)
+        for i, k in zip(owner, self._lengths(rest)):
+            out[i] += k
+        if again:
+            got = dict(zip(again, self._lengths(list(again))))
+            for i, u in later:
+                out[i] += got[u]
+            if len(known) + len(got) > CACHE_UNITS:
+                known.clear()
+            known.update(got)
+        if len(once) > CACHE_UNITS:
+            once.clear()
         return out
 
 
