@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -182,8 +183,10 @@ def op3_simhash_golay(spark, sf_dir):
 
 #: Anchors of a text (least shingle hashes under as many orders) and least hashes kept to estimate similarity.
 ANCHORS, SKETCH = 8, 256
-#: An anchor shared by more texts than this is parted by the Golay indices of the fingerprints' segments.
+#: An anchor shared by more texts than this is first parted by the Golay indices of the fingerprints' segments.
 FEW = 24
+#: Texts of a block; the blocks of an anchor that many texts share are compared pair by pair (see `_crossing`).
+BLOCK = 512
 
 
 def _mix(x: np.ndarray, salt: int) -> np.ndarray:
@@ -194,25 +197,26 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int) -> DataFrame:
-    """(id, fp, same, anchors, sketch) of docs (doc_id, text): `same` is a hash of the words in order, equal for copies."""
+    """(id, fp, same, size, anchors, sketch) of docs (doc_id, text): `same` is a hash of the words in order, equal for copies; size counts different shingles."""
 
     def run(batches):
         for whole in batches:
             for b in byte_chunks(whole, 1):
-                fp, same, anchors, sketch = [], [], [], []
+                fp, same, size, anchors, sketch = [], [], [], [], []
                 for t in b.column(1).to_pylist():
                     h = shingle_hashes(t or "", words)
                     u = np.unique(np.array(h, np.uint64))
                     fp.append(simhash(h))
+                    size.append(len(u))
                     same.append(xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 1))
                     anchors.append([int(_mix(u, k + 1).min().view(np.int64)) for k in range(ANCHORS)] if len(u) else [])
                     low = np.unique(_mix(u, 0) >> np.uint64(33)).astype(np.int32)  # 31 bits
                     sketch.append(low[:SKETCH].tolist())
                 ints = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, same)]
-                yield pa.RecordBatch.from_arrays([b.column(0), *ints, pa.array(anchors, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int32()))], names=["id", "fp", "same", "anchors", "sketch"])
+                yield pa.RecordBatch.from_arrays([b.column(0), *ints, pa.array(size, pa.int32()), pa.array(anchors, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int32()))], names=["id", "fp", "same", "size", "anchors", "sketch"])
         trim()
 
-    return docs.select(doc_key().alias("id"), "text").mapInArrow(run, "id long, fp long, same long, anchors array<long>, sketch array<int>")
+    return docs.select(doc_key().alias("id"), "text").mapInArrow(run, "id long, fp long, same long, size int, anchors array<long>, sketch array<int>")
 
 
 def _pairs(rows: DataFrame) -> DataFrame:
@@ -226,15 +230,74 @@ def _pairs(rows: DataFrame) -> DataFrame:
     return pairs.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+def _crossing(members: DataFrame, node: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of rows (key, rep) that share a key, lie in different components and are similar.
+
+    Keys whose texts all lie in one component are done. Those of the others are laid out by size, one level
+    for each step of `similarity` (similar texts are at most one level apart), and cut into blocks; every
+    two blocks of a key at most one level apart meet in a group of their own, so that nothing is left out and
+    no task holds more than two blocks.
+    """
+    step = max(-math.log(similarity), 0.01) * (1 + 1e-9)
+    part = F.coalesce("component", "rep").alias("part")
+    m = members.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", part)
+    parts = m.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
+    m = m.join(parts, "key").join(node.select("rep", F.floor(F.log("size") / step).cast("int").alias("level")), "rep")
+    m = written(m, "open")
+    blocks = m.groupBy("key", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("n"))
+    m = m.join(blocks, "key").withColumn("i", F.expr("cast(pmod(xxhash64(rep), n[level]) as int)"))
+    spots = F.expr("""explode(concat(
+        transform(sequence(0, n[level] - 1), j -> struct(xxhash64(key, level, least(i, j), level, greatest(i, j)) as g, case when i = j then 2 when i < j then 0 else 1 end as side)),
+        if(n[level + 1] is null, array(), transform(sequence(0, n[level + 1] - 1), j -> struct(xxhash64(key, level, i, level + 1, j) as g, 0 as side))),
+        if(n[level - 1] is null, array(), transform(sequence(0, n[level - 1] - 1), j -> struct(xxhash64(key, level - 1, j, level, i) as g, 1 as side)))))""")
+    rows = m.select("rep", "part", spots.alias("s")).select("s.g", "s.side", "rep", "part").join(node.select("rep", "size", "sketch"), "rep")
+
+    def compare(t: pa.Table) -> pa.Table:
+        side, rep, part, size = (t.column(c).to_numpy() for c in ("side", "rep", "part", "size"))
+        sketch = t.column("sketch").combine_chunks()
+        x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        if not len(x) or not len(y) or part.min() == part.max():
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        like = _likeness([sketch[i].values.to_numpy() for i in range(len(rep))], size, x, y)
+        i, j = np.nonzero((like >= similarity) & (part[x][:, None] != part[y]))
+        a, b = rep[x[i]], rep[y[j]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return rows.groupBy("g").applyInArrow(compare, "a long, b long").distinct()
+
+
+def _likeness(sketch: list[np.ndarray], size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarities of the texts x with the texts y from what the sketches of both cover (all, if there are at most SKETCH shingles)."""
+    values, which = np.unique(np.concatenate(sketch), return_inverse=True)
+    owner = np.repeat(np.arange(len(sketch)), [len(s) for s in sketch])
+    count = np.bincount(which)
+    place = np.cumsum(count > 1) - 1
+    keep = count[which] > 1
+    owner, at = owner[keep], place[which[keep]]
+    by = np.argsort(at, kind="stable")
+    owner, at = owner[by], at[by]
+    both = np.zeros((len(x), len(y)))
+    shared = int((count > 1).sum())
+    for k in range(0, shared, 4096):
+        lo, hi = np.searchsorted(at, (k, k + 4096))
+        m = np.zeros((len(sketch), min(4096, shared - k)), np.float32)
+        m[owner[lo:hi], at[lo:hi] - k] = 1
+        both += m[x] @ m[y].T
+    top = np.array([s[-1] if n > SKETCH else 2**31 - 1 for s, n in zip(sketch, size)])
+    union = np.stack([np.searchsorted(sketch[i], top[y], "right") for i in x]) + np.stack([np.searchsorted(sketch[j], top[x], "right") for j in y], 1) - both
+    return both / union
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(id, same, rep) groups of docs (doc_id, text): rep is the least id of the group of copies and near copies.
 
     Texts whose shingle sets (of `words` words) have a Jaccard similarity of `similarity` or more are
     linked. Candidates come from the Golay keys of their SimHash fingerprints (within two bits) and from
     anchors: shingles least under a hash, which two texts share with a probability of their similarity. An
-    anchor that many texts share (a common passage, a large group of copies) is parted by Golay indices of
+    anchor that many texts share (a common passage, a large group of copies) is first parted by Golay indices of
     the fingerprint's segments, of which near fingerprints share some; parts that stay large are compared
-    with two of their texts each. Similarity is that of the SKETCH least shingle hashes: exact up to so many
+    with two of their texts each. That joins most of a large group at little cost; texts of such an anchor that
+    are in different components then are all compared (see `_crossing`). Similarity is that of the SKETCH least shingle hashes: exact up to so many
     different shingles, else an estimate. Exact copies are one node whatever their number.
     """
     sig = written(signatures(docs, words), "signatures")
@@ -269,7 +332,9 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     union = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
     both = F.size(F.array_intersect(F.array_intersect("u", "x"), "y")) / F.size("u")
     edges = left.withColumn("u", union).where((F.size("u") > 0) & (both >= similarity)).select("a", "b")
+    edges = written(edges, "near")
     comp = components(edges)
+    comp = components(edges.union(_crossing(members.where(F.col("n") > FEW), node, comp, similarity)))
     reps = reps.join(comp, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("rep"))
     return sig.select("id", "same").join(reps, "same")
 

@@ -239,6 +239,23 @@ def test_near_copies(spark):
     assert kept == set(got.values()) and 0 in kept and 300 in kept and 301 not in kept
 
 
+def test_near_copies_of_a_hub(spark):
+    """Many variants of one text, similar to it but not to one another, the text's id in the middle."""
+    r = random.Random(11)
+    n, rows = 2000, []
+    base = [f"b{k}" for k in range(244)]
+    for k in range(n + 1):
+        t = base[:]
+        for i in r.sample(range(244), 4) if k != n // 2 else ():
+            t[i] = f"v{k}x{i}"
+        rows.append((k, " ".join(t), "en", "s", 0))
+    sets = [set(simhash.shingle_hashes(t, 5)) for _, t, *_ in rows]
+    linked = [k for k in range(n + 1) if len(sets[k] & sets[n // 2]) >= 0.8 * len(sets[k] | sets[n // 2])]
+    assert len(linked) > 0.9 * n
+    got = {x["id"]: x["rep"] for x in simhash.near_copies(spark.createDataFrame(rows, DOCS)).collect()}
+    assert len({got[k] for k in linked}) == 1
+
+
 def _calls(turns):
     return json.dumps({"tool_calls": turns})
 
