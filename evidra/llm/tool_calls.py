@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from evidra.llm.common import written
 
-#: Rounds after which calls whose order is still open count as cyclic.
+#: Rounds of joins after which conversations whose order is still open are finished one by one (see `settle`).
 ROUNDS = 64
 #: Schemas of the tools that plain dialogues stand for (see `dialogue`).
 DIALOGUE_SCHEMAS = {
@@ -160,7 +160,8 @@ def link(messages: DataFrame, schemas: dict, dialogue: bool = False) -> DataFram
     puts every result after its call and every call after those it names: order_turn is the greatest turn
     among an event and all it depends on, order_depth counts the dependencies inside that turn. Both follow
     from joins by identifier, so a conversation of any length is never gathered: events that come in order
-    need one join, others a round for each step of a chain that is out of order. Calls that wait for each
+    need one join, others a round for each step of a chain that is out of order; only of a conversation that is
+    still open after ROUNDS rounds are the identifiers gathered. Calls that wait for each
     other in a circle have order_depth null and are not valid.
     linked: a call has a result, a result has a call (else it is an orphan). copies: rows with the same
     identifier and kind; the first call (by turn, seq) is the one that results belong to. valid and error:
@@ -208,7 +209,51 @@ def order(named: DataFrame, calls: DataFrame) -> DataFrame:
         state = written(new, "order")
         if state.where("cyclic").isEmpty():
             return state
-    return state
+    open_ = state.where("cyclic").select("conv").distinct()
+    after = needs.groupBy("conv", "call_id").agg(F.collect_list("need").alias("after"))
+    rest = named.join(open_, "conv", "left_semi").join(after, ["conv", "call_id"], "left")
+    rest = rest.select("conv", "call_id", "n_calls", "n_results", "call_at", "after").groupBy("conv").applyInArrow(settle, state.schema)
+    return written(state.join(open_, "conv", "left_anti").union(rest), "order")
+
+
+def settle(t: pa.Table) -> pa.Table:
+    """The order of one conversation's identifiers: those without open dependencies are placed first; what is left over is cyclic."""
+    ids, at, after = (t.column(c).to_pylist() for c in ("call_id", "call_at", "after"))
+    n = len(ids)
+    place = {x: k for k, x in enumerate(ids)}
+    needs = [[place[x] for x in a or ()] for a in after]
+    waiting, dependents = [len(a) for a in needs], [[] for _ in range(n)]
+    for k, a in enumerate(needs):
+        for j in a:
+            dependents[j].append(k)
+    turn, depth = list(at), [0] * n
+    free = [k for k in range(n) if not waiting[k]]
+    for k in free:  # grows while it is read
+        if needs[k]:
+            top = max((turn[j], depth[j]) for j in needs[k])
+            if top[0] >= turn[k]:
+                turn[k], depth[k] = top[0], top[1] + 2
+        for j in dependents[k]:
+            waiting[j] -= 1
+            if not waiting[j]:
+                free.append(j)
+    cyclic = [w > 0 for w in waiting]
+    # the greatest turn that each of the others reaches, from the greatest down
+    left = [k for k in range(n) if cyclic[k]]
+    for k in left:
+        turn[k] = max([turn[k], *(turn[j] for j in needs[k] if not cyclic[j])])
+    seen = set()
+    for k in sorted(left, key=lambda k: -turn[k]):
+        todo = [k] if k not in seen else []
+        seen.add(k)
+        while todo:
+            for j in dependents[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    turn[j] = turn[k]
+                    todo.append(j)
+    new = {"call_turn": pa.array(turn, pa.int64()), "call_depth": pa.array(depth, pa.int32()), "cyclic": pa.array(cyclic, pa.bool_())}
+    return pa.table({c: t.column(c) for c in ("conv", "call_id", "n_calls", "n_results")} | new)
 
 
 def op4_tool_call_linking(spark, sf_dir):
