@@ -185,6 +185,9 @@ def op3_simhash_golay(spark, sf_dir):
 ANCHORS, SKETCH = 8, 256
 #: An anchor shared by more texts than this is first parted by the Golay indices of the fingerprints' segments.
 FEW = 24
+#: Sketches rule pairs out only so far below the threshold (six standard deviations of a sketch's estimate), and decide
+#: alone only for texts that they hold whole, so far from it (they are of 31 bits; some may coincide).
+MARGIN, NEAR = 0.15, 0.02
 #: Texts of a block; the blocks of an anchor that many texts share are compared pair by pair (see `_crossing`).
 BLOCK = 512
 
@@ -196,6 +199,11 @@ def _mix(x: np.ndarray, salt: int) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _same(text: str | None) -> int:
+    h = xxhash.xxh64_intdigest(b" ".join((text or "").encode().lower().split()), 1)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def signatures(docs: DataFrame, words: int) -> DataFrame:
     """(id, fp, same, size, anchors, sketch) of docs (doc_id, text): `same` is a hash of the words in order, equal for copies; size counts different shingles."""
 
@@ -208,11 +216,11 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                     u = np.unique(np.array(h, np.uint64))
                     fp.append(simhash(h))
                     size.append(len(u))
-                    same.append(xxhash.xxh64_intdigest(b" ".join((t or "").encode().lower().split()), 1))
+                    same.append(_same(t))
                     anchors.append([int(_mix(u, k + 1).min().view(np.int64)) for k in range(ANCHORS)] if len(u) else [])
                     low = np.unique(_mix(u, 0) >> np.uint64(33)).astype(np.int32)  # 31 bits
                     sketch.append(low[:SKETCH].tolist())
-                ints = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (fp, same)]
+                ints = [pa.array(np.array(fp, np.uint64).view(np.int64)), pa.array(same, pa.int64())]
                 yield pa.RecordBatch.from_arrays([b.column(0), *ints, pa.array(size, pa.int32()), pa.array(anchors, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int32()))], names=["id", "fp", "same", "size", "anchors", "sketch"])
         trim()
 
@@ -231,7 +239,7 @@ def _pairs(rows: DataFrame) -> DataFrame:
 
 
 def _crossing(members: DataFrame, node: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of rows (key, rep) that share a key, lie in different components and are similar.
+    """(a, b, sure, g) of rows (key, rep) that share a key, lie in different components and may be similar; g is the group they met in.
 
     Keys whose texts all lie in one component are done. Those of the others are laid out by size, one level
     for each step of `similarity` (similar texts are at most one level apart), and cut into blocks; every
@@ -257,17 +265,60 @@ def _crossing(members: DataFrame, node: DataFrame, comp: DataFrame, similarity:
         sketch = t.column("sketch").combine_chunks()
         x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(x) or not len(y) or part.min() == part.max():
-            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        like = _likeness([sketch[i].values.to_numpy() for i in range(len(rep))], size, x, y)
-        i, j = np.nonzero((like >= similarity) & (part[x][:, None] != part[y]))
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sure": pa.array([], pa.bool_()), "g": pa.array([], pa.int64())})
+        whole = size <= SKETCH
+        like = _likeness([sketch[i].values.to_numpy() for i in range(len(rep))], whole, x, y)
+        both = whole[x][:, None] & whole[y]
+        i, j = np.nonzero((like >= similarity - np.where(both, NEAR, MARGIN)) & (part[x][:, None] != part[y]))
         a, b = rep[x[i]], rep[y[j]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": both[i, j] & (like[i, j] >= similarity + NEAR), "g": np.full(len(a), t.column("g")[0].as_py(), np.int64)})
+
+    return rows.groupBy("g").applyInArrow(compare, "a long, b long, sure boolean, g long")
+
 
-    return rows.groupBy("g").applyInArrow(compare, "a long, b long").distinct()
+def _verified(docs: DataFrame, node: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(a, b) of pairs (a, b, sure, g) that are similar: the sure ones, and the others by all shingles of both texts.
 
+    The pairs of a g are compared in one task, to which each of their texts goes once.
+    """
+    pairs = written(pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"), F.min("g").alias("g")), "pairs")
+    rest = pairs.where("not sure").select("g", "a", "b")
+    need = rest.select("g", F.explode(F.array("a", "b")).alias("rep")).distinct()
+
+    def shingled(batches):
+        for whole in batches:
+            for b in byte_chunks(whole, 2):
+                # of the rows that share a doc_id only those with the node's text
+                b = b.filter(pa.array([_same(t) == s for t, s in zip(b.column(2).to_pylist(), b.column(1).to_pylist())], pa.bool_()))
+                sets = [np.unique(np.array(shingle_hashes(t or "", words), np.uint64).view(np.int64)).tobytes() for t in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+        trim()
 
-def _likeness(sketch: list[np.ndarray], size: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Similarities of the texts x with the texts y from what the sketches of both cover (all, if there are at most SKETCH shingles)."""
+    ids = node.join(need.select("rep").distinct(), "rep", "left_semi").select("rep", "same")
+    texts = docs.select(doc_key().alias("rep"), "text").join(ids, "rep").select("rep", "same", "text")
+    sets = written(texts.mapInArrow(shingled, "rep long, shingles binary").dropDuplicates(["rep"]), "shingles")
+
+    def check(t: pa.Table, p: pa.Table) -> pa.Table:
+        reps = t.column("rep").to_numpy()
+        by = np.argsort(reps)
+        sets = [np.frombuffer(v.as_py(), np.int64) for v in t.column("shingles")]
+        a, b = p.column("a").to_numpy(), p.column("b").to_numpy()
+        i, j = (by[np.searchsorted(reps, v, sorter=by)] for v in (a, b))
+        ok = np.zeros(len(a), bool)
+        for k in range(0, len(a), BLOCK):
+            x, at_x = np.unique(i[k : k + BLOCK], return_inverse=True)
+            y, at_y = np.unique(j[k : k + BLOCK], return_inverse=True)
+            part = [sets[n] for n in np.concatenate([x, y])]
+            like = _likeness(part, np.ones(len(part), bool), np.arange(len(x)), len(x) + np.arange(len(y)))
+            ok[k : k + BLOCK] = like[at_x, at_y] >= similarity
+        return pa.table({"a": a[ok], "b": b[ok]})
+
+    full = need.join(sets.select("rep", "shingles"), "rep").groupBy("g").cogroup(rest.select(F.col("g").alias("h"), "a", "b").groupBy("h")).applyInArrow(check, "a long, b long")
+    return written(pairs.where("sure").select("a", "b").union(full), "near")
+
+
+def _likeness(sketch: list[np.ndarray], whole: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Similarities of the texts x with the texts y from what the sketches of both cover (all their shingles where they are whole)."""
     values, which = np.unique(np.concatenate(sketch), return_inverse=True)
     owner = np.repeat(np.arange(len(sketch)), [len(s) for s in sketch])
     count = np.bincount(which)
@@ -283,7 +334,7 @@ def _likeness(sketch: list[np.ndarray], size: np.ndarray, x: np.ndarray, y: np.n
         m = np.zeros((len(sketch), min(4096, shared - k)), np.float32)
         m[owner[lo:hi], at[lo:hi] - k] = 1
         both += m[x] @ m[y].T
-    top = np.array([s[-1] if n > SKETCH else 2**31 - 1 for s, n in zip(sketch, size)])
+    top = np.array([2**63 - 1 if w else s[-1] for s, w in zip(sketch, whole)], np.int64)
     union = np.stack([np.searchsorted(sketch[i], top[y], "right") for i in x]) + np.stack([np.searchsorted(sketch[j], top[x], "right") for j in y], 1) - both
     return both / union
 
@@ -297,8 +348,8 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     anchor that many texts share (a common passage, a large group of copies) is first parted by Golay indices of
     the fingerprint's segments, of which near fingerprints share some; parts that stay large are compared
     with two of their texts each. That joins most of a large group at little cost; texts of such an anchor that
-    are in different components then are all compared (see `_crossing`). Similarity is that of the SKETCH least shingle hashes: exact up to so many
-    different shingles, else an estimate. Exact copies are one node whatever their number.
+    are in different components then are all compared (see `_crossing`). Sketches of the SKETCH least shingle hashes rule out pairs that
+    are clearly less similar; what is left is decided on all shingles of both. Exact copies are one node whatever their number.
     """
     sig = written(signatures(docs, words), "signatures")
     reps = sig.groupBy("same").agg(F.min("id").alias("rep"))
@@ -327,14 +378,21 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     for p in found[1:]:
         pairs = pairs.union(p)
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    left = pairs.join(node.select(F.col("rep").alias("a"), F.col("sketch").alias("x")), "a").join(node.select(F.col("rep").alias("b"), F.col("sketch").alias("y")), "b")
-    # of the least hashes of both, the share that both have
-    union = F.slice(F.array_sort(F.array_union("x", "y")), 1, SKETCH)
+    left = pairs.join(node.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("size").alias("m")), "a").join(node.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("size").alias("n")), "b")
+    whole = (F.col("m") <= SKETCH) & (F.col("n") <= SKETCH)
+    # of the least hashes of both (all, where the sketches hold them), the share that both have
+    union = F.array_sort(F.array_union("x", "y"))
     both = F.size(F.array_intersect(F.array_intersect("u", "x"), "y")) / F.size("u")
-    edges = left.withColumn("u", union).where((F.size("u") > 0) & (both >= similarity)).select("a", "b")
-    edges = written(edges, "near")
+    left = left.withColumn("u", F.when(whole, union).otherwise(F.slice(union, 1, SKETCH))).where(F.size("u") > 0).withColumn("like", both)
+    left = left.where((F.col("like") >= similarity - F.when(whole, NEAR).otherwise(MARGIN)) & (F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-6))
+    left = written(left.select("a", "b", (whole & (F.col("like") >= similarity + NEAR)).alias("sure")), "likely")
+    # groups of about 64 pairs, by both ends, so that a text with many pairs does not land in one
+    side = math.ceil(math.sqrt(left.where("not sure").count() / 64)) or 1
+    grouped = left.withColumn("g", F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side)))
+    edges = _verified(docs, node, grouped, words, similarity)
     comp = components(edges)
-    comp = components(edges.union(_crossing(members.where(F.col("n") > FEW), node, comp, similarity)))
+    crossing = _crossing(members.where(F.col("n") > FEW), node, comp, similarity)
+    comp = components(edges.union(_verified(docs, node, crossing, words, similarity)))
     reps = reps.join(comp, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("rep"))
     return sig.select("id", "same").join(reps, "same")
 
