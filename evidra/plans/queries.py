@@ -29,9 +29,14 @@ def _turns(spark, sf) -> DataFrame:
     return t.select(F.lit("run").alias("run_id"), F.col("conv_id").cast("string").alias("candidate_record_id"), "conv_id", "turn", (F.col("turn") + 1).cast("int").alias("screen_index"), F.concat_ws(":", "conv_id", "turn").alias("screen_id"), F.lit(True).alias("is_formal"), "role", "text", c.alias("comparison_text"))
 
 
+def _lines(spark, sf) -> DataFrame:
+    """Documents' lines that are not blank."""
+    return _read(spark, sf, "documents").select("doc_id", F.filter(F.transform(F.split("text", "\n"), lambda x: text.box_text(x, normalise=False)), lambda x: x != "").alias("lines"))
+
+
 def _windows(spark, sf) -> DataFrame:
     """Documents as overlapping windows of lines: at most eight screens each."""
-    d = _read(spark, sf, "documents").select("doc_id", F.filter(F.transform(F.split("text", "\n"), lambda x: text.box_text(x, normalise=False)), lambda x: x != "").alias("lines"))
+    d = _lines(spark, sf)
     n = F.least(F.lit(8), F.greatest(F.lit(1), F.ceil((F.size("lines") - WINDOW) / STEP) + 1)).cast("int")
     d = d.where(F.size("lines") > 0).select("doc_id", "lines", F.explode(F.sequence(F.lit(1), n)).alias("screen_index"))
     return d.select("doc_id", "screen_index", F.slice("lines", (F.col("screen_index") - 1) * STEP + 1, WINDOW).alias("lines"))
@@ -308,17 +313,18 @@ def scan_positions(spark, sf):
 
 
 def _word_boxes(spark, sf):
-    """Documents' first screens as boxes: a box for each word, in place by line and column."""
-    w = _windows(spark, sf).where("screen_index = 1").select("doc_id", F.posexplode("lines").alias("row", "line"))
-    words = w.select("doc_id", "row", F.posexplode(F.split("line", " ")).alias("col", "word"), "line")
+    """Documents' lines as boxes, a screen for every WINDOW lines: a box for each word, in place by line and column."""
+    w = _lines(spark, sf).select("doc_id", F.posexplode("lines").alias("at", "line"))
+    w = w.select("doc_id", F.expr(f"cast(at div {WINDOW} as int) + 1").alias("screen_index"), (F.col("at") % WINDOW).alias("row"), "line")
+    words = w.select("doc_id", "screen_index", "row", F.posexplode(F.split("line", " ")).alias("col", "word"), "line")
     x = F.aggregate(F.slice(F.split("line", " "), F.lit(1), F.col("col")), F.lit(0), lambda a, t: a + F.length(t) + 1)
-    b = words.withColumn("x", x * 10).select("doc_id", F.format_string("%d:%d:%d", "doc_id", "row", "col").alias("box_id"), F.col("word").alias("raw_text"), F.lit(0.95).alias("confidence"), F.format_string("[%d,%d,%d,%d]", F.col("x"), F.col("row") * 30, F.col("x") + F.length("word") * 10, F.col("row") * 30 + 20).alias("bbox"), (F.col("row") * 10000 + F.col("col")).alias("original_index"))
-    return layout.gather(b, ("doc_id",))
+    b = words.withColumn("x", x * 10).select("doc_id", "screen_index", F.format_string("%d:%d:%d:%d", "doc_id", "screen_index", "row", "col").alias("box_id"), F.col("word").alias("raw_text"), F.lit(0.95).alias("confidence"), F.format_string("[%d,%d,%d,%d]", F.col("x"), F.col("row") * 30, F.col("x") + F.length("word") * 10, F.col("row") * 30 + 20).alias("bbox"), (F.col("row") * 10000 + F.col("col")).alias("original_index"))
+    return layout.gather(b, ("doc_id", "screen_index"))
 
 
 def reading_order(spark, sf):
     s = layout.fingerprint_screens(layout.normalise_screens(_word_boxes(spark, sf)))
-    return s.select("doc_id", "normalization_status", F.size("lines").alias("n_lines"), F.sha2("normalized_text", 256).alias("text_sha256"), "exact_hash", "deduplicated_box_count", "duplicate_gray_pair_count")
+    return s.select("doc_id", "screen_index", "normalization_status", F.size("lines").alias("n_lines"), F.sha2("normalized_text", 256).alias("text_sha256"), "exact_hash", "deduplicated_box_count", "duplicate_gray_pair_count")
 
 
 QUERIES = {f.__name__: f for f in (
