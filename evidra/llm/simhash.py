@@ -171,7 +171,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataF
         nodes = nodes.join(components(near), F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component"))
     else:
         nodes = nodes.select("fp", F.col("rep").alias("component"))
-    out = fps.join(nodes, "fp")
+    # written, so that both sides of the join are dealt anew and the rows of a very frequent fingerprint can be split
+    out = fps.join(written(nodes, "classes"), "fp")
     return out.select(null_key(F.col("id")).alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), null_key(F.col("component")).alias("component_id"))
 
 
@@ -183,10 +184,10 @@ def op3_simhash_golay(spark, sf_dir):
 
 #: Anchors of a text (least shingle hashes under as many orders) and least hashes kept to estimate similarity.
 ANCHORS, SKETCH = 8, 256
-#: An anchor shared by more texts than this is first parted by the Golay indices of the fingerprints' segments.
+#: Open anchors of at most this many texts are compared by a join, larger ones by Golay parts and then in blocks.
 FEW = 24
-#: Sketches rule pairs out only so far below the threshold (six standard deviations of a sketch's estimate), and decide
-#: alone only for texts that they hold whole, so far from it (they are of 31 bits; some may coincide).
+#: Sketches decide alone only so far from the threshold: six standard deviations of a sketch's estimate, or, for two
+#: texts that the sketches hold whole, NEAR (their hashes are of 31 bits; some may coincide).
 MARGIN, NEAR = 0.15, 0.02
 #: Texts of a block; the blocks of an anchor that many texts share are compared pair by pair (see `_crossing`).
 BLOCK = 512
@@ -227,51 +228,99 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(doc_key().alias("id"), "text").mapInArrow(run, "id long, fp long, same long, size int, anchors array<long>, sketch array<int>")
 
 
-def _pairs(rows: DataFrame) -> DataFrame:
-    """(a, b) candidates of rows (key, rep): all pairs of a key of at most FEW, else each with the least and the greatest."""
-    size = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("n > 1")
-    members = rows.join(size, "key")
-    few, many = members.where(F.col("n") <= FEW), members.where(F.col("n") > FEW)
-    x, y = few.alias("x"), few.alias("y")
-    pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep"))).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-    stars = many.select(F.explode(F.array("lo", "hi")).alias("a"), F.col("rep").alias("b")).where("a != b")
-    return pairs.union(stars).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+def _stars(rows: DataFrame) -> DataFrame:
+    """(a, b) of rows (key, node): each node with its key's leader, the least; as many pairs as rows at most."""
+    lead = rows.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    return rows.join(lead, "key").where("node != a").select("a", F.col("node").alias("b"))
 
 
-def _crossing(members: DataFrame, node: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
-    """(a, b, sure, g) of rows (key, rep) that share a key, lie in different components and may be similar; g is the group they met in.
+def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows (key, node, n, fp, part) of members whose key holds nodes of different components (part)."""
+    m = members.join(comp, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+    parts = m.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
+    return written(m.join(parts, "key"), "open")
+
+
+def _likely(pairs: DataFrame, node: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, sure, g) of pairs (a, b): without those that sketches or sizes rule out; sure ones are decided by the sketches.
+
+    Groups g hold about 64 pairs and go by both ends, so that a text with many pairs does not land in one.
+    """
+    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    x, y = ([F.col("node").alias(i), F.col("sketch").alias(f"s{i}"), F.col("size").alias(f"n{i}")] for i in "ab")
+    left = pairs.join(node.select(*x), "a").join(node.select(*y), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
+    whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH)
+    # of the least hashes of both (all, where the sketches hold them), the share that both have
+    union = F.array_sort(F.array_union("sa", "sb"))
+    left = left.withColumn("u", F.when(whole, union).otherwise(F.slice(union, 1, SKETCH))).where(F.size("u") > 0)
+    left = left.withColumn("like", F.size(F.array_intersect(F.array_intersect("u", "sa"), "sb")) / F.size("u"))
+    far = F.when(whole, NEAR).otherwise(MARGIN)
+    left = written(left.where(F.col("like") >= similarity - far).select("a", "b", (F.col("like") >= similarity + far).alias("sure")), "likely")
+    side = math.ceil(math.sqrt(left.where("not sure").count() / 64)) or 1
+    return left.withColumn("g", F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side)))
+
+
+def _few(m: DataFrame, node: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of the rows (key, node, part) of small keys: pairs of different components whose sizes allow `similarity`."""
+    m = m.join(node.select("node", "size"), "node").select("key", "node", "part", "size")
+    x, y = m.alias("x"), m.alias("y")
+    near = F.least("x.size", "y.size") >= similarity * F.greatest("x.size", "y.size") - 1e-6
+    j = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.node") < F.col("y.node")) & (F.col("x.part") != F.col("y.part")) & near)
+    return j.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
+def _parted(m: DataFrame) -> DataFrame:
+    """(a, b) of the rows (key, node, part, fp) of large keys: parted by the Golay indices of the fingerprint's segments, a star in each part.
+
+    Near fingerprints share some index of some segment, so most near copies of a large loose group meet here.
+    """
+
+    def parts(batches):
+        for b in batches:
+            key, name, part, fp = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            f, at, out = fp.view(np.uint64), 0, []
+            for k, n in enumerate(SEGMENTS):
+                idx, mask = golay_indices((f >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64))
+                r, c = np.nonzero(mask)
+                out.append((r, _mix(key[r].view(np.uint64) ^ (np.uint64(k) << np.uint64(12) | idx[r, c].astype(np.uint64)), 5).view(np.int64)))
+                at += n
+            r, k = (np.concatenate(z) for z in zip(*out))
+            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(name[r]), pa.array(part[r])], names=["key", "node", "part"])
+
+    rows = m.select("key", "node", "part", "fp").mapInArrow(parts, "key long, node long, part long")
+    lead = rows.groupBy("key").agg(F.min(F.struct("node", "part")).alias("x"), F.count("*").alias("n")).where("n > 1").select("key", "x")
+    return rows.join(lead, "key").where("part != x.part").select(F.col("x.node").alias("a"), F.col("node").alias("b"))
+
+
+def _crossing(m: DataFrame, node: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, sure, g) of rows (key, node, part) that share a key, lie in different components and may be similar; g is the group they met in.
 
-    Keys whose texts all lie in one component are done. Those of the others are laid out by size, one level
-    for each step of `similarity` (similar texts are at most one level apart), and cut into blocks; every
-    two blocks of a key at most one level apart meet in a group of their own, so that nothing is left out and
-    no task holds more than two blocks.
+    Texts are laid out by size, one level for each step of `similarity` (similar texts are at most one level
+    apart), and cut into blocks; every two blocks of a key at most one level apart meet in a group of their
+    own, so that nothing is left out and no task holds more than two blocks.
     """
     step = max(-math.log(similarity), 0.01) * (1 + 1e-9)
-    part = F.coalesce("component", "rep").alias("part")
-    m = members.select("key", "rep").join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", part)
-    parts = m.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
-    m = m.join(parts, "key").join(node.select("rep", F.floor(F.log("size") / step).cast("int").alias("level")), "rep")
-    m = written(m, "open")
+    m = m.select("key", "node", "part").join(node.select("node", F.floor(F.log("size") / step).cast("int").alias("level")), "node")
     blocks = m.groupBy("key", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("n"))
-    m = m.join(blocks, "key").withColumn("i", F.expr("cast(pmod(xxhash64(rep), n[level]) as int)"))
+    m = m.join(blocks, "key").withColumn("i", F.expr("cast(pmod(xxhash64(node), n[level]) as int)"))
     spots = F.expr("""explode(concat(
         transform(sequence(0, n[level] - 1), j -> struct(xxhash64(key, level, least(i, j), level, greatest(i, j)) as g, case when i = j then 2 when i < j then 0 else 1 end as side)),
         if(n[level + 1] is null, array(), transform(sequence(0, n[level + 1] - 1), j -> struct(xxhash64(key, level, i, level + 1, j) as g, 0 as side))),
         if(n[level - 1] is null, array(), transform(sequence(0, n[level - 1] - 1), j -> struct(xxhash64(key, level - 1, j, level, i) as g, 1 as side)))))""")
-    rows = m.select("rep", "part", spots.alias("s")).select("s.g", "s.side", "rep", "part").join(node.select("rep", "size", "sketch"), "rep")
+    rows = m.select("node", "part", spots.alias("s")).select("s.g", "s.side", "node", "part").join(node.select("node", "size", "sketch"), "node")
 
     def compare(t: pa.Table) -> pa.Table:
-        side, rep, part, size = (t.column(c).to_numpy() for c in ("side", "rep", "part", "size"))
+        side, name, part, size = (t.column(c).to_numpy() for c in ("side", "node", "part", "size"))
         sketch = t.column("sketch").combine_chunks()
         x, y = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         if not len(x) or not len(y) or part.min() == part.max():
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "sure": pa.array([], pa.bool_()), "g": pa.array([], pa.int64())})
         whole = size <= SKETCH
-        like = _likeness([sketch[i].values.to_numpy() for i in range(len(rep))], whole, x, y)
-        both = whole[x][:, None] & whole[y]
-        i, j = np.nonzero((like >= similarity - np.where(both, NEAR, MARGIN)) & (part[x][:, None] != part[y]))
-        a, b = rep[x[i]], rep[y[j]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": both[i, j] & (like[i, j] >= similarity + NEAR), "g": np.full(len(a), t.column("g")[0].as_py(), np.int64)})
+        like = _likeness([sketch[i].values.to_numpy() for i in range(len(name))], whole, x, y)
+        far = np.where(whole[x][:, None] & whole[y], NEAR, MARGIN)
+        i, j = np.nonzero((like >= similarity - far) & (part[x][:, None] != part[y]))
+        a, b = name[x[i]], name[y[j]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": like[i, j] >= similarity + far[i, j], "g": np.full(len(a), t.column("g")[0].as_py(), np.int64)})
 
     return rows.groupBy("g").applyInArrow(compare, "a long, b long, sure boolean, g long")
 
@@ -283,27 +332,29 @@ def _verified(docs: DataFrame, node: DataFrame, pairs: DataFrame, words: int, si
     """
     pairs = written(pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"), F.min("g").alias("g")), "pairs")
     rest = pairs.where("not sure").select("g", "a", "b")
-    need = rest.select("g", F.explode(F.array("a", "b")).alias("rep")).distinct()
+    if rest.isEmpty():
+        return pairs.select("a", "b")
+    need = rest.select("g", F.explode(F.array("a", "b")).alias("node")).distinct()
 
     def shingled(batches):
         for whole in batches:
-            for b in byte_chunks(whole, 2):
+            for b in byte_chunks(whole, 1):
                 # of the rows that share a doc_id only those with the node's text
-                b = b.filter(pa.array([_same(t) == s for t, s in zip(b.column(2).to_pylist(), b.column(1).to_pylist())], pa.bool_()))
-                sets = [np.unique(np.array(shingle_hashes(t or "", words), np.uint64).view(np.int64)).tobytes() for t in b.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["rep", "shingles"])
+                b = b.filter(pa.array([_same(t) == s for t, s in zip(b.column(1).to_pylist(), b.column(0).to_pylist())], pa.bool_()))
+                sets = [np.unique(np.array(shingle_hashes(t or "", words), np.uint64).view(np.int64)).tobytes() for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
         trim()
 
-    ids = node.join(need.select("rep").distinct(), "rep", "left_semi").select("rep", "same")
-    texts = docs.select(doc_key().alias("rep"), "text").join(ids, "rep").select("rep", "same", "text")
-    sets = written(texts.mapInArrow(shingled, "rep long, shingles binary").dropDuplicates(["rep"]), "shingles")
+    ids = node.join(need.select("node").distinct(), "node", "left_semi").select("node", "id")
+    texts = docs.select(doc_key().alias("id"), "text").join(ids, "id").select("node", "text")
+    sets = written(texts.mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
 
     def check(t: pa.Table, p: pa.Table) -> pa.Table:
-        reps = t.column("rep").to_numpy()
-        by = np.argsort(reps)
+        names = t.column("node").to_numpy()
+        by = np.argsort(names)
         sets = [np.frombuffer(v.as_py(), np.int64) for v in t.column("shingles")]
         a, b = p.column("a").to_numpy(), p.column("b").to_numpy()
-        i, j = (by[np.searchsorted(reps, v, sorter=by)] for v in (a, b))
+        i, j = (by[np.searchsorted(names, v, sorter=by)] for v in (a, b))
         ok = np.zeros(len(a), bool)
         for k in range(0, len(a), BLOCK):
             x, at_x = np.unique(i[k : k + BLOCK], return_inverse=True)
@@ -313,7 +364,7 @@ def _verified(docs: DataFrame, node: DataFrame, pairs: DataFrame, words: int, si
             ok[k : k + BLOCK] = like[at_x, at_y] >= similarity
         return pa.table({"a": a[ok], "b": b[ok]})
 
-    full = need.join(sets.select("rep", "shingles"), "rep").groupBy("g").cogroup(rest.select(F.col("g").alias("h"), "a", "b").groupBy("h")).applyInArrow(check, "a long, b long")
+    full = need.join(sets.select("node", "shingles"), "node").groupBy("g").cogroup(rest.select(F.col("g").alias("h"), "a", "b").groupBy("h")).applyInArrow(check, "a long, b long")
     return written(pairs.where("sure").select("a", "b").union(full), "near")
 
 
@@ -339,70 +390,72 @@ def _likeness(sketch: list[np.ndarray], whole: np.ndarray, x: np.ndarray, y: np.
     return both / union
 
 
-def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(id, same, rep) groups of docs (doc_id, text): rep is the least id of the group of copies and near copies.
-
-    Texts whose shingle sets (of `words` words) have a Jaccard similarity of `similarity` or more are
-    linked. Candidates come from the Golay keys of their SimHash fingerprints (within two bits) and from
-    anchors: shingles least under a hash, which two texts share with a probability of their similarity. An
-    anchor that many texts share (a common passage, a large group of copies) is first parted by Golay indices of
-    the fingerprint's segments, of which near fingerprints share some; parts that stay large are compared
-    with two of their texts each. That joins most of a large group at little cost; texts of such an anchor that
-    are in different components then are all compared (see `_crossing`). Sketches of the SKETCH least shingle hashes rule out pairs that
-    are clearly less similar; what is left is decided on all shingles of both. Exact copies are one node whatever their number.
+def classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(id, same) of every row of docs (doc_id, text), and (same, keep): the least id of the class of copies and near copies of each different text.
+
+    Texts that differ in their words are nodes; exact copies are one node whatever their number. Nodes whose
+    shingle sets (of `words` words) have a Jaccard similarity of `similarity` or more are linked, and the
+    classes are the components. Three rounds add links, each verified by sketches or, near the threshold, by all
+    shingles of both texts:
+
+    1. the Golay keys of the SimHash fingerprints (all pairs within two bits), and of each anchor (a shingle
+       least under a hash, which two texts share with a probability of their similarity) its least node with
+       each other one: as many pairs as texts, so a group of any size with a common centre is joined;
+    2. of anchors whose texts are still in different components: small ones pair by pair, large ones parted
+       by the Golay indices of the fingerprint's segments, a star in each part;
+    3. of large anchors that are still open every pair of different components, in blocks of sketches.
+
+    So no two texts that share an anchor remain apart unless they were compared; rounds without pairs end at once.
     """
     sig = written(signatures(docs, words), "signatures")
-    reps = sig.groupBy("same").agg(F.min("id").alias("rep"))
-    node = written(sig.join(reps.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"]).withColumnRenamed("id", "rep"), "nodes")
-    by_fp = node.groupBy("fp").agg(F.min("rep").alias("rep"))
-    found = [links(by_fp), node.join(by_fp.withColumnRenamed("rep", "b"), "fp").where("rep != b").select(F.col("rep").alias("a"), "b")]
-    anchored = node.select("rep", "fp", F.explode(F.expr("transform(anchors, (x, i) -> xxhash64(x, i))")).alias("key"))
+    per = sig.groupBy("same").agg(F.min("id").alias("id"), F.any_value(F.struct("fp", "size", "anchors", "sketch")).alias("x"))
+    node = written(per.select(F.col("same").alias("node"), "id", "x.*"), "nodes")
+    by_fp = node.groupBy("fp").agg(F.min("node").alias("rep"))
+    found = links(by_fp).union(_stars(node.select(F.col("fp").alias("key"), "node")))
+    anchored = node.select("node", "fp", F.explode(F.expr("transform(anchors, (x, i) -> xxhash64(x, i))")).alias("key"))
     size = anchored.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(anchored.join(size, "key"), "anchors")
-    found.append(_pairs(members.where(F.col("n") <= FEW).select("key", "rep")))
-
-    def parted(batches):
-        for b in batches:
-            key, rep, fp = (b.column(k).to_numpy(zero_copy_only=False) for k in range(3))
-            f, at, out = fp.view(np.uint64), 0, []
-            for k, n in enumerate(SEGMENTS):
-                idx, mask = golay_indices((f >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64))
-                r, c = np.nonzero(mask)
-                out.append((r, _mix(key[r].view(np.uint64) ^ (np.uint64(k) << np.uint64(12) | idx[r, c].astype(np.uint64)), 5).view(np.int64)))
-                at += n
-            r, k = (np.concatenate(z) for z in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(rep[r])], names=["key", "rep"])
-
-    found.append(_pairs(members.where(F.col("n") > FEW).select("key", "rep", "fp").mapInArrow(parted, "key long, rep long")))
-    pairs = found[0]
-    for p in found[1:]:
-        pairs = pairs.union(p)
-    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    left = pairs.join(node.select(F.col("rep").alias("a"), F.col("sketch").alias("x"), F.col("size").alias("m")), "a").join(node.select(F.col("rep").alias("b"), F.col("sketch").alias("y"), F.col("size").alias("n")), "b")
-    whole = (F.col("m") <= SKETCH) & (F.col("n") <= SKETCH)
-    # of the least hashes of both (all, where the sketches hold them), the share that both have
-    union = F.array_sort(F.array_union("x", "y"))
-    both = F.size(F.array_intersect(F.array_intersect("u", "x"), "y")) / F.size("u")
-    left = left.withColumn("u", F.when(whole, union).otherwise(F.slice(union, 1, SKETCH))).where(F.size("u") > 0).withColumn("like", both)
-    left = left.where((F.col("like") >= similarity - F.when(whole, NEAR).otherwise(MARGIN)) & (F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-6))
-    left = written(left.select("a", "b", (whole & (F.col("like") >= similarity + NEAR)).alias("sure")), "likely")
-    # groups of about 64 pairs, by both ends, so that a text with many pairs does not land in one
-    side = math.ceil(math.sqrt(left.where("not sure").count() / 64)) or 1
-    grouped = left.withColumn("g", F.pmod(F.xxhash64("a"), F.lit(side)) * side + F.pmod(F.xxhash64("b"), F.lit(side)))
-    edges = _verified(docs, node, grouped, words, similarity)
+    edges = _verified(docs, node, _likely(found.union(_stars(members.select("key", "node"))), node, similarity), words, similarity)
+    comp = components(edges)
+    still = _open(members, comp)
+    pairs = _few(still.where(F.col("n") <= FEW), node, similarity).union(_parted(still.where(F.col("n") > FEW)))
+    edges = edges.union(_verified(docs, node, _likely(pairs, node, similarity), words, similarity))
+    large = still.where(F.col("n") > FEW)
+    if not large.isEmpty():
+        comp = components(edges)
+        large = _open(large.drop("part"), comp)
+        edges = edges.union(_verified(docs, node, _crossing(large, node, similarity), words, similarity))
     comp = components(edges)
-    crossing = _crossing(members.where(F.col("n") > FEW), node, comp, similarity)
-    comp = components(edges.union(_verified(docs, node, crossing, words, similarity)))
-    reps = reps.join(comp, F.col("rep") == F.col("node"), "left").select("same", F.coalesce("component", "rep").alias("rep"))
-    return sig.select("id", "same").join(reps, "same")
+    whole = comp.union(comp.select(F.col("component").alias("node"), "component").distinct()).join(node.select("node", "id"), "node")
+    least = written(whole.groupBy("component").agg(F.min("id").alias("keep")), "least")
+    keep = written(whole, "classes").join(least, "component").select(F.col("node").alias("m"), "keep")
+    keep = node.select(F.col("node").alias("same"), "id").join(keep, F.col("same") == F.col("m"), "left").select("same", F.coalesce("keep", "id").alias("keep"))
+    return sig.select("id", "same"), written(keep, "keep")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(id, same, rep) of every row of docs (doc_id, text): rep is the least id of its class of copies and near copies (see `classes`).
+
+    A null text is empty, texts without words are copies of each other; a null doc_id is NULL_ID; repeated rows
+    stay; an empty table gives an empty result; other columns are not read.
+    """
+    rows, keep = classes(docs, words, similarity)
+    return rows.join(keep.withColumnRenamed("keep", "rep"), "same").select("id", "same", "rep")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs (all columns) with one document of each group of near copies: that of the least doc_id.
+    """docs (all columns) with one document of each class of near copies: that of the least doc_id.
 
     Texts without words are copies of each other. A null doc_id counts as the least; rows that share a doc_id
-    stay or go together. An empty table stays empty.
+    stay or go together: they go if one of them is a copy of a lesser id. An empty table stays empty; other
+    columns are carried along, whatever their names.
     """
-    gone = near_copies(docs, words, similarity).where("id != rep").select("id").distinct()
-    keep = written(gone, "gone")
-    return docs.join(keep.withColumnRenamed("id", "_gone_id").hint("shuffle_hash"), doc_key() == F.col("_gone_id"), "left_anti")
+    rows, keep = classes(docs, words, similarity)
+    # a row stays if its id is that of its class; the join is by both, so that no group of copies meets in one task
+    k = keep.select(F.col("same").alias("k_same"), F.col("keep").alias("k_id"))
+    gone = rows.join(k, (F.col("id") == F.col("k_id")) & (F.col("same") == F.col("k_same")), "left_anti").select("id").distinct()
+    name = "gone_id"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    gone = written(gone.select(F.col("id").alias(name)), "gone")
+    return docs.join(gone.hint("shuffle_hash"), doc_key() == F.col(name), "left_anti")
