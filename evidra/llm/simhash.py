@@ -184,7 +184,7 @@ def op3_simhash_golay(spark, sf_dir):
 
 #: Anchors of a text (least shingle hashes under as many orders) and least hashes kept to estimate similarity.
 ANCHORS, SKETCH = 8, 256
-#: Open anchors of at most this many texts are compared by a join, larger ones by Golay parts and then in blocks.
+#: Open anchors of at most this many texts are compared by a join, larger ones in blocks.
 FEW = 24
 #: Sketches decide alone only so far from the threshold: six standard deviations of a sketch's estimate, or, for two
 #: texts that the sketches hold whole, NEAR (their hashes are of 31 bits; some may coincide).
@@ -235,7 +235,7 @@ def _stars(rows: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """The rows (key, node, n, fp, part) of members whose key holds nodes of different components (part)."""
+    """The rows (key, node, n, part) of members whose key holds nodes of different components (part)."""
     m = members.join(comp, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
     parts = m.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
     return written(m.join(parts, "key"), "open")
@@ -269,29 +269,6 @@ def _few(m: DataFrame, node: DataFrame, similarity: float) -> DataFrame:
     return j.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
-def _parted(m: DataFrame) -> DataFrame:
-    """(a, b) of the rows (key, node, part, fp) of large keys: parted by the Golay indices of the fingerprint's segments, a star in each part.
-
-    Near fingerprints share some index of some segment, so most near copies of a large loose group meet here.
-    """
-
-    def parts(batches):
-        for b in batches:
-            key, name, part, fp = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            f, at, out = fp.view(np.uint64), 0, []
-            for k, n in enumerate(SEGMENTS):
-                idx, mask = golay_indices((f >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64))
-                r, c = np.nonzero(mask)
-                out.append((r, _mix(key[r].view(np.uint64) ^ (np.uint64(k) << np.uint64(12) | idx[r, c].astype(np.uint64)), 5).view(np.int64)))
-                at += n
-            r, k = (np.concatenate(z) for z in zip(*out))
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(name[r]), pa.array(part[r])], names=["key", "node", "part"])
-
-    rows = m.select("key", "node", "part", "fp").mapInArrow(parts, "key long, node long, part long")
-    lead = rows.groupBy("key").agg(F.min(F.struct("node", "part")).alias("x"), F.count("*").alias("n")).where("n > 1").select("key", "x")
-    return rows.join(lead, "key").where("part != x.part").select(F.col("x.node").alias("a"), F.col("node").alias("b"))
-
-
 def _crossing(m: DataFrame, node: DataFrame, similarity: float) -> DataFrame:
     """(a, b, sure, g) of rows (key, node, part) that share a key, lie in different components and may be similar; g is the group they met in.
 
@@ -395,37 +372,34 @@ def classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> tuple[D
 
     Texts that differ in their words are nodes; exact copies are one node whatever their number. Nodes whose
     shingle sets (of `words` words) have a Jaccard similarity of `similarity` or more are linked, and the
-    classes are the components. Three rounds add links, each verified by sketches or, near the threshold, by all
+    classes are the components. Two rounds add links, each verified by sketches or, near the threshold, by all
     shingles of both texts:
 
     1. the Golay keys of the SimHash fingerprints (all pairs within two bits), and of each anchor (a shingle
        least under a hash, which two texts share with a probability of their similarity) its least node with
        each other one: as many pairs as texts, so a group of any size with a common centre is joined;
-    2. of anchors whose texts are still in different components: small ones pair by pair, large ones parted
-       by the Golay indices of the fingerprint's segments, a star in each part;
-    3. of large anchors that are still open every pair of different components, in blocks of sketches.
+    2. of anchors whose texts are still in different components every pair of different components: by a join
+       where few texts share the anchor, else in blocks of sketches.
 
-    So no two texts that share an anchor remain apart unless they were compared; rounds without pairs end at once.
+    So no two texts that share an anchor remain apart unless they were compared. The second round grows with the
+    square of the number of texts of an anchor that are not near copies of its leader.
     """
     sig = written(signatures(docs, words), "signatures")
     per = sig.groupBy("same").agg(F.min("id").alias("id"), F.any_value(F.struct("fp", "size", "anchors", "sketch")).alias("x"))
     node = written(per.select(F.col("same").alias("node"), "id", "x.*"), "nodes")
     by_fp = node.groupBy("fp").agg(F.min("node").alias("rep"))
     found = links(by_fp).union(_stars(node.select(F.col("fp").alias("key"), "node")))
-    anchored = node.select("node", "fp", F.explode(F.expr("transform(anchors, (x, i) -> xxhash64(x, i))")).alias("key"))
+    anchored = node.select("node", F.explode(F.expr("transform(anchors, (x, i) -> xxhash64(x, i))")).alias("key"))
     size = anchored.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = written(anchored.join(size, "key"), "anchors")
     edges = _verified(docs, node, _likely(found.union(_stars(members.select("key", "node"))), node, similarity), words, similarity)
     comp = components(edges)
     still = _open(members, comp)
-    pairs = _few(still.where(F.col("n") <= FEW), node, similarity).union(_parted(still.where(F.col("n") > FEW)))
-    edges = edges.union(_verified(docs, node, _likely(pairs, node, similarity), words, similarity))
-    large = still.where(F.col("n") > FEW)
+    few, large = still.where(F.col("n") <= FEW), still.where(F.col("n") > FEW)
+    pairs = _likely(_few(few, node, similarity), node, similarity)
     if not large.isEmpty():
-        comp = components(edges)
-        large = _open(large.drop("part"), comp)
-        edges = edges.union(_verified(docs, node, _crossing(large, node, similarity), words, similarity))
-    comp = components(edges)
+        pairs = pairs.unionByName(_crossing(large, node, similarity))
+    comp = components(edges.union(_verified(docs, node, pairs, words, similarity)))
     whole = comp.union(comp.select(F.col("component").alias("node"), "component").distinct()).join(node.select("node", "id"), "node")
     least = written(whole.groupBy("component").agg(F.min("id").alias("keep")), "least")
     keep = written(whole, "classes").join(least, "component").select(F.col("node").alias("m"), "keep")
