@@ -296,12 +296,34 @@ def _crossing(m: DataFrame, node: DataFrame, similarity: float) -> DataFrame:
         like = _likeness([sketch[i].values.to_numpy() for i in range(len(name))], whole, x, y)
         far = np.where(whole[x][:, None] & whole[y], NEAR, MARGIN)
         i, j = np.nonzero((like >= similarity - far) & (part[x][:, None] != part[y]))
-        a, b = name[x[i]], name[y[j]]
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": like[i, j] >= similarity + far[i, j], "g": np.full(len(a), t.column("g")[0].as_py(), np.int64)})
+        sure = like[i, j] >= similarity + far[i, j]
+        # sure pairs join components: one link to the least of them says as much as all their pairs, and other pairs inside them are not needed
+        parts, first, at = np.unique(part, return_index=True, return_inverse=True)
+        u, v = at[x[i]], at[y[j]]
+        top = _least_reachable(len(parts), u[sure], v[sure])
+        moved = np.flatnonzero(top != np.arange(len(parts)))
+        rest = np.flatnonzero(~sure & (top[u] != top[v]))
+        a, b = np.concatenate([name[first[moved]], name[x[i[rest]]]]), np.concatenate([name[first[top[moved]]], name[y[j[rest]]]])
+        chunk = np.concatenate([np.zeros(len(moved), np.uint64), np.arange(len(rest), dtype=np.uint64) >> np.uint64(12)])
+        g = _mix(np.full(len(a), t.column("g")[0].as_py(), np.int64).view(np.uint64) + chunk, 9).view(np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "sure": np.arange(len(a)) < len(moved), "g": g})
 
     return rows.groupBy("g").applyInArrow(compare, "a long, b long, sure boolean, g long")
 
 
+def _least_reachable(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least node that the edges (u, v) reach."""
+    top = np.arange(n)
+    while True:
+        new, low = top.copy(), np.minimum(top[u], top[v])
+        np.minimum.at(new, u, low)
+        np.minimum.at(new, v, low)
+        new = new[new]
+        if (new == top).all():
+            return top
+        top = new
+
+
 def _verified(docs: DataFrame, node: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(a, b) of pairs (a, b, sure, g) that are similar: the sure ones, and the others by all shingles of both texts.
 
