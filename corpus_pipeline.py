@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, line dedup, near-duplicates, mixing, SentencePiece encoding.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as
-the next one's docs.
+the next one's docs. All stages but the last return the columns of docs, whatever others it has; null ids and
+texts, repeated rows and empty tables pass through as the operators say.
 """
 
 from __future__ import annotations
@@ -14,31 +15,28 @@ from evidra.llm.common import documents, written
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep; null, empty and short texts go."""
     model = quality_rules.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    return quality_rules.apply_rules(docs, model, keep=rest).where("kept").select(*docs.columns)
+    return quality_rules.kept_documents(docs, model)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that three or more share, but for the last; n_chars follows."""
-    rest = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    out = line_dedup.dedup_lines(docs, keep=rest)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    """Documents without the lines that three or more share, but for the last; n_chars follows. A null text becomes empty."""
+    return line_dedup.deduped_documents(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of copies and near copies (five-word shingles, similarity 0.8 or more)."""
+    """One document of each group of copies and near copies (five-word shingles, similarity 0.8 or more); texts without words are copies."""
     return simhash.drop_near_copies(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; a null source is one of its own, texts without words go."""
     return mixing.mixed_documents(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, the ids of the pieces of the text, and whether they decode to it."""
+    """doc_id, the ids of the pieces of the text, and whether they decode to it; a null text is empty."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return sentencepieces.encode_checked(rows)
 

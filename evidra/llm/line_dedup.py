@@ -12,20 +12,22 @@ from evidra.llm.common import byte_chunks, doc_key, documents, null_key, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 _LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
-#: Filters of more bytes than this in all are not broadcast; the exact join then takes all postings.
+#: Filters of more bytes than this in all are not broadcast; the postings are then dealt to the filters' shards.
 BROADCAST_BYTES = 16 << 20
-#: Keys that a shard is meant to hold.
-SHARD_KEYS = 1 << 15
+#: Keys that a shard is meant to hold, and postings that are asked of a filter in one group where they are dealt.
+SHARD_KEYS, GROUP = 1 << 15, 1 << 20
 
 
 class CuckooFilter:
     """Buckets of four 16-bit marks; partial-key cuckoo hashing (Fan et al., 2014). Supports insertion and deletion."""
 
     KICKS = 500
+    #: Share of slots in use up to which insertions find room.
+    LOAD = 0.84
 
     def __init__(self, capacity: int, slots: np.ndarray | None = None, spill: dict | None = None):
         n = 1
-        while n * 4 * 0.84 < max(capacity, 4):
+        while n * 4 * self.LOAD < max(capacity, 4):
             n *= 2
         self.slots = np.zeros((n, 4), np.uint16) if slots is None else slots
         #: Marks that found no room, by bucket pair: nothing inserted is ever lost.
@@ -72,6 +74,10 @@ class CuckooFilter:
             return True
         return False
 
+    @property
+    def full(self) -> bool:
+        return bool(self.spill) or np.count_nonzero(self.slots) > self.LOAD * self.slots.size
+
     def contains(self, keys: np.ndarray) -> np.ndarray:
         k = keys.astype(np.uint64)
         mark = (k >> np.uint64(48)) % np.uint64(65535) + np.uint64(1)
@@ -127,28 +133,31 @@ def postings(docs: DataFrame, min_chars: int = 20) -> DataFrame:
 class LineIndex:
     """Exact postings and reference counts of line keys, with cuckoo filters by shard over the keys that many documents share.
 
-    `posts` (h1, h2, id) holds a row for each key of each document; `counts` gives each key's number of
-    documents and its last document. `filters` (shard, data) hold the keys with at least min_docs documents:
-    a negative answer is exact, a positive one is checked against the counts. Insertions and deletions
-    change the postings exactly and put in or take out of the filters the keys that cross min_docs, so
-    insert followed by delete restores every count and every answer.
+    `posts` (h1, h2, id) holds a row for each key of each document (rows that share an id are one document);
+    `counts` (h1, h2, n, last) gives each key's number of documents and its last one; `filters` (shard, data)
+    hold the keys of at least min_docs documents: a negative answer is exact, a positive one is checked against
+    the counts. `insert` and `delete` work on the keys of the documents that come or go: their counts are taken
+    anew or summed and replace the old ones, and the filters put in or take out the keys that crossed min_docs,
+    so insert followed by delete restores every count and every answer. Where a filter is full, all are built
+    anew with twice the room or more shards, which happens each time the number of keys has doubled. An index that
+    has been changed reads the old tables and those of its changes; `compacted` writes them as one.
     """
 
-    def __init__(self, posts: DataFrame, min_docs: int = 3, min_chars: int = 20, shards: int | None = None, filters: DataFrame | None = None, active: DataFrame | None = None):
-        self.posts, self.min_docs, self.min_chars, self.filters = posts, min_docs, min_chars, filters
-        self.active = written(self.counts(), "active") if active is None else active
-        if shards is None:
-            shards = 1 + self.active.count() // SHARD_KEYS
-        self.shards = shards
+    def __init__(self, posts: DataFrame, counts: DataFrame, min_docs: int = 3, min_chars: int = 20, shards: int | None = None, filters: DataFrame | None = None):
+        self.posts, self.counts, self.min_docs, self.min_chars, self.filters, self.shards = posts, counts, min_docs, min_chars, filters, shards
 
     @classmethod
-    def of(cls, docs: DataFrame, **how) -> LineIndex:
+    def of(cls, docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> LineIndex:
         """The index of docs (doc_id, text)."""
-        return cls(written(postings(docs, how.get("min_chars", 20)), "postings"), **how)
+        posts = written(postings(docs, min_chars).distinct(), "postings")
+        return cls(posts, written(_counted(posts), "counts"), min_docs, min_chars)
+
+    def compacted(self) -> LineIndex:
+        return LineIndex(written(self.posts, "postings"), written(self.counts, "counts"), self.min_docs, self.min_chars, self.shards, self.filters)
 
-    def counts(self) -> DataFrame:
-        """(h1, h2, n, last) of the keys that at least min_docs rows hold. Counted before they are shuffled."""
-        return self.posts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") >= self.min_docs)
+    def active(self) -> DataFrame:
+        """(h1, h2, n, last) of the keys that at least min_docs documents hold."""
+        return self.counts.where(F.col("n") >= self.min_docs)
 
     def _shard(self):
         return F.pmod(F.col("h2"), F.lit(self.shards)).cast("int").alias("shard")
@@ -156,53 +165,71 @@ class LineIndex:
     def built_filters(self) -> DataFrame:
         """(shard, data): the filter of every shard that has keys, built where the shard's keys are."""
         if self.filters is None:
+            self.shards = 1 + self.active().count() // SHARD_KEYS
 
             def build(key, pdf):
-                f = CuckooFilter(len(pdf))
+                f = CuckooFilter(2 * max(len(pdf), 64))
                 for h in pdf["h1"].to_numpy().astype(np.uint64):
                     f.insert(int(h))
                 return _frame(key[0], f)
 
-            self.filters = written(self.active.select(self._shard(), "h1").groupBy("shard").applyInPandas(build, "shard int, data binary"), "filters")
+            self.filters = written(self.active().select(self._shard(), "h1").groupBy("shard").applyInPandas(build, "shard int, data binary, full boolean"), "filters")
         return self.filters
 
-    def _changed(self, posts: DataFrame) -> LineIndex:
-        """The index over other postings; filters are changed by the keys that crossed min_docs only."""
-        new = LineIndex(posts, self.min_docs, self.min_chars, self.shards)
-        up = new.active.join(self.active, ["h1", "h2"], "left_anti").select(self._shard(), "h1", F.lit(1).alias("d"))
-        down = self.active.join(new.active, ["h1", "h2"], "left_anti").select(self._shard(), "h1", F.lit(-1).alias("d"))
+    def _changed(self, posts: DataFrame, touched: DataFrame, now: DataFrame) -> LineIndex:
+        """The index over `posts`; touched (h1, h2): keys whose counts may have changed, now (h1, h2, n, last): their new counts."""
+        old = written(self.counts.join(touched, ["h1", "h2"], "left_semi"), "old-counts")
+        counts = self.counts.join(touched, ["h1", "h2"], "left_anti").union(now)
+        new = LineIndex(posts, counts, self.min_docs, self.min_chars)
+        was, many = (x.where(F.col("n") >= self.min_docs).select("h1", "h2") for x in (old, now))
+        self.built_filters()
+        up = many.join(was, ["h1", "h2"], "left_anti").select(self._shard(), "h1", F.lit(1).alias("d"))
+        down = was.join(many, ["h1", "h2"], "left_anti").select(self._shard(), "h1", F.lit(-1).alias("d"))
 
         def change(key, old, moves):
+            if not len(moves):
+                return old
             d, h = moves["d"].to_numpy(), moves["h1"].to_numpy().astype(np.uint64)
-            f = CuckooFilter.from_bytes(old["data"].iloc[0]) if len(old) else CuckooFilter(len(moves))
+            f = CuckooFilter.from_bytes(old["data"].iloc[0]) if len(old) else CuckooFilter(2 * max(len(moves), 64))
             for k in h[d < 0]:
                 f.delete(int(k))
             for k in h[d > 0]:
                 f.insert(int(k))
             return _frame(key[0], f)
 
-        moved = self.built_filters().groupBy("shard").cogroup(up.union(down).groupBy("shard")).applyInPandas(change, "shard int, data binary")
-        new.filters = written(moved, "filters")
+        moved = self.filters.groupBy("shard").cogroup(up.union(down).groupBy("shard")).applyInPandas(change, "shard int, data binary, full boolean")
+        moved = written(moved, "filters")
+        if moved.where("full").isEmpty():
+            new.filters, new.shards = moved, self.shards
         return new
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """The index with the rows of docs added."""
-        return self._changed(written(self.posts.union(postings(docs, self.min_chars)), "postings"))
+        """The index with the documents of docs added; a document that is there already gains the keys it did not have."""
+        came = written(postings(docs, self.min_chars).distinct(), "postings")
+        known = self.posts.join(came, ["h1", "h2", "id"], "left_semi")
+        came = written(came.join(known, ["h1", "h2", "id"], "left_anti"), "postings")
+        touched = came.select("h1", "h2").distinct()
+        both = self.counts.join(touched, ["h1", "h2"], "left_semi").union(_counted(came))
+        now = written(both.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.max("last").alias("last")), "counts")
+        return self._changed(self.posts.union(came), touched, now)
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """The index without the documents of ids (doc_id)."""
-        gone = ids.select(doc_key().alias("id")).distinct()
-        return self._changed(written(self.posts.join(gone, "id", "left_anti").select("h1", "h2", "id"), "postings"))
-
-    def drops(self) -> DataFrame:
-        """(id, keys): the keys that each document loses; a document holds no more of them than it has lines."""
+        gone = written(ids.select(doc_key().alias("id")).distinct(), "deleted")
+        touched = written(self.posts.join(gone, "id", "left_semi").select("h1", "h2").distinct(), "touched")
+        posts = self.posts.join(gone, "id", "left_anti").select("h1", "h2", "id")
+        now = written(_counted(posts.join(touched, ["h1", "h2"], "left_semi")), "counts")
+        return self._changed(posts, touched, now)
+
+    def likely(self) -> DataFrame:
+        """The postings whose key its shard's filter holds, by all filters in every worker, or, where they are too large for that, by filters and postings dealt by shard."""
         posts = self.posts
         size = self.built_filters().agg(F.sum(F.octet_length("data"))).first()[0] or 0
         if size <= BROADCAST_BYTES:
             data = {r["shard"]: bytes(r["data"]) for r in self.filters.collect()}
             held, shards = posts.sparkSession.sparkContext.broadcast(data), self.shards
 
-            def likely(batches):
+            def ask(batches):
                 filters = {s: CuckooFilter.from_bytes(d) for s, d in held.value.items()}
                 for b in batches:
                     h1, h2 = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
@@ -214,28 +241,42 @@ class LineIndex:
                             hit[at] = filters[s].contains(h1[at].astype(np.uint64))
                     yield b.filter(pa.array(hit))
 
-            posts = posts.mapInArrow(likely, posts.schema)
-        lost = posts.join(self.active, ["h1", "h2"]).where("id < last")
+            return posts.mapInArrow(ask, posts.schema)
+        # a shard with many postings (a very common line) is dealt over several groups, each with its own copy of the filter
+        posts = posts.withColumn("shard", self._shard())
+        parts = written(posts.groupBy("shard").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts")), "parts")
+        posts = posts.join(parts, "shard").withColumn("part", F.expr("pmod(xxhash64(id), parts)").cast("int"))
+        filters = self.filters.join(parts, "shard").select("shard", "data", F.explode(F.expr("sequence(0, parts - 1)")).alias("part"))
+
+        def ask_one(filters: pa.Table, rows: pa.Table) -> pa.Table:
+            rows = rows.select(["h1", "h2", "id"])
+            if not filters.num_rows or not rows.num_rows:
+                return rows.slice(0, 0)
+            return rows.filter(pa.array(CuckooFilter.from_bytes(filters.column("data")[0].as_py()).contains(rows.column("h1").to_numpy().astype(np.uint64))))
+
+        return filters.groupBy("shard", "part").cogroup(posts.groupBy("shard", "part")).applyInArrow(ask_one, "h1 long, h2 long, id long")
+
+    def drops(self) -> DataFrame:
+        """(id, keys): the keys that each document loses; a document holds no more of them than it has lines."""
+        lost = self.likely().join(written(self.active().select("h1", "h2", "last"), "active"), ["h1", "h2"]).where("id < last")
         return lost.groupBy("id").agg(F.collect_list(F.struct("h1", "h2")).alias("keys"))
 
 
+def _counted(posts: DataFrame) -> DataFrame:
+    """(h1, h2, n, last) of postings; counted before they are shuffled."""
+    return posts.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+
+
 def _frame(shard, f: CuckooFilter):
     import pandas as pd
 
-    return pd.DataFrame({"shard": [shard], "data": [f.to_bytes()]})
-
+    return pd.DataFrame({"shard": [shard], "data": [f.to_bytes()], "full": [f.full]})
 
-def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, keep: tuple[str, ...] = (), index: LineIndex | None = None) -> DataFrame:
-    """(doc_id, text, n_lines, n_dropped, *keep) for every row of docs (doc_id, text, *keep), dropped lines taken out.
 
-    Lines end at line feeds. Keys of at least min_chars code points that at least min_docs rows hold lose
-    all their lines except in the largest doc_id that holds them; a key that a row holds several times
-    counts once for it. A null or empty text is one empty line (text ""). A null doc_id sorts before all
-    others. Rows that share a doc_id count as one row each, and the largest id keeps the line in all its
-    rows. An empty table gives an empty result; columns that are not named in `keep` are not read.
-    """
-    index = index or LineIndex.of(docs, min_docs=min_docs, min_chars=min_chars)
-    rows = docs.select(doc_key().alias("id"), "text", *(F.col(c).alias(f"keep_{k}") for k, c in enumerate(keep)))
+def _deduped(docs: DataFrame, keep: tuple[str, ...], min_docs: int, min_chars: int, index: LineIndex | None) -> DataFrame:
+    """(id, text, n_lines, n_dropped) of the rows of docs, and their columns named in `keep` as keep_0, keep_1, ..."""
+    index = index or LineIndex.of(docs, min_docs, min_chars)
+    rows = docs.select(doc_key().alias("id"), "text", *(F.col(f"`{c}`").alias(f"keep_{k}") for k, c in enumerate(keep)))
     both = rows.join(index.drops().hint("shuffle_hash"), "id", "left")
     cols = [f"keep_{k}" for k in range(len(keep))]
     schema = "id long, text string, n_lines long, n_dropped long" + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in cols)
@@ -255,8 +296,30 @@ def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, keep: t
                     n_dropped.append(len(lines) - len(kept))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), *b.columns[3:]], names=["id", "text", "n_lines", "n_dropped", *cols])
 
-    out = both.select("id", "text", "keys", *cols).mapInArrow(run, schema)
-    return out.select(null_key(F.col("id")).alias("doc_id"), "text", "n_lines", "n_dropped", *(F.col(f"keep_{k}").alias(c) for k, c in enumerate(keep)))
+    return both.select("id", "text", "keys", *cols).mapInArrow(run, schema)
+
+
+def dedup_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, index: LineIndex | None = None) -> DataFrame:
+    """(doc_id, text, n_lines, n_dropped) for every row of docs (doc_id, text), dropped lines taken out.
+
+    Lines end at line feeds. Keys of at least min_chars code points that at least min_docs documents hold lose
+    all their lines except in the largest doc_id that holds them; a key that a document holds several times
+    counts once for it. A null or empty text is one empty line (text ""). A null doc_id is an id of its own that
+    sorts before all others. Rows that share a doc_id are one document for the counts and stay rows: the largest
+    id keeps the line in all its rows. An empty table gives an empty result; other columns are not read.
+    """
+    out = _deduped(docs, (), min_docs, min_chars, index)
+    return out.select(null_key(F.col("id")).alias("doc_id"), "text", "n_lines", "n_dropped")
+
+
+def deduped_documents(docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> DataFrame:
+    """docs (all columns, whatever their names) with the lines taken out that dedup_lines drops; n_chars, if it is there, follows. Edge cases are those of dedup_lines."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    out = _deduped(docs, tuple(rest), min_docs, min_chars, None)
+    made = {c: F.col(f"keep_{k}") for k, c in enumerate(rest)} | {"doc_id": null_key(F.col("id")), "text": F.col("text")}
+    if "n_chars" in rest:
+        made["n_chars"] = F.length("text")
+    return out.select(*(made[c].cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def op5_line_dedup(spark, sf_dir):
@@ -265,18 +328,18 @@ def op5_line_dedup(spark, sf_dir):
 
 
 OP5_SQL = """
-WITH lines AS (
-  SELECT doc_id, i, string_split(coalesce(text, ''), chr(10))[i] AS line
-  FROM documents, unnest(range(1, len(string_split(coalesce(text, ''), chr(10))) + 1)) AS r(i)
+WITH rows AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775807) AS id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), lines AS (
+  SELECT r, doc_id, id, i, parts[i] AS line FROM rows, unnest(range(1, len(parts) + 1)) AS u(i)
 ), keyed AS (
-  SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM lines
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines
 ), shared AS (
-  SELECT k, max(doc_id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+  SELECT k, max(id) AS last FROM keyed WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT id) >= 3
 ), marked AS (
-  SELECT doc_id, i, line, shared.k IS NOT NULL AND doc_id < last AS gone FROM keyed LEFT JOIN shared ON keyed.k = shared.k
+  SELECT r, doc_id, i, line, shared.k IS NOT NULL AND id < last AS gone FROM keyed LEFT JOIN shared ON keyed.k = shared.k
 )
 SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+FROM marked GROUP BY r, doc_id
 """

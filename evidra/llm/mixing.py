@@ -121,12 +121,12 @@ def mix(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs with every row repeated as often as the mix takes it; all columns stay. Texts are not shuffled."""
+    """docs with every row repeated as often as the mix takes it; all columns stay, whatever their names. Edge cases are those of `mix`. Texts are not shuffled."""
     rows = written(sized(docs), "sized")
     p, few = plan(rows, **how)
     cols = docs.columns
-    whole = sized(docs.select(F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), "doc_id", "text", "source"), "row")
-    return copies(whole, p, few).where("n > 0").select("row.*", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("_copy")).drop("_copy")
+    whole = sized(docs.select("doc_id", "text", "source", F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row")), "row")
+    return copies(whole, p, few).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 def op6_pareto_mixing(spark, sf_dir):

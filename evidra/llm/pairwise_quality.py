@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm.common import byte_chunks, documents, written
-from evidra.llm.textstats import Batch, crc_rest, labelled_sample, mix64, one_label, sigmoid
+from evidra.llm.textstats import SLICE, Batch, gram_hashes, crc_rest, labelled_sample, mix64, one_label, sigmoid
 
 #: Labelled rows of each label that pairs are drawn from, the longest of them in code points, and the pairs.
 PER_LABEL, MAX_CHARS, PAIRS = 1500, 20_000, 8_000
@@ -27,6 +27,7 @@ def _has(chars: bytes) -> np.ndarray:
 
 
 _UPPER, _DIGIT, _MARK = _has(bytes(range(65, 91))), _has(b"0123456789"), _has(b"!?.,;:|#*$%&<>=+-_/\\@^~'\"()[]{}")
+_WIDE = _has(bytes(range(128, 256)))
 
 
 def features(batch: Batch) -> np.ndarray:
@@ -34,7 +35,7 @@ def features(batch: Batch) -> np.ndarray:
     c = batch.base_counts()
     n, chars = np.maximum(c["n_words"], 1), np.maximum(c["word_chars"], 1)
     size = np.maximum(batch.end - batch.start, 1)
-    lines = np.maximum(batch.total(batch.bytes == 10) + 1, 1)
+    lines = np.maximum(batch.share(_has(b"\n")) + 1, 1)
     distinct = np.unique(mix64(batch.ids + batch.doc.astype(np.uint64)), return_index=True)[1]
     kinds = np.bincount(batch.doc[distinct], minlength=batch.n) / n
     repeat = c["n_repeat_words"] / n
@@ -50,14 +51,15 @@ def features(batch: Batch) -> np.ndarray:
         (repeat > 0.5).astype(float),
         kinds,
         np.log1p(n / lines),
-        *(batch.total(t[batch.bytes]) / size for t in (_UPPER, _DIGIT, _MARK)),
-        batch.total(batch.bytes >= 128) / size,
+        *(batch.share(t) / size for t in (_UPPER, _DIGIT, _MARK, _WIDE)),
         (c["n_words"] == 0).astype(float),
     ]
-    slot = (batch.grams(2) & np.uint32((1 << GRAM_BITS) - 1)).astype(np.int64)
-    inside = np.concatenate([np.arange(a, b) for a, b in zip(batch.start, batch.end)] or [np.zeros(0, np.int64)])
-    owner = np.repeat(np.arange(batch.n), batch.end - batch.start)
-    grams = np.bincount(owner << GRAM_BITS | slot[inside], minlength=batch.n << GRAM_BITS).reshape(batch.n, 1 << GRAM_BITS) / size[:, None]
+    grams = np.zeros((batch.n, 1 << GRAM_BITS))
+    for k, (a, b) in enumerate(zip(batch.start, batch.end)):
+        for lo in range(a, b, SLICE):  # the last byte of a text pairs with the line feed behind it
+            h = gram_hashes(batch.bytes[lo : min(b, lo + SLICE) + 1], 2)
+            grams[k] += np.bincount(h & np.uint32((1 << GRAM_BITS) - 1), minlength=1 << GRAM_BITS)
+    grams /= size[:, None]
     return np.concatenate([np.stack(cols, 1), np.sqrt(grams)], 1)
 
 
@@ -113,47 +115,67 @@ def raw_scores(docs: DataFrame, model: Ranking) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, raw double")
 
 
-def threshold(raw: DataFrame, labels: DataFrame) -> tuple[float, float]:
-    """(threshold, quantile): the quantile of all scores that parts the learnable labels best.
+def _cell():
+    return F.floor(F.col("raw") / STEP).alias("cell")
 
-    All rows and all learnable labels are counted by classes of the score (at most 2 LIMIT / STEP of them,
-    which come to the driver). Of the edges with the best mean of both labels' accuracies, the middle one
-    of the widest run is taken.
+
+class Scores:
+    """All scores counted by classes STEP wide (at most 2 LIMIT / STEP of them, which come to the driver)."""
+
+    def __init__(self, raw: DataFrame):
+        self.by = {r["cell"]: r["n"] for r in raw.groupBy(_cell()).agg(F.count("*").alias("n")).collect()}
+        self.n = sum(self.by.values())
+
+    def share_below(self, edge: int) -> float:
+        return sum(n for c, n in self.by.items() if c < edge) / max(self.n, 1)
+
+    def quantile(self, q: float) -> float:
+        """The score that a share q of all is under: the middle of all such scores, by classes; without scores, or for 0, under all."""
+        below, last = 0, None
+        for c in sorted(self.by):
+            if below >= q * self.n - 1e-6:
+                return (c * STEP if last is None else (last + 1 + c) / 2 * STEP) if below else -LIMIT
+            below, last = below + self.by[c], c
+        return LIMIT if self.n else -LIMIT
+
+
+def learn_quantile(raw: DataFrame, labels: DataFrame, scores: Scores) -> float:
+    """The share of all scores to reject: of the edges of classes with the best mean accuracy over both learnable labels the middle one of the widest run, as its share.
+
+    All learnable labels are counted, by classes. With one label only, or none, 0: nothing is rejected.
     """
-    cell = F.floor(F.col("raw") / STEP).alias("cell")
-    every = {r["cell"]: r["n"] for r in raw.groupBy(cell).agg(F.count("*").alias("n")).collect()}
-    rows = raw.join(learnable(labels), "doc_id").groupBy(cell, "label").agg(F.count("*").alias("n")).collect()
+    rows = raw.join(learnable(labels), "doc_id").groupBy(_cell(), "label").agg(F.count("*").alias("n")).collect()
     lo, hi = int(-LIMIT / STEP) - 1, int(LIMIT / STEP) + 2
     by = np.zeros((2, hi - lo))
     for r in rows:
         by[r["label"], r["cell"] - lo] += r["n"]
     total = by.sum(1)
-    if not total.all():  # one label only, or none: everything passes
-        return -LIMIT, 0.0
+    if not total.all():
+        return 0.0
     below = np.concatenate([[0], np.cumsum(by[0])]) / total[0]  # share of bad rows under each edge
     right = below + 1 - np.concatenate([[0], np.cumsum(by[1])]) / total[1]
     best = np.nonzero(right >= right.max() - 1e-12)[0]
-    runs = np.split(best, np.nonzero(np.diff(best) > 1)[0] + 1)
-    run = max(runs, key=len)
-    edge = int(run[len(run) // 2]) + lo
-    n = sum(every.values())
-    return edge * STEP, sum(k for c, k in every.items() if c < edge) / n
+    run = max(np.split(best, np.nonzero(np.diff(best) > 1)[0] + 1), key=len)
+    return scores.share_below(int(run[len(run) // 2]) + lo)
 
 
-def classify(docs: DataFrame, labels: DataFrame, model: Ranking | None = None) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs (doc_id, text).
+def classify(docs: DataFrame, labels: DataFrame, model: Ranking | None = None, quantile: float | None = None) -> DataFrame:
+    """(doc_id, held_out, score, predicted, quantile) for every row of docs (doc_id, text).
 
-    score is the sigmoid of the ranking score over the threshold, so 0.5 or more means at or above the
-    quantile. Scores come from the text alone. A null or empty text is scored as a text without words; a
-    null doc_id stays and is not held out; repeated rows are scored alike; an empty table gives an empty
+    The threshold is the score at `quantile` of all rows of docs, which is learnt from the learnable labels where
+    it is not given; score is the sigmoid of the ranking score over the threshold, so 0.5 or more means at or
+    above the quantile. Scores come from the text alone. A null or empty text is scored as a text without words;
+    a null doc_id stays and is not held out; repeated rows are scored alike; an empty table gives an empty
     result; other columns are not read. Without labels of both kinds every row is predicted 1.
     """
     model = model or train(docs, labels)
     raw = written(raw_scores(docs, model), "scores")
-    at, _ = threshold(raw, labels)
+    scores = Scores(raw)
+    q = learn_quantile(raw, labels, scores) if quantile is None else quantile
+    at = scores.quantile(q)
     held_out = F.coalesce(crc_rest(HELD_OUT[0]) == HELD_OUT[1], F.lit(False))
     score = 1 / (1 + F.exp(F.lit(at) - F.col("raw")))
-    return raw.select("doc_id", held_out.alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return raw.select("doc_id", held_out.alias("held_out"), score.alias("score"), F.lit(q).alias("quantile")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op10_bradley_terry(spark, sf_dir):

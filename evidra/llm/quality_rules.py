@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm.common import byte_chunks, documents, trim
-from evidra.llm.textstats import Batch, labelled_sample, one_label, sigmoid
+from evidra.llm.textstats import GAP, Batch, labelled_sample, one_label, sigmoid
 
-#: Weights of each kind of feature (words, word pairs, byte n-grams) as a power of two.
+#: Weights of each kind of feature (words, word pairs, n-grams of code points) as a power of two.
 BITS = 15
 #: Labelled rows of each label that the classifier is fitted on, and the longest of them in code points.
 PER_LABEL, MAX_CHARS = 600, 20_000
@@ -20,19 +20,20 @@ _SCALE = 20.0
 
 
 def features(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, slot, share) of the words, word pairs and byte n-grams (2 to 4) of a batch: counts over the number of words or bytes."""
+    """(text, slot, share) of the words, word pairs and n-grams of 2 to 4 code points of a batch: counts over the number of words or code points."""
     mask = (1 << BITS) - 1
     pairs, of = batch.pairs()
     rows = [batch.doc, of]
     slots = [(batch.ids & np.uint64(mask)).astype(np.int64), (pairs & np.uint64(mask)).astype(np.int64) | 1 << BITS]
     size = np.maximum(batch.n_words, 1)
     vals = [_SCALE / size[batch.doc], _SCALE / size[of]]
-    length = np.maximum(batch.end - batch.start, 1)
-    inside = np.concatenate([np.arange(a, b) for a, b in zip(batch.start, batch.end)] or [np.zeros(0, np.int64)])
-    owner = np.repeat(np.arange(batch.n), batch.end - batch.start)
+    start, end = batch.point_bounds
+    length = np.maximum(end - start, 1)
+    inside = np.concatenate([np.arange(a, b) for a, b in zip(start, end)] or [np.zeros(0, np.int64)])
+    owner = np.repeat(np.arange(batch.n), end - start)
     for n in (2, 3, 4):
         rows.append(owner)
-        slots.append((batch.grams(n)[inside] & np.uint32(mask)).astype(np.int64) | 2 << BITS)
+        slots.append((batch.point_grams(n, 0, len(batch._joined) - GAP)[inside] & np.uint32(mask)).astype(np.int64) | 2 << BITS)
         vals.append(_SCALE / 3 / length[owner])
     r, s, v = map(np.concatenate, (rows, slots, vals))
     both, at = np.unique(r * (4 << BITS) + s, return_inverse=True)
@@ -91,18 +92,17 @@ class Model:
         pairs, of = batch.pairs()
         z = batch.by_word(w[(batch.ids & np.uint64(mask)).astype(np.int64)]) + np.bincount(of, w[(pairs & np.uint64(mask)).astype(np.int64) | 1 << BITS], batch.n)
         z = z * _SCALE / np.maximum(batch.n_words, 1)
-        chars = np.zeros(len(batch.bytes))
-        for n in (2, 3, 4):
-            chars += w[(batch.grams(n) & np.uint32(mask)).astype(np.int64) | 2 << BITS]
-        z += batch.total(chars) * _SCALE / 3 / np.maximum(batch.end - batch.start, 1)
+        start, end = batch.point_bounds
+        chars = batch.total_points(lambda lo, hi: sum(w[(batch.point_grams(n, lo, hi) & np.uint32(mask)).astype(np.int64) | 2 << BITS] for n in (2, 3, 4)))
+        z += chars * _SCALE / 3 / np.maximum(end - start, 1)
         return sigmoid(self.slope * (z + self.bias) + self.shift)
 
 
-def platt(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and shift of the calibrating sigmoid, labels weighted equally and smoothed, by Newton steps with a ridge."""
+def platt(z: np.ndarray, y: np.ndarray, prior: float = 0.5) -> tuple[float, float]:
+    """Slope and shift of the calibrating sigmoid, labels weighted to `prior` for 1 and smoothed, by Newton steps with a ridge."""
     n1, n0 = (y == 1).sum(), (y == 0).sum()
     y, was = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2)), y
-    wt = np.where(was == 1, 0.5 / max(1, n1), 0.5 / max(1, n0))
+    wt = np.where(was == 1, prior / max(1, n1), (1 - prior) / max(1, n0))
     unit = float(np.std(z)) or 1.0
     x = np.stack([z / unit, np.ones(len(z))], 1)
 
@@ -133,20 +133,16 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, max_ch
     return Model.fit([r[0] for r in rows], [r[1] for r in rows])
 
 
-def apply_rules(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), min_words: int = 50, repeat_share: int = 50, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept, *keep) for every row of docs.
+_RESULT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
 
-    Words are runs of bytes other than 0x20 and 0x09-0x0D. A document fails the base rules with fewer than
-    min_words words or if more than repeat_share per cent of them are in repeated three-word windows; else it
-    is kept if the classifier gives at least `threshold`. A null or empty text has no words and fails. A null
-    doc_id stays; repeated rows are scored alike; an empty table gives an empty result; columns that are not
-    named in `keep` are not read. No shuffle.
-    """
+
+def _ruled(docs: DataFrame, model: Model, keep: tuple[str, ...], min_words: int, repeat_share: int, threshold: float) -> DataFrame:
+    """The columns of _RESULT, and those of docs that `keep` names as keep_0, keep_1, ..."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     cols = [f"keep_{k}" for k in range(len(keep))]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(c).alias(x) for c, x in zip(keep, cols)))
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
-    schema += "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in cols)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(F.col(f"`{c}`").alias(x) for c, x in zip(keep, cols)))
+    names = [x.split()[0] for x in _RESULT.split(", ")] + cols
+    schema = _RESULT + "".join(f", {c} {rows.schema[c].dataType.simpleString()}" for c in cols)
 
     def run(batches):
         for whole in batches:
@@ -155,12 +151,31 @@ def apply_rules(docs: DataFrame, model: Model, keep: tuple[str, ...] = (), min_w
                 base = batch.base_counts()
                 failed = base_failed(base, min_words, repeat_share)
                 p = held.value.scores(batch)
-                cols_ = [*(pa.array(c, pa.int64()) for c in base.values()), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
-                yield pa.RecordBatch.from_arrays([b.column(0), *cols_, *b.columns[2:]], names=[x.split()[0] for x in schema.split(", ")])
+                made = [*(pa.array(c, pa.int64()) for c in base.values()), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))]
+                yield pa.RecordBatch.from_arrays([b.column(0), *made, *b.columns[2:]], names=names)
         trim()
 
-    out = rows.mapInArrow(run, schema)
-    return out.select(*out.columns[:9], *(F.col(x).alias(c) for c, x in zip(keep, cols)))
+    return rows.mapInArrow(run, schema)
+
+
+def apply_rules(docs: DataFrame, model: Model, min_words: int = 50, repeat_share: int = 50, threshold: float = THRESHOLD) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, probability, kept) for every row of docs (doc_id, text).
+
+    Words are runs of bytes other than 0x20 and 0x09-0x0D. A document fails the base rules with fewer than
+    min_words words or if more than repeat_share per cent of them are in repeated three-word windows; else it
+    is kept if the classifier gives at least `threshold`. A null or empty text has no words and fails. A null
+    doc_id stays; repeated rows are scored alike; an empty table gives an empty result; other columns are not
+    read. No shuffle.
+    """
+    return _ruled(docs, model, (), min_words, repeat_share, threshold)
+
+
+def kept_documents(docs: DataFrame, model: Model, min_words: int = 50, repeat_share: int = 50, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that apply_rules keeps, with all their columns, whatever their names. Edge cases are those of apply_rules."""
+    rest = [c for c in docs.columns if c != "doc_id"]
+    out = _ruled(docs, model, tuple(rest), min_words, repeat_share, threshold).where("kept")
+    at = {c: f"keep_{k}" for k, c in enumerate(rest)} | {"doc_id": "doc_id"}
+    return out.select(*(F.col(at[c]).cast(docs.schema[c].dataType).alias(c) for c in docs.columns))
 
 
 def op7_quality_rules(spark, sf_dir):

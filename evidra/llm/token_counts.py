@@ -55,12 +55,13 @@ class Counter:
         """Lengths of the encodings, by batches of about batch_bytes."""
         out, part, size = [], [], 0
         for u in [*texts, None]:
-            if part and (u is None or size + len(u) > self.batch_bytes):
+            n = 0 if u is None else len(u) if u.isascii() else len(u.encode())
+            if part and (u is None or size + n > self.batch_bytes):
                 out += map(len, self.tok.encode_batch_fast(part, add_special_tokens=False))
                 part, size = [], 0
             if u is not None:
                 part.append(u)
-                size += len(u)
+                size += n
         return out
 
     def counts(self, texts: list[str]) -> list[int]:

@@ -2,67 +2,119 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import byte_chunks, documents
+from evidra.llm.common import byte_chunks, documents, trim
 from evidra.llm.quality_rules import platt
-from evidra.llm.textstats import Batch, crc_rest, labelled_sample, mix64, one_label, sigmoid
+from evidra.llm.textstats import crc_rest, labelled_sample, mix64, one_label, sigmoid
 
-#: Words of a window and from one window's start to the next: every text is covered, with overlap.
+#: Tokens of a window and from one window's start to the next: every text is covered, with overlap.
 WINDOW, STRIDE = 48, 36
-#: Rows of each input table (a power of two), input width, hidden width.
+#: Rows of each input table (words; groups of three characters) as a power of two, input width, hidden width.
 BITS, WIDE, HIDDEN = 14, 8, 8
-#: Leading bytes of a word that are inputs of their own.
-HEADS = (4, 5, 6, 7)
+#: Words of more code points are cut into pieces of PIECE that begin every PIECE - OVERLAP.
+PIECE, OVERLAP = 24, 8
+#: Code points of a text that are made tokens at once: what a worker holds of a very long text is its tokens.
+SLICE = 1 << 20
 #: Labelled rows of each label that the network is fitted on, and the longest of them in code points.
 PER_LABEL, MAX_CHARS = 900, 12_000
 #: Labels of rows with this remainder of crc32(doc_id) by 4 are never learnt.
 HELD_OUT = (4, 2)
+#: Words (slots) of fewer training texts than this have no vector of their own.
+MIN_TEXTS = 5
+#: Share of toxic texts that probabilities are calibrated to.
+PRIOR = 0.2
+
+_WORD = np.zeros(128, bool)
+_WORD[[*range(48, 58), *range(65, 91), *range(97, 123)]] = True
+_PLACE = mix64(np.arange(1, PIECE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def _spans(text: str):
+    """Slices of a text of at most about SLICE code points, cut behind a blank where there is one near."""
+    at = 0
+    while len(text) - at > SLICE:
+        cut = text.rfind(" ", at + SLICE // 2, at + SLICE) + 1 or at + SLICE
+        yield text[at:cut]
+        at = cut
+    yield text[at:] if at else text
+
+
+class Tokens:
+    """The tokens of several texts, and the inputs of the different ones.
+
+    A token is a run of letters and digits (all of ASCII's others, U+0080 to U+00BF, general punctuation and
+    CJK punctuation part tokens), A-Z lower-cased, or a piece of a longer run. `text` and `which` give each
+    token's text and its row of inputs; row k has a slot of the word table, and of the character table a slot
+    for every character with its two neighbours (slots start[k]:start[k + 1] of `chars`).
+    """
 
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_POINT = np.zeros(256, bool)
-_POINT[list(b".,;:!?")] = True
-
-
-def inputs(batch: Batch) -> np.ndarray:
-    """(words, 1 + heads) slots: of the word (A-Z lower-cased, without points at its end) and of its leading bytes."""
-    start = batch.word_start
-    size = np.zeros(len(start), np.int64)
-    if len(start):
-        gaps = np.cumsum(~batch.blank)
-        end = np.concatenate([start[1:], [len(batch.bytes)]])
-        size = gaps[end - 1] - gaps[start] + 1
-        for _ in range(3):
-            size -= (size > 1) & _POINT[batch.bytes[start + size - 1]]
-    low = _LOWER[batch.bytes]
-    h = np.full(len(start), 7, np.uint64)
-    heads = []
-    for k in range(max(HEADS)):
-        byte = np.where(size > k, low[np.minimum(start + k, len(low) - 1)], 0).astype(np.uint64)
-        h = h * np.uint64(0x100000001B3) + byte + np.uint64(1)
-        if k + 1 in HEADS:
-            heads.append(mix64(h))
-    # the whole word: its leading bytes, the rest through its last four bytes and its length
-    word = h
-    for k in (4, 3, 2, 1):
-        word = word * np.uint64(0x100000001B3) + low[np.maximum(start + size - k, start)].astype(np.uint64)
-    word = mix64(word * np.uint64(0x100000001B3) + size.astype(np.uint64))
-    return (np.stack([word, *heads], 1) & np.uint64((1 << BITS) - 1)).astype(np.int32)
-
-
-def windows(batch: Batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All overlapping windows: first word, number of words, text. A text without words has none."""
-    n = batch.n_words
-    count = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
-    text = np.repeat(np.arange(batch.n), count)
-    k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-    first_word = np.cumsum(n) - n
-    first = first_word[text] + k * STRIDE
-    return first, np.minimum(WINDOW, first_word[text] + n[text] - first), text
+    def __init__(self, texts: list[str | None]):
+        parts, known = [], 0
+        group, size = [], 0
+        for k, t in enumerate(texts):
+            for s in _spans(t or ""):
+                if group and size + len(s) > SLICE:
+                    parts.append(self._part(group, known))
+                    known += len(parts[-1][2])
+                    group, size = [], 0
+                group.append((k, s))
+                size += len(s)
+        parts.append(self._part(group, known))
+        text, which, word, count, chars = zip(*parts)
+        self.n = len(texts)
+        self.text, self.which, self.word, self.chars = map(np.concatenate, (text, which, word, chars))
+        self.count = np.concatenate(count)
+        self.start = np.concatenate([[0], np.cumsum(self.count)])
+        self.sizes = np.bincount(self.text, minlength=self.n)
+
+    @staticmethod
+    def _part(group: list[tuple[int, str]], known: int):
+        points = np.frombuffer(("\n" + "\n".join(s for _, s in group) + "\n").encode("utf-32-le"), np.uint32)
+        low = points + np.uint32(32) * ((points >= 65) & (points <= 90))
+        inside = np.where(points < 128, _WORD[np.minimum(points, 127)], (points > 0xBF) & ((points < 0x2000) | (points > 0x206F)) & ((points < 0x3000) | (points > 0x303F)))
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        begin, size = edge[::2], edge[1::2] - edge[::2]
+        if (size > PIECE).any():
+            n = 1 + np.maximum(0, -(-(size - PIECE) // (PIECE - OVERLAP)))
+            k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            end = np.repeat(begin + size, n)
+            begin = np.repeat(begin, n) + k * (PIECE - OVERLAP)
+            size = np.minimum(PIECE, end - begin)
+        bound = np.cumsum([1 + len(s) for _, s in group])
+        text = np.array([k for k, _ in group], np.int64)[np.searchsorted(bound, begin)]
+        # a hash of each token, over its characters in their places
+        place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        if len(begin):
+            value = (low[np.repeat(begin, size) + place].astype(np.uint64) + np.uint64(1)) * _PLACE[place]
+            hashes = mix64(np.add.reduceat(value, np.cumsum(size) - size))
+        else:
+            hashes = np.zeros(0, np.uint64)
+        kinds, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        b, n = begin[first], size[first]
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        at = np.repeat(b, n) + place
+        c = low[at]
+        left = np.where(place == 0, np.uint32(1), low[at - 1])
+        right = np.where(place == np.repeat(n, n) - 1, np.uint32(2), low[at + 1])
+        h = mix64((left.astype(np.uint64) * np.uint64(0x1F1F1F) + c) * np.uint64(0x1F1F1F) + right)
+        mask = np.uint64((1 << BITS) - 1)
+        return text, (which + known).astype(np.int32), (kinds & mask).astype(np.int32), n, (h & mask).astype(np.int32)
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All overlapping windows: first token, number of tokens, text. A text without tokens has none."""
+        n = self.sizes
+        count = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
+        text = np.repeat(np.arange(self.n), count)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+        begin = np.cumsum(n) - n
+        first = begin[text] + k * STRIDE
+        return first, np.minimum(WINDOW, begin[text] + n[text] - first), text
 
 
 def _gate(x):
@@ -74,23 +126,35 @@ def _state(x):
 
 
 class Network:
-    """Embeddings summed over a word's inputs; a GRU each way (hard sigmoid gates, softsign states); attention; a logit."""
+    """Embeddings of a token's word and characters; a GRU each way (hard sigmoid gates, softsign states); attention; a logit."""
 
     def __init__(self, seed: int = 9):
         r = np.random.default_rng(seed)
         h = HIDDEN
-        self.p = {"emb": r.normal(0, 0.1, (1 + len(HEADS), 1 << BITS, WIDE))}
+        self.p = {"word": r.normal(0, 0.1, (1 << BITS, WIDE)), "char": r.normal(0, 0.1, (1 << BITS, WIDE))}
         for d in "fb":
             self.p["w" + d], self.p["u" + d], self.p["c" + d] = r.normal(0, 0.4, (WIDE, 3 * h)), r.normal(0, 0.3, (h, 3 * h)), np.zeros(3 * h)
         self.p |= {"att": r.normal(0, 0.3, 2 * h), "out": r.normal(0, 0.3, 2 * h), "bias": np.array([-1.0])}
         self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.slope, self.shift = 1.0, 0.0
-
-    def _embed(self, slots):
-        x = self.p["emb"][0][slots[:, 0]]
-        for k in range(1, slots.shape[1]):
-            x = x + self.p["emb"][k][slots[:, k]]
-        return x
+        #: Slots of words that count; words of others are read by their characters alone.
+        self.known = np.ones(1 << BITS, bool)
+
+    def _ragged(self, t: Tokens, rows: np.ndarray):
+        """Characters of rows: their slots, the row of each (0, 1, ...), and its share."""
+        n = t.count[rows]
+        owner = np.repeat(np.arange(len(rows)), n)
+        at = np.repeat(t.start[rows], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return t.chars[at], owner, np.repeat((n**-0.5).astype(np.float32), n)
+
+    def _embed(self, t: Tokens, rows: np.ndarray) -> np.ndarray:
+        """Inputs of rows of tokens: the word's vector and the sum of the characters' over the root of their number."""
+        x = self.p["word"][t.word[rows]] * self.known[t.word[rows]][:, None]
+        if not len(rows):
+            return x
+        n = t.count[rows]
+        slots, _, _ = self._ragged(t, rows)
+        return x + np.add.reduceat(self.p["char"][slots], np.cumsum(n) - n) * (n**-0.5).astype(np.float32)[:, None]
 
     def _run(self, pre, mask, u, keep=None):
         """States of one direction, (steps, windows, hidden); pre: (steps, windows, 3 hidden)."""
@@ -129,38 +193,35 @@ class Network:
         return ctx @ self.p["out"] + self.p["bias"][0]
 
     def _places(self, first, size):
-        at = first[:, None] + np.arange(WINDOW)
         mask = np.arange(WINDOW) < size[:, None]
-        return np.where(mask, at, first[:, None]), mask
+        return np.where(mask, first[:, None] + np.arange(WINDOW), first[:, None]), mask
 
-    def window_logits(self, slots, first, size, step: int = 4096):
+    def window_logits(self, t: Tokens, first, size, step: int = 2048):
         out = np.zeros(len(first), np.float32)
         for i in range(0, len(first), step):
-            f, n = first[i : i + step], size[i : i + step]
-            lo, hi = f[0], f[-1] + n[-1]
-            at, mask = self._places(f - lo, n)
-            out[i : i + step] = self._forward(self._embed(slots[lo:hi]), at, mask)
+            at, mask = self._places(first[i : i + step], size[i : i + step])
+            rows, at = np.unique(t.which[at], return_inverse=True)
+            out[i : i + step] = self._forward(self._embed(t, rows), at.reshape(mask.shape), mask)
         return out
 
-    def scores(self, batch: Batch) -> np.ndarray:
-        """Probability of each text: of its highest window; a text without words gets that of the bias alone."""
-        first, size, text = windows(batch)
-        top = np.full(batch.n, self.p["bias"][0] - 4.0)
-        if len(first):
-            z = self.window_logits(inputs(batch), first, size)
-            best = np.full(batch.n, -np.inf)
-            np.maximum.at(best, text, z)
-            top = np.where(np.isfinite(best), best, top)
-        return sigmoid(self.slope * top + self.shift)
-
-    def _gradient(self, slots, first, size, y, weight):
-        """Gradients by back-propagation through time; returns those of the embeddings as (rows, values)."""
+    def tops(self, t: Tokens) -> np.ndarray:
+        """The highest logit of each text's windows; without windows one below the bias."""
+        first, size, text = t.windows()
+        best = np.full(t.n, -np.inf)
+        np.maximum.at(best, text, self.window_logits(t, first, size))
+        return np.where(np.isfinite(best), best, self.p["bias"][0] - 4.0)
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """Probability of each text: of its highest window; a text without tokens gets that of the bias alone."""
+        return sigmoid(self.slope * self.tops(Tokens(texts)) + self.shift)
+
+    def gradient(self, t: Tokens, first, size, y, weight):
+        """Gradients of the weighted log loss by back-propagation through time."""
         p, h = self.p, HIDDEN
         at, mask = self._places(first, size)
-        rows, at = np.unique(at, return_inverse=True)
+        rows, at = np.unique(t.which[at], return_inverse=True)
         at = at.reshape(mask.shape)
-        s = slots[rows]
-        x = self._embed(s)
+        x = self._embed(t, rows)
         k: dict = {}
         z = self._forward(x, at, mask, k)
         dz = ((sigmoid(z) - y) * weight).astype(np.float32)
@@ -172,93 +233,113 @@ class Network:
         dh = a[:, :, None] * dctx + de[:, :, None] * p["att"]
         g["att"] = np.einsum("tbh,tb->h", hid, de)
         dx = np.zeros_like(x)
+        flat_at = at.reshape(-1)
+        by = np.argsort(flat_at, kind="stable")
+        cuts = np.searchsorted(flat_at[by], np.arange(len(rows)))
         for d, o in (("f", 0), ("b", h)):
             u, steps = p["u" + d], k[d]
             ds = np.zeros((len(y), h), np.float32)
             gu, dpre = np.zeros_like(u), np.zeros((WINDOW, len(y), 3 * h), np.float32)
             order = range(WINDOW) if d == "f" else range(WINDOW - 1, -1, -1)
-            for i, t in reversed(list(enumerate(order))):
+            for i, s in reversed(list(enumerate(order))):
                 s0, aa, zz, rr, cc, nn, m = steps[i]
-                ds = ds + dh[t, :, o : o + h]
+                ds = ds + dh[s, :, o : o + h]
                 dn = ds * m
                 dzz = dn * (s0 - nn) * 0.25 * ((zz > 0) & (zz < 1))
                 dc = dn * (1 - zz) / (1 + np.abs(cc)) ** 2
                 drr = dc * aa[:, 2 * h :] * 0.25 * ((rr > 0) & (rr < 1))
                 da_ = np.concatenate([dzz, drr, dc * rr], 1)
-                dpre[t] = np.concatenate([dzz, drr, dc], 1)
+                dpre[s] = np.concatenate([dzz, drr, dc], 1)
                 gu += s0.T @ da_
                 ds = ds * ~m + dn * zz + da_ @ u.T
             g["u" + d] = gu
-            flat = dpre.transpose(1, 0, 2).reshape(-1, 3 * h)
-            by_row = np.zeros((len(x), 3 * h), np.float32)
-            np.add.at(by_row, at.reshape(-1), flat)
+            by_row = np.add.reduceat(dpre.transpose(1, 0, 2).reshape(-1, 3 * h)[by], cuts)
             g["w" + d], g["c" + d] = x.T @ by_row, by_row.sum(0)
             dx += by_row @ p["w" + d].T
-        emb = np.zeros_like(p["emb"])
-        for j in range(s.shape[1]):
-            np.add.at(emb[j], s[:, j], dx)
-        g["emb"] = emb
+        g["word"], g["char"] = np.zeros_like(p["word"]), np.zeros_like(p["char"])
+        np.add.at(g["word"], t.word[rows], dx * self.known[t.word[rows]][:, None])
+        slots, owner, share = self._ragged(t, rows)
+        np.add.at(g["char"], slots, dx[owner] * share[:, None])
         return g
 
-    def train(self, slots, first, size, y, steps: int, seed: int, batch: int = 96, rate: float = 0.02):
-        """Adam on batches with as many windows of each label."""
-        r = np.random.default_rng(seed)
-        pos, neg = np.nonzero(y == 1)[0], np.nonzero(y == 0)[0]
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
-        for t in range(1, steps + 1):
-            pick = np.concatenate([r.choice(pos, batch // 2), r.choice(neg, batch // 2)])
-            g = self._gradient(slots, first[pick], size[pick], y[pick], np.full(batch, 1 / batch))
-            lr = rate * min(1, 3 * (1 - t / (steps + 1)))
-            for k in self.p:
-                gk = g[k].astype(np.float32) + 1e-5 * self.p[k]
-                m[k] = 0.9 * m[k] + 0.1 * gk
-                v[k] = 0.99 * v[k] + 0.01 * gk * gk
-                self.p[k] = self.p[k] - lr * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.99**t)) + 1e-6)
-
-
-def fit(texts: list[str], y: list[int], rounds: int = 2, steps: int = 130) -> Network:
+
+def _loss(top: np.ndarray, y: np.ndarray) -> float:
+    """Log loss of texts by their highest logits, calibrated, both labels weighted equally."""
+    slope, shift = platt(top, y)
+    p = np.clip(sigmoid(slope * top + shift), 1e-6, 1 - 1e-6)
+    return float(-(np.log(p[y == 1]).mean() + np.log(1 - p[y == 0]).mean()) / 2)
+
+
+def fit(texts: list[str], y: list[int], rounds: int = 12, steps: int = 60, patience: int = 8, batch: int = 160, rate: float = 0.05) -> Network:
     """Fit on texts with labels by multiple-instance learning: a toxic text has some toxic window, a clean one none.
 
-    The first round takes the windows of toxic texts whose inputs lean most to toxic texts (by smoothed log
-    odds of the texts that hold an input, which also start the inputs' first dimension); later rounds take those that the network scores highest. Clean
-    texts give random windows and their highest. Platt's sigmoid maps a text's highest logit to a probability.
+    A fifth of the texts validates. The first round draws windows of both labels alike; later ones take, of each
+    toxic text, the windows that the network scores highest, and of clean texts half at random and half from those
+    that it scores highest. After every half round the loss of the validating texts is taken; when it has not
+    become better for `patience` times, or after all rounds, the best weights are kept. Platt's sigmoid, weighted
+    to PRIOR, maps a text's highest logit to a probability. Warns if the validating texts are told apart no better
+    than by chance.
     """
     net = Network()
     if len(set(y)) < 2:
         net.slope, net.shift = 0.0, 4.0 if sum(y) else -4.0
         return net
     y = np.array(y)
-    parts, words = [], 0
-    for i in range(0, len(texts), 64):  # a few texts at a time: of a batch, only slots and windows stay
-        batch = Batch(texts[i : i + 64])
-        f, n, t = windows(batch)
-        parts.append((inputs(batch), batch.doc + i, f + words, n, t + i))
-        words += len(batch.doc)
-    slots, doc, first, size, text = map(np.concatenate, zip(*parts))
-    lean = np.zeros(len(slots))
-    for k in range(slots.shape[1]):
-        pair = np.unique(doc.astype(np.int64) << BITS | slots[:, k])
-        d, s = pair >> BITS, pair & (1 << BITS) - 1
-        hold = [np.bincount(s[y[d] == c], minlength=1 << BITS) for c in (0, 1)]
-        odds = np.log((hold[1] + 0.5) / ((y == 1).sum() + 1)) - np.log((hold[0] + 0.5) / ((y == 0).sum() + 1))
-        odds = np.where(hold[1] >= 3, odds, 0)
-        net.p["emb"][k][:, 0] += 0.3 * np.maximum(odds, 0).astype(np.float32)
-        lean = np.maximum(lean, odds[slots[:, k]])
-    lean = np.concatenate([[0], np.cumsum(np.maximum(lean - 1, 0))])
-    score = lean[first + size] - lean[first]
+    t = Tokens(texts)
+    first, size, text = t.windows()
+    # words of few texts would be learnt by heart
+    held = np.unique(t.text.astype(np.int64) << BITS | t.word[t.which])
+    net.known = np.bincount(held & (1 << BITS) - 1, minlength=1 << BITS) >= MIN_TEXTS
+    valid = np.zeros(len(y), bool)
+    for label in (0, 1):
+        valid[np.flatnonzero(y == label)[4::5]] = True
+    if len(set(y[valid])) < 2:
+        valid[:] = False
+    check = valid if valid.any() else ~valid
+    mine = ~valid[text]
     r = np.random.default_rng(3)
+    m, v = ({k: np.zeros_like(x) for k, x in net.p.items()} for _ in range(2))
+    best, best_p, waited, step = np.inf, net.p, 0, 0
+    pos, neg = (np.flatnonzero(mine & (y[text] == c)) for c in (1, 0))
+    if not len(pos) or not len(neg):
+        return net
+    of_check = np.flatnonzero(check[text])
+    hard = neg
     for k in range(rounds):
-        order = np.lexsort((-score, text))
-        rank = np.arange(len(order)) - np.searchsorted(text[order], text[order])
-        best = order[rank == 0]
-        use = np.concatenate([best, r.choice(len(first), min(len(first), 3 * len(texts)), replace=False)])
-        use = np.concatenate([use[: len(best)], use[len(best) :][y[text[use[len(best) :]]] == 0]])
-        net.train(slots, first[use], size[use], y[text[use]], steps, seed=k)
-        score = net.window_logits(slots, first, size)
-    top = np.full(len(texts), net.p["bias"][0] - 4.0)
-    np.maximum.at(top, text, score)
-    net.slope, net.shift = platt(top, y)
+        if k:
+            score = net.window_logits(t, first, size)
+            order = np.lexsort((-score, text))
+            begin = np.searchsorted(text[order], text[order])
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order)) - begin
+            many = np.bincount(text, minlength=len(y))[text]
+            pos = np.flatnonzero(mine & (y[text] == 1) & (rank <= many // 4))
+            hard = neg[np.argsort(-score[neg], kind="stable")[: max(batch, len(neg) // 10)]]
+        for s in range(steps):
+            step += 1
+            pick = np.concatenate([r.choice(pos, batch // 2), r.choice(neg, batch // 4), r.choice(hard, batch // 4)])
+            g = net.gradient(t, first[pick], size[pick], y[text[pick]], np.full(len(pick), 1 / len(pick)))
+            for name, x in net.p.items():
+                gk = g[name].astype(np.float32) + 1e-5 * x
+                m[name] = 0.9 * m[name] + 0.1 * gk
+                v[name] = 0.99 * v[name] + 0.01 * gk * gk
+                net.p[name] = x - rate * (m[name] / (1 - 0.9**step)) / (np.sqrt(v[name] / (1 - 0.99**step)) + 1e-6)
+            if s % 30 == 29:
+                top = np.full(len(y), net.p["bias"][0] - 4.0)
+                np.maximum.at(top, text[of_check], net.window_logits(t, first[of_check], size[of_check]))
+                now = _loss(top[check], y[check])
+                if now < best - 1e-3:
+                    best, best_p, waited = now, dict(net.p), 0
+                else:
+                    waited += 1
+                if waited >= patience:
+                    break
+        if waited >= patience:
+            break
+    net.p = best_p
+    if best > 0.66:
+        warnings.warn(f"the toxicity network has learnt nothing from {len(y)} texts (validation loss {best:.2f})", stacklevel=2)
+    net.slope, net.shift = platt(net.tops(t), y, PRIOR)
     return net
 
 
@@ -280,8 +361,9 @@ def score(docs: DataFrame, net: Network, threshold: float = 0.3) -> DataFrame:
     def run(batches):
         for whole in batches:
             for b in byte_chunks(whole, 1):
-                p = held.value.scores(Batch(b.column(1).to_pylist()))
+                p = held.value.scores(b.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p.astype(np.float64))], names=["doc_id", "score"])
+        trim()
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
     held_out = F.coalesce(crc_rest(HELD_OUT[0]) == HELD_OUT[1], F.lit(False))

@@ -316,19 +316,53 @@ def test_op5(docs, broadcast, monkeypatch):
     assert sum(r["n_dropped"] for r in got.values()) >= 4
 
 
-def test_op5_deletion_is_the_inverse_of_insertion(spark, docs):
+@pytest.mark.parametrize("broadcast", [1 << 24, 0])
+def test_op5_deletion_is_the_inverse_of_insertion(spark, docs, broadcast, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", broadcast)
     index = line_dedup.LineIndex.of(docs)
     shared = "A passage that several documents share, word for word."
     more = spark.createDataFrame([(900 + k, shared + "\nanother line that all of these have", None, None, 0) for k in range(3)], DOCS)
-    rows = lambda x: sorted((r["h1"], r["h2"], r["n"], r["last"]) for r in x.active.collect())
+    rows = lambda x: sorted((r["h1"], r["h2"], r["n"], r["last"]) for r in x.counts.collect())
     drops = lambda x: sorted((r["id"], sorted(r["keys"])) for r in x.drops().collect())
     before = rows(index), drops(index)
     grown = index.insert(more)
     assert rows(grown) != before[0] and len(rows(grown)) == len(before[0]) + 1
-    back = grown.delete(more)
+    assert rows(grown.insert(more)) == rows(grown)  # documents that are there already change nothing
+    back = grown.delete(more).compacted()
     assert (rows(back), drops(back)) == before
 
 
+def test_op5_grows_to_twenty_times_its_size(spark, monkeypatch):
+    """Filters fill, are built anew with more shards, and still answer for every key; deletion leads back."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 64)
+    rows = lambda lo, hi: [(k, "\n".join(f"shared line number {k // 4 * 10 + j} of some length" for j in range(10)), None, None, 0) for k in range(lo, hi)]
+    first, rest = (spark.createDataFrame(rows(*x), DOCS).repartition(2) for x in ((0, 40), (40, 800)))
+    small = line_dedup.LineIndex.of(first)
+    n = small.built_filters().count()
+    grown = small.insert(rest)
+    want = line_dedup.LineIndex.of(first.union(rest))
+    got = sorted((r["id"], sorted(r["keys"])) for r in grown.drops().collect())
+    assert got == sorted((r["id"], sorted(r["keys"])) for r in want.drops().collect()) and len(got) == 600
+    assert grown.built_filters().count() > n and not any(r["full"] for r in grown.filters.collect())
+    back = grown.delete(rest.select("doc_id"))
+    assert sorted(r["id"] for r in back.drops().collect()) == sorted(r["id"] for r in small.drops().collect())
+
+
+def test_op5_repeated_ids_are_one_document(spark, tmp_path):
+    """As in the SQL: (3, L), (7, L), (7, L) are two documents; with a third id, all rows of the largest keep the line."""
+    import duckdb
+
+    line = "a line of more than twenty characters"
+    for extra in ([], [(5, line, None, None, 0), (None, line + "\nown", None, None, 0)]):
+        rows = [(3, line, None, None, 0), (7, line, None, None, 0), (7, line + "\nmore", None, None, 0), (8, None, None, None, 0), *extra]
+        path = str(tmp_path / f"{len(extra)}")
+        spark.createDataFrame(rows, DOCS).write.parquet(f"{path}/documents.parquet")
+        got = sorted(tuple(r) for r in line_dedup.op5_line_dedup(spark, path).fillna(-1).collect())
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from '{path}/documents.parquet/*.parquet'")
+        assert got == sorted((-1 if r[0] is None else r[0], *r[1:]) for r in con.execute(line_dedup.OP5_SQL).fetchall())
+
+
 def test_cuckoo_filter():
     r, f = random.Random(1), line_dedup.CuckooFilter(3000)
     keys = [r.getrandbits(64) for _ in range(3000)]
@@ -464,39 +498,96 @@ def _toxic(n, seed):
 def test_op9_learns_and_scores_all_windows(spark):
     rows = _toxic(300, 1)
     net = toxicity.fit([t for t, _ in rows[:220]], [y for _, y in rows[:220]])
-    p = net.scores(Batch([t for t, _ in rows[220:]]))
+    p = net.scores([t for t, _ in rows[220:]])
     y = np.array([y for _, y in rows[220:]])
     assert ((p >= 0.3) == y).mean() >= 0.9
     late = " ".join(["w1"] * 400 + ["idiot", "scum"])
-    assert net.scores(Batch([late]))[0] > net.scores(Batch([" ".join(["w1"] * 402)]))[0]
-    b = Batch([late, "", None, "a"])
-    first, size, text = toxicity.windows(b)
+    assert net.scores([late])[0] > net.scores([" ".join(["w1"] * 402)])[0]
+    b = toxicity.Tokens([late, "", None, "a"])
+    first, size, text = b.windows()
     covered = np.concatenate([np.arange(f, f + n) for f, n in zip(first, size)])
-    assert set(covered) == set(range(b.n_words.sum())) and set(text) == {0, 3}
-    e = net.scores(Batch(["", None]))
+    assert set(covered) == set(range(b.sizes.sum())) and set(text) == {0, 3}
+    e = net.scores(["", None])
     assert e[0] == e[1] < 0.3
 
 
+def _plain_tokens(text):
+    out, run = [], ""
+    for c in (text or "") + " ":
+        o = ord(c)
+        if (c.isascii() and c.isalnum()) or (o > 0xBF and not 0x2000 <= o <= 0x206F and not 0x3000 <= o <= 0x303F):
+            run += c.lower() if c.isascii() else c
+            continue
+        while len(run) > toxicity.PIECE:
+            out.append(run[: toxicity.PIECE])
+            run = run[toxicity.PIECE - toxicity.OVERLAP :]
+        if run:
+            out.append(run)
+        run = ""
+    return out
+
+
+def test_op9_scores_are_those_of_plain_loops(monkeypatch):
+    """Tokens, windows, the forward pass and the highest window, one step at a time."""
+    monkeypatch.setattr(toxicity, "SLICE", 150)
+    texts = [" ".join(f"w{k % 7}-é{k % 5}" for k in range(70)), "x" * 100 + "/Ab", None, "", "IDIOT!"]
+    t = toxicity.Tokens(texts)
+    plain = [_plain_tokens(x) for x in texts]
+    assert list(t.sizes) == list(map(len, plain))
+    flat = [w for p in plain for w in p]
+    seen = {}
+    for w, k in zip(flat, t.which):  # equal tokens have equal inputs, others (but for chance) not
+        key = (int(t.word[k]), tuple(t.chars[t.start[k] : t.start[k + 1]]))
+        assert seen.setdefault(w, key) == key and len(key[1]) == len(w)
+    assert len(set(seen.values())) == len(seen)
+    net = toxicity.Network(4)
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    vec = lambda w: p["word"][seen[w][0]] + sum(p["char"][c] for c in seen[w][1]) / np.sqrt(len(w))
+    h = toxicity.HIDDEN
+
+    def states(xs, d):
+        s, out = np.zeros(h), []
+        for x in xs:
+            a, u = x @ p["w" + d] + p["c" + d], s @ p["u" + d]
+            z, r = (np.clip(0.25 * (a + u)[k * h : (k + 1) * h] + 0.5, 0, 1) for k in (0, 1))
+            n = a[2 * h :] + r * u[2 * h :]
+            s = (1 - z) * n / (1 + abs(n)) + z * s
+            out.append(s)
+        return out
+
+    for k, words in enumerate(plain):
+        top = p["bias"][0] - 4
+        if words:
+            logits = []
+            for at in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+                xs = [vec(w) for w in words[at : at + toxicity.WINDOW]]
+                hid = np.concatenate([states(xs, "f"), states(xs[::-1], "b")[::-1]], 1)
+                e = np.exp(hid @ p["att"])
+                logits.append((e / e.sum()) @ hid @ p["out"] + p["bias"][0])
+            top = max(logits)
+        assert net.scores(texts)[k] == pytest.approx(1 / (1 + np.exp(-top)), abs=1e-5)
+
+
 def test_op9_gradient():
     rows = _toxic(4, 2)
     net = toxicity.Network(1)
-    b = Batch([t for t, _ in rows])
-    s = toxicity.inputs(b)
-    first, size, text = toxicity.windows(b)
+    t = toxicity.Tokens([x for x, _ in rows])
+    first, size, text = t.windows()
     y = np.array([y for _, y in rows])[text].astype(float)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
     w = np.full(len(y), 1 / len(y))
-    g = net._gradient(s, first, size, y, w)
+    g = net.gradient(t, first, size, y, w)
 
     def loss():
-        z = net.window_logits(s, first, size).astype(float)
+        z = net.window_logits(t, first, size).astype(float)
         q = 1 / (1 + np.exp(-z))
         return -(w * (y * np.log(q) + (1 - y) * np.log(1 - q))).sum()
 
     r = np.random.default_rng(0)
-    for k in ("att", "out", "uf", "ub", "wf", "cb"):
+    for k in ("att", "out", "uf", "ub", "wf", "cb", "word", "char"):
         flat = net.p[k].reshape(-1)
-        for at in r.choice(flat.size, 3):
+        hot = np.flatnonzero(np.abs(g[k]).reshape(-1) > 1e-4)
+        for at in r.choice(hot, 3):
             was, h = flat[at], 1e-2
             flat[at] = was + h
             up = loss()
