@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -142,49 +143,69 @@ def stored(lists: list[np.ndarray]) -> list[str]:
     return [f"{len(d)}:{s}" for d, s in zip(lists, sk)]
 
 
+#: Bytes of text that a bucket is meant to hold, the most buckets that are told apart by id, and parts of one id's rows.
+BUCKET_BYTES, MOST, SUB = 256 << 20, 1 << 16, 1 << 16
+
+
+def _buckets(docs: DataFrame) -> int:
+    spark = docs.sparkSession
+    size = docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    size = int(str(size))
+    return min(MOST, max(8 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET_BYTES if size < 1 << 60 else 0))
+
+
 def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
-    """Rows (bucket, id, text, guest) dealt so that a bucket holds a range of ids and, as guests, the rows that follow its last.
+    """Rows (bucket, id, h, text, guest) dealt so that a bucket holds a range of (id, h) and, as guests, the rows that follow its last.
 
-    Bounds are quantiles of the ids; only they and the least id of each bucket (at most 4096 numbers each)
-    come to the driver. The last bucket's guests are the rows with the least id of all.
+    h is a hash of the text. Bounds are quantiles of the ids; an id that is several quantiles at once (null, say)
+    has its rows parted further by h. Only the bounds and the least row of each bucket come to the driver (at
+    most MOST numbers and, with the parts, as many rows). The last bucket's guests are the rows with the least
+    (id, h) of all.
     """
     spark = docs.sparkSession
-    n = buckets or min(4096, 8 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = buckets or _buckets(docs)
     rows = docs.select(doc_key().alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = rows.select("id")
-    cuts = ids.agg(F.percentile_approx("id", [(i + 1) / n for i in range(n - 1)] or [0.5], 100 * n).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts))
+    cuts = rows.select("id").agg(F.percentile_approx("id", [(i + 1) / n for i in range(n - 1)] or [0.5], 100 * n).alias("q")).first()["q"] or []
+    times = Counter(cuts)
+    cuts = sorted(times)
+    lit = lambda x: f"{x}L" if x != -(2**63) else "(-9223372036854775807L - 1L)"
     wide = max(1, int(len(cuts) ** 0.5))
     groups = [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
     if groups:
         # the number of bounds at or below an id, found in two levels
-        tops = "array(" + ",".join(f"{g[0]}L" for g in groups) + ")"
-        inner = "array(" + ",".join("array(" + ",".join(f"{x}L" for x in g) + ")" for g in groups) + ")"
+        tops = "array(" + ",".join(lit(g[0]) for g in groups) + ")"
+        inner = "array(" + ",".join("array(" + ",".join(map(lit, g)) + ")" for g in groups) + ")"
         top = f"size(filter({tops}, x -> x <= id))"
-        bucket = f"if({top} = 0, 0, ({top} - 1) * {wide} + size(filter(element_at({inner}, {top}), x -> x <= id)))".replace(f"{-2**63}L", "(-9223372036854775807L - 1L)")
+        place = f"if({top} = 0, 0, ({top} - 1) * {wide} + size(filter(element_at({inner}, {top}), x -> x <= id)))"
     else:
-        bucket = "0"
-    rows = rows.withColumn("bucket", F.expr(bucket).cast("int"))
-    heads = sorted((r["bucket"], r["id"]) for r in rows.groupBy("bucket").agg(F.min("id").alias("id")).collect())
+        place = "0"
+    # rows of an id that is a bound m times: m parts by h, before the other ids of their place
+    hot = {x: m for x, m in times.items() if m > 1}
+    part = f"{SUB - 1}"
+    if hot:
+        many = "map(" + ",".join(f"{lit(x)},{min(m, SUB - 1)}" for x, m in hot.items()) + ")"
+        part = f"coalesce(cast(floor((h / 18446744073709551616D + 0.5D) * element_at({many}, id)) as int), {SUB - 1})"
+    rows = rows.withColumn("h", F.xxhash64("text")).withColumn("bucket", F.expr(f"cast({place} as long) * {SUB} + {part}"))
+    heads = sorted((r["bucket"], *r["x"]) for r in rows.groupBy("bucket").agg(F.min(F.struct("id", "h")).alias("x")).collect())
     if not heads:
-        return rows.select("bucket", "id", "text", F.lit(0).alias("guest"))
-    hosts = [(heads[i][1], heads[i - 1][0]) for i in range(len(heads))]  # the first bucket's head goes to the last
-    small = spark.createDataFrame(hosts, "head long, host int")
-    out = rows.join(F.broadcast(small), F.col("id") == F.col("head"), "left")
+        return rows.select("bucket", "id", "h", "text", F.lit(0).alias("guest"))
+    hosts = [(*heads[i][1:], heads[i - 1][0]) for i in range(len(heads))]  # the first bucket's head goes to the last
+    small = spark.createDataFrame(hosts, "head long, head_h long, host long")
+    out = rows.join(F.broadcast(small), (F.col("id") == F.col("head")) & (F.col("h") == F.col("head_h")), "left")
     places = F.when(F.col("host").isNull(), F.array(F.struct("bucket", F.lit(0).alias("guest")))).otherwise(
         F.array(F.struct("bucket", F.lit(0).alias("guest")), F.struct(F.col("host").alias("bucket"), F.lit(1).alias("guest")))
     )
-    return out.select("id", "text", F.inline(places)).select("bucket", "id", "text", "guest")
+    return out.select("id", "h", "text", F.inline(places)).select("bucket", "id", "h", "text", "guest")
 
 
 def compare_with_next(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and its edited text, and likenesses, for docs (doc_id, text).
 
     The edited text is the text with its last floor(n/2) code points replaced by the first as many (or all)
-    of the next row's, in ascending (doc_id, text); after the last row comes the first. Returns doc_id,
+    of the next row's, in ascending (doc_id, hash of the text, text); after the last row comes the first. Returns doc_id,
     n_chars, edited_text, fingerprint, edited_fingerprint, near_edited, near_next.
     A null text is empty (no cells; two empty texts are alike, 1.0). A null doc_id sorts first. Rows with
-    equal ids follow each other by text. A single row is its own next. An empty table gives an empty result;
+    equal ids follow each other by their texts' hashes; a very frequent id is parted by them. A single row is its own next. An empty table gives an empty result;
     other columns are not read. Texts move once, by ranges of ids.
     """
 
@@ -220,7 +241,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
         if part:
             yield flush(part)
 
-    dealt = with_next(docs).repartition("bucket").sortWithinPartitions("bucket", F.desc("guest"), "id", "text")
+    dealt = with_next(docs).repartition("bucket").sortWithinPartitions("bucket", F.desc("guest"), "id", "h", "text").select("bucket", "id", "text", "guest")
     out = dealt.mapInArrow(run, "id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.select(null_key(F.col("id")).alias("doc_id"), *out.columns[1:])
 

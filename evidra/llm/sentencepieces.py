@@ -77,18 +77,33 @@ class Model:
                 out += [((-score, i, k), (p[:k], p[k:])) for k in range(1, len(p)) if p[:k] in vocab and p[k:] in vocab]
         return [pair for _, pair in sorted(out)]
 
+    def scores(self) -> list[tuple[str, float]]:
+        """Pieces and scores of a unigram model.
+
+        User-defined pieces score a little under their bytes times the best score (0 where all are negative), as the
+        library has it, so that they nearly always win. Control pieces get names that no text holds, and pieces
+        that are not scored the least score.
+        """
+        normal = [s for _, s, t in self.pieces if t == NORMAL]
+        low, top = min(normal, default=0.0), max([0.0, *normal])
+        score = {NORMAL: lambda p, s: s, USER_DEFINED: lambda p, s: len(p.encode()) * top - 0.1}
+        return [(p if t in (NORMAL, USER_DEFINED, BYTE, UNKNOWN) else f"\0{p}", score[t](p, s) if t in score else low) for p, s, t in self.pieces]
+
     def tokenizer(self):
         """A tokenizer of the tokenizers library with the same pieces for the same text."""
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
+        from tokenizers import AddedToken, Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
+        own = [p for p, _, t in self.pieces if t == USER_DEFINED]
         if self.kind == BPE:
             vocab = {p: i for i, (p, _, _) in enumerate(self.pieces)}
             model = models.BPE(vocab, self.merges(), unk_token=self.pieces[self.unknown][0], fuse_unk=True, byte_fallback=self.byte_fallback)
         elif self.kind == UNIGRAM:
-            model = models.Unigram([(p, s) for p, s, _ in self.pieces], self.unknown, self.byte_fallback)
+            model = models.Unigram(self.scores(), self.unknown, self.byte_fallback)
         else:
             raise ValueError("only unigram and BPE models are known")
         tok = Tokenizer(model)
+        if own and self.kind == BPE:  # user-defined pieces are taken first, the longest at each place, and never merged
+            tok.add_tokens([AddedToken(p, normalized=False) for p in own])
         steps = [normalizers.Precompiled(self.charsmap)] if self.charsmap else []
         if self.squeeze:
             steps += [normalizers.Strip(), normalizers.Replace(Regex(" {2,}"), " ")]
@@ -104,12 +119,25 @@ class Model:
         return all(MARK not in p.lstrip(MARK) for p, _, t in self.pieces if t in (NORMAL, USER_DEFINED))
 
 
+#: Texts on which a model is held against the sentencepiece library when it is loaded.
+PROBES = ["", " ", "Hello  world. ", "1234 a1b2, x=y;", "naïve café ﬁne \u00a0x", "中文字 かな 한글", "😀👍🏽 \u200d", "\t\n\r mixed\x00", "aaaa bbbb $$$$ ----", "<s> </s> <unk> <0x41>", "▁▁a ▁b"]
+
+
+def own_probes(model: Model) -> list[str]:
+    """Texts with the first user-defined pieces of a model."""
+    own = [p.replace(MARK, " ") for p, _, t in model.pieces if t == USER_DEFINED][:20]
+    return [f"a{p}b {p}{p} x" for p in own] + ["".join(own), " ".join(own)] * bool(own)
+
+
 class Codec:
-    """Encodes and decodes texts by batches; texts are cut, if they are long, where no piece can span."""
+    """Encodes and decodes texts by batches; texts are cut, if they are long, where no piece can span.
+
+    A model whose pieces differ from those of the sentencepiece library on PROBES is refused.
+    """
 
     CUT = re.compile(f"(?<=[^{MARK}]){MARK}")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, check: bool = True):
         if "/" not in path:
             import public_tokenizers
 
@@ -125,6 +153,17 @@ class Codec:
                 self.out[i] = bytes([int(p[1:-1], 16)])
             elif t == UNKNOWN:
                 self.out[i] = " ⁇ ".encode()
+        #: The library itself, for unigram models: see `encode`.
+        self.library = None
+        if check:
+            import sentencepiece
+
+            library = sentencepiece.SentencePieceProcessor(model_file=path)
+            probes = [*PROBES, *own_probes(self.model)]
+            if self.model.kind == UNIGRAM:
+                self.library = library
+            elif self.encode(probes) != library.encode(probes):
+                raise ValueError("the model's pieces are not those of the sentencepiece library")
 
     def _marked(self, texts: list[str]) -> list[str]:
         """Normalised texts with marks: a leading blank is put in front (of texts that are not empty), blanks are marks."""
@@ -156,6 +195,14 @@ class Codec:
         out: list[list[int]] = [[] for _ in texts]
         for i, ids in zip(owner, self._raw(parts)):
             out[i] = out[i] + ids if out[i] else ids
+        if self.library is not None:
+            # unigram paths of equal score fall as single precision has it in the library, as double precision has it here: every text is checked
+            want = self.library.encode(texts, num_threads=THREADS)
+            score = [s for _, s in self.model.scores()]
+            for x, y in zip(out, want):
+                if x != y and abs(sum(score[i] for i in x) - sum(score[i] for i in y)) > 1e-4 * (1 + len(y)):
+                    raise ValueError("the model's pieces are not those of the sentencepiece library")
+            out = want
         return out
 
     def decode(self, ids: list[list[int]]) -> list[str]:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from evidra.llm.common import written
 
-#: Rounds of joins after which conversations whose order is still open are finished one by one (see `settle`).
-ROUNDS = 64
+#: Rounds of joins after which conversations whose order is still open are finished in another way (see `order`), and
+#: the most identifiers of a conversation that are gathered for it.
+ROUNDS, GATHER = 64, 200_000
 #: Schemas of the tools that plain dialogues stand for (see `dialogue`).
 DIALOGUE_SCHEMAS = {
     name: {"type": "object", "properties": {"prompt": {"type": "string", "minLength": 1}, "words": {"type": "integer", "minimum": 1}}, "required": ["prompt", "words"], "additionalProperties": False}
@@ -159,10 +160,8 @@ def link(messages: DataFrame, schemas: dict, dialogue: bool = False) -> DataFram
     linked, copies, valid, error, canonical. In a conversation the order (order_turn, order_depth, turn, seq)
     puts every result after its call and every call after those it names: order_turn is the greatest turn
     among an event and all it depends on, order_depth counts the dependencies inside that turn. Both follow
-    from joins by identifier, so a conversation of any length is never gathered: events that come in order
-    need one join, others a round for each step of a chain that is out of order; only of a conversation that is
-    still open after ROUNDS rounds are the identifiers gathered. Calls that wait for each
-    other in a circle have order_depth null and are not valid.
+    from hash joins by identifier, so the events of a conversation are never gathered (see `order`). Calls that
+    wait for each other in a circle have order_depth null and are not valid.
     linked: a call has a result, a result has a call (else it is an orphan). copies: rows with the same
     identifier and kind; the first call (by turn, seq) is the one that results belong to. valid and error:
     the arguments against the tool's schema, unknown tools, missing ids. A null conv_id is a conversation of
@@ -174,9 +173,9 @@ def link(messages: DataFrame, schemas: dict, dialogue: bool = False) -> DataFram
     calls = ev.where("kind = 'call' and call_id is not null")
     first = calls.groupBy("conv", "call_id").agg(F.min("at").alias("call_at"), F.count("*").alias("n_calls"))
     answers = ev.where("kind = 'result'").groupBy("conv", "call_id").agg(F.count("*").alias("n_results"))
-    named = written(first.join(answers, ["conv", "call_id"], "full_outer"), "identifiers")
+    named = written(first.join(answers.hint("shuffle_hash"), ["conv", "call_id"], "full_outer"), "identifiers")
     placed = order(named, calls)
-    out = ev.join(placed, ["conv", "call_id"], "left")
+    out = ev.join(placed.hint("shuffle_hash"), ["conv", "call_id"], "left")
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     own = F.greatest("at", F.when(is_call | is_result, F.col("call_turn")))
     # inside the turn at which its call is placed, a result is one deeper
@@ -192,17 +191,22 @@ def link(messages: DataFrame, schemas: dict, dialogue: bool = False) -> DataFram
 
 
 def order(named: DataFrame, calls: DataFrame) -> DataFrame:
-    """(conv, call_id, n_calls, n_results, call_turn, call_depth, cyclic) of identifiers, from what calls name in `after`."""
+    """(conv, call_id, n_calls, n_results, call_turn, call_depth, cyclic) of identifiers, from what calls name in `after`.
+
+    Each round of joins moves what is placed before one that it names; calls named in earlier turns are in
+    place after the first. What is still open after ROUNDS rounds (circles, and long chains inside a turn) is
+    finished exactly: conversations of at most GATHER identifiers one by one, larger ones by `peel`.
+    """
     base = named.select("conv", "call_id", "n_calls", "n_results", F.col("call_at").alias("call_turn"), F.lit(0).alias("call_depth"))
     needs = calls.select("conv", "call_id", F.explode("after").alias("need")).distinct()
-    needs = written(needs.join(named.where("call_at is not null").select("conv", F.col("call_id").alias("need"), "call_at"), ["conv", "need"]), "needs")
+    needs = written(needs.join(named.where("call_at is not null").select("conv", F.col("call_id").alias("need"), "call_at").hint("shuffle_hash"), ["conv", "need"]), "needs")
     if needs.isEmpty():
         return base.withColumn("cyclic", F.lit(False))
     state = base
     for k in range(ROUNDS):
         from_ = state.select("conv", F.col("call_id").alias("need"), F.col("call_turn").alias("t"), F.col("call_depth").alias("d"))
-        got = needs.join(from_, ["conv", "need"]).groupBy("conv", "call_id").agg(F.max(F.struct("t", "d")).alias("top"))
-        new = state.join(got, ["conv", "call_id"], "left")
+        got = needs.join(from_.hint("shuffle_hash"), ["conv", "need"]).groupBy("conv", "call_id").agg(F.max(F.struct("t", "d")).alias("top"))
+        new = state.join(got.hint("shuffle_hash"), ["conv", "call_id"], "left")
         turn = F.greatest("call_turn", "top.t")
         depth = F.when(F.col("top.t") == turn, F.greatest(F.when(F.col("call_turn") == turn, F.col("call_depth")).otherwise(0), F.col("top.d") + 2)).otherwise(F.col("call_depth"))
         new = new.select("conv", "call_id", "n_calls", "n_results", turn.alias("call_turn"), depth.cast("int").alias("call_depth"), (F.coalesce(turn != F.col("call_turn"), F.lit(False)) | F.coalesce(depth != F.col("call_depth"), F.lit(False))).alias("cyclic"))
@@ -210,10 +214,46 @@ def order(named: DataFrame, calls: DataFrame) -> DataFrame:
         if state.where("cyclic").isEmpty():
             return state
     open_ = state.where("cyclic").select("conv").distinct()
+    size = written(named.join(open_, "conv", "left_semi").groupBy("conv").agg(F.count("*").alias("size")), "open")
+    few, many = (size.where(c).select("conv") for c in (F.col("size") <= GATHER, F.col("size") > GATHER))
     after = needs.groupBy("conv", "call_id").agg(F.collect_list("need").alias("after"))
-    rest = named.join(open_, "conv", "left_semi").join(after, ["conv", "call_id"], "left")
+    rest = named.join(few, "conv", "left_semi").join(after, ["conv", "call_id"], "left")
     rest = rest.select("conv", "call_id", "n_calls", "n_results", "call_at", "after").groupBy("conv").applyInArrow(settle, state.schema)
-    return written(state.join(open_, "conv", "left_anti").union(rest), "order")
+    out = state.join(size, "conv", "left_anti").union(rest)
+    if not many.isEmpty():
+        out = out.union(peel(named.join(many, "conv", "left_semi"), needs.join(many, "conv", "left_semi")))
+    return written(out, "order")
+
+
+def peel(named: DataFrame, needs: DataFrame) -> DataFrame:
+    """As `settle`, by joins for conversations of any size: each round places the calls all of whose needs are placed, until a round places none.
+
+    What is left then waits for itself; it has the greatest turn that it reaches.
+    """
+    of = needs.groupBy("conv", "call_id").agg(F.count("*").alias("waits"))
+    start = written(named.join(of, ["conv", "call_id"], "left").withColumn("waits", F.coalesce("waits", F.lit(0))), "waiting")
+    keep = ["conv", "call_id", "n_calls", "n_results"]
+    last = written(start.where("waits = 0").select(*keep, F.col("call_at").alias("call_turn"), F.lit(0).alias("call_depth")), "placed")
+    # got: of each call how many of its needs are placed, and the last of those
+    got, placed = None, last
+    while not last.isEmpty():
+        new = needs.join(last.select("conv", F.col("call_id").alias("need"), "call_turn", "call_depth"), ["conv", "need"]).groupBy("conv", "call_id").agg(F.count("*").alias("met"), F.max(F.struct(F.col("call_turn").alias("t"), F.col("call_depth").alias("d"))).alias("top"))
+        got = written(new if got is None else got.union(new).groupBy("conv", "call_id").agg(F.sum("met").alias("met"), F.max("top").alias("top")), "met")
+        ready = start.join(got.where("met is not null"), ["conv", "call_id"]).where("met = waits").join(placed.select("conv", "call_id"), ["conv", "call_id"], "left_anti")
+        same = F.col("top.t") >= F.col("call_at")
+        last = written(ready.select(*keep, F.greatest("call_at", "top.t").alias("call_turn"), F.when(same, F.col("top.d") + 2).otherwise(0).cast("int").alias("call_depth")), "placed")
+        placed = written(placed.union(last), "placed")
+    out = placed.withColumn("cyclic", F.lit(False))
+    stuck = start.join(placed.select("conv", "call_id"), ["conv", "call_id"], "left_anti")
+    turn = F.col("call_at") if got is None else F.greatest("call_at", "top.t")
+    stuck = written((stuck if got is None else stuck.join(got, ["conv", "call_id"], "left")).select(*keep, turn.alias("call_turn")), "stuck")
+    while True:
+        reach = needs.join(stuck.select("conv", F.col("call_id").alias("need"), F.col("call_turn").alias("t")), ["conv", "need"]).groupBy("conv", "call_id").agg(F.max("t").alias("t"))
+        new = stuck.join(reach, ["conv", "call_id"], "left").select(*keep, F.greatest("call_turn", "t").alias("call_turn"), F.coalesce(F.col("t") > F.col("call_turn"), F.lit(False)).alias("moved"))
+        new = written(new, "stuck")
+        stuck = new.drop("moved")
+        if new.where("moved").isEmpty():
+            return out.union(stuck.select(*keep, "call_turn", F.lit(0).alias("call_depth"), F.lit(True).alias("cyclic")))
 
 
 def settle(t: pa.Table) -> pa.Table:
@@ -256,7 +296,25 @@ def settle(t: pa.Table) -> pa.Table:
     return pa.table({c: t.column(c) for c in ("conv", "call_id", "n_calls", "n_results")} | new)
 
 
+def as_tool_messages(turns: DataFrame) -> DataFrame:
+    """Plain dialogue turns (conv_id, turn, role, text) as messages with tool calls and results, by columns.
+
+    A turn of a user or the system becomes a call of the tool named like the role: its id is the turn, its
+    arguments, a JSON text, are the prompt and its number of words, and it comes after the calls of the two turns
+    before (those that are there). A turn of an assistant becomes the result of the call of the turn before.
+    Turns without a number stay as they are.
+    """
+    text = F.coalesce("text", F.lit(""))
+    words = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+"))
+    name = lambda k: (F.col("turn") - k).cast("string")
+    arguments = F.to_json(F.struct(words.alias("words"), text.alias("prompt")))
+    call = F.struct(name(0).alias("id"), F.col("role").alias("name"), arguments.alias("arguments"), F.array(name(2), name(1)).alias("after"))
+    made = F.when(F.col("role").isin("user", "system"), F.to_json(F.struct(F.array(call).alias("tool_calls"))))
+    made = made.when(F.col("role") == "assistant", F.to_json(F.struct(name(1).alias("tool_call_id"), text.alias("content"))))
+    return turns.select("conv_id", "turn", "role", F.when(F.col("turn").isNotNull(), made).alias("made"), "text").select("conv_id", "turn", "role", F.coalesce("made", "text").alias("text"))
+
+
 def op4_tool_call_linking(spark, sf_dir):
-    """Every turn of `conversations` as the dialogue's call or result (see read_message)."""
-    out = link(spark.read.parquet(f"{sf_dir}/conversations.parquet"), DIALOGUE_SCHEMAS, dialogue=True)
+    """Every turn of `conversations` as a message with a tool call or a result (see as_tool_messages), linked, ordered and validated."""
+    out = link(as_tool_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet")), DIALOGUE_SCHEMAS)
     return out.withColumn("canonical_sha256", F.sha2("canonical", 256)).drop("canonical")

@@ -283,12 +283,84 @@ def test_op4(spark):
     assert tool_calls.link(spark.createDataFrame([], "conv_id long, turn long, role string, text string"), schemas).count() == 0
 
 
+def test_op4_query(spark, tmp_path):
+    """The registered query against plain loops over each conversation."""
+    rows = [(c, t, r.choice(["user", "assistant", "system"]), r.choice(["", None, 'say "hi"\nthere', "a b\tc é"])) for c in range(30) for r in [random.Random(c)] for t in range(r.randint(1, 9))]
+    r = random.Random(5)
+    r.shuffle(rows)
+    rows += [(None, 0, "user", "no conversation"), (77, None, "user", "no turn")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {(x["conv_id"], x["turn"]): x for x in tool_calls.op4_tool_call_linking(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    role = {(c, t): x for c, t, x, _ in rows}
+    call = lambda c, t: role.get((c, t)) in ("user", "system") and t is not None
+    depth: dict = {}
+    for c, t, kind, text in sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, x[1] is None, x[1] or 0)):
+        x, text = got[c, t], text or ""
+        if t is None:
+            assert (x["kind"], x["linked"], x["valid"]) == ("message", False, True)
+            continue
+        assert x["kind"] == ("result" if kind == "assistant" else "call") and x["order_turn"] == t and x["order_depth"] == 0
+        if kind == "assistant":
+            want = {"content": text, "id": str(t - 1)}
+            assert x["linked"] == call(c, t - 1) and x["valid"]
+        else:
+            want = {"arguments": {"prompt": text, "words": len(text.encode().split())}, "id": str(t), "name": kind}
+            problem = "$.prompt: length" if not text else "$.words: out of bounds" if not text.split() else None
+            assert x["linked"] == (role.get((c, t + 1)) == "assistant") and x["error"] == problem and x["valid"] == (problem is None)
+        assert x["canonical_sha256"] == hashlib.sha256(json.dumps(want, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+
+
 def test_op4_dialogue(spark):
     m = spark.createDataFrame([(1, 0, "system", "s"), (1, 1, "user", "q"), (1, 2, "assistant", "a"), (1, 3, "user", ""), (2, 0, "assistant", "x")], "conv_id long, turn long, role string, text string")
     e = {(r["conv_id"], r["turn"]): r for r in tool_calls.link(m, tool_calls.DIALOGUE_SCHEMAS, dialogue=True).collect()}
     assert [e[1, t]["linked"] for t in range(4)] == [False, True, True, False] and not e[2, 0]["linked"] and not e[1, 3]["valid"]
 
 
+def test_op4_edges(spark):
+    """Columns of clashing names, repeated rows, very long texts and arguments."""
+    long = json.dumps({"tool_calls": [{"id": "a", "name": "t", "arguments": {"x": "y" * 3_000_000}}]})
+    rows = [(1, 0, "user", "z" * 5_000_000), (1, 1, "assistant", long), (1, 1, "assistant", long), (1, 2, "tool", '{"tool_call_id":"a"}')]
+    df = spark.createDataFrame([x + ("k", 1, True, None) for x in rows], "conv_id long, turn long, role string, text string, kind string, seq int, cyclic boolean, call_turn long")
+    out = tool_calls.link(df, {"t": {"type": "object"}}).collect()
+    assert [x["kind"] for x in sorted(out, key=lambda x: x["turn"])] == ["message", "call", "call", "result"]
+    assert all(x["copies"] == 2 and x["linked"] for x in out if x["kind"] == "call") and all(x["valid"] for x in out)
+
+
+def _chains(n, r):
+    """Calls of one conversation with chains in and out of order, over several turns, circles, and calls behind circles."""
+    ids = [f"c{k}" for k in range(n)]
+    after = {i: r.sample(ids[:k], min(k, r.choice([0, 1, 2]))) for k, i in enumerate(ids)}
+    after |= {"x": ["y"], "y": ["z", "c3"], "z": ["x"], "w": ["x", "c1"], "me": ["me"]}
+    turns: dict = {}
+    for i in r.sample(list(after), len(after)):
+        turns.setdefault(r.randrange(4), []).append({"id": i, "name": "t", "arguments": {}, "after": after[i]})
+    at = {c["id"]: t for t, cs in turns.items() for c in cs}
+    return after, at, [(t, json.dumps({"tool_calls": cs})) for t, cs in turns.items()]
+
+
+@pytest.mark.parametrize("gather", [10**6, 0])
+def test_op4_order_of_any_chain(spark, monkeypatch, gather):
+    """Joins, then one by one or by peeling, against a plain topological order."""
+    monkeypatch.setattr(tool_calls, "ROUNDS", 2)
+    monkeypatch.setattr(tool_calls, "GATHER", gather)
+    rows, want = [], {}
+    for c in range(3):
+        after, at, made = _chains(12, random.Random(c))
+        rows += [(c, t, "assistant", text) for t, text in made]
+        place, todo = {}, dict(after)
+        while ready := [i for i in todo if all(x in place for x in todo[i])]:
+            for i in ready:
+                t, d = max([place[x] for x in todo.pop(i)], default=(-1, 0))
+                place[i] = (t, d + 2) if t >= at[i] else (at[i], 0)
+        turn = {i: at[i] for i in todo}
+        for _ in todo:
+            turn = {i: max([at[i], *(turn[x] if x in turn else place[x][0] for x in after[i])]) for i in todo}
+        want |= {(c, i): (*place[i], True) for i in place} | {(c, i): (turn[i], None, False) for i in todo}
+    out = tool_calls.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), {"t": {"type": "object"}}).collect()
+    assert {(x["conv_id"], x["call_id"]): (x["order_turn"], x["order_depth"], x["valid"]) for x in out} == want
+
+
 @pytest.mark.parametrize("bad", ['{"a":1,"a":2}', '{"a":NaN}', "{", "[1"])
 def test_op4_strict_json(bad):
     with pytest.raises(ValueError):
@@ -466,20 +538,58 @@ def test_op8_long_texts_are_cut_safely(monkeypatch):
     assert c.encode([t]) == whole
 
 
-def test_op8_unigram_models():
-    def field(n, kind, v):
-        return bytes([n << 3 | kind]) + (bytes([len(v)]) + v if kind == 2 else v)
-
+def _sp_model(kind, pieces, byte=False):
+    """A model file written by hand: field by field, with the pieces (text, score, type)."""
     import struct
 
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def field(n, kind, v):
+        return number(n << 3 | kind) + (number(len(v)) + v if kind == 2 else number(v) if kind == 0 else v)
+
     def piece(p, s, t):
-        return field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, bytes([t])))
+        return field(1, 2, field(1, 2, p.encode()) + field(2, 5, struct.pack("<f", s)) + field(3, 0, t))
+
+    data = piece("<unk>", 0, 2) + piece("<s>", 0, 3) + b"".join(piece(f"<0x{b:02X}>", 0, 6) for b in range(256 * byte)) + b"".join(piece(*p) for p in pieces)
+    return data + field(2, 2, field(3, 0, kind) + field(35, 0, int(byte))) + field(3, 2, field(1, 2, b"identity") + field(3, 0, 1) + field(4, 0, 0) + field(5, 0, 1))
+
 
-    data = piece("<unk>", 0, 2) + piece("▁a", -1, 1) + piece("b", -2, 1) + piece("▁", -3, 1) + piece("a", -4, 1) + piece("▁ab", -2.5, 1)
-    data += field(2, 2, field(3, 0, bytes([1]))) + field(3, 2, field(3, 0, bytes([1])) + field(4, 0, bytes([0])) + field(5, 0, bytes([1])))
-    m = sentencepieces.Model(data)
-    assert m.kind == sentencepieces.UNIGRAM and m.dummy_prefix and not m.squeeze and len(m.pieces) == 6
-    assert m.tokenizer().encode("▁ab▁b").ids == [5, 3, 2]
+@pytest.mark.parametrize("kind", [sentencepieces.UNIGRAM, sentencepieces.BPE])
+@pytest.mark.parametrize("byte", [False, True])
+@pytest.mark.parametrize("own", [[], ["zz", "<sep>", "q▁q", "$$$"]])
+def test_op8_parity_for_other_models(kind, byte, own, tmp_path):
+    """Unigram and BPE models with and without byte fallback and user-defined pieces, many scores tied, on random texts."""
+    import sentencepiece
+
+    r = random.Random(1)
+    pieces = dict.fromkeys("▁abcdez$q<>spé")
+    while len(pieces) < 160:
+        pieces[r.choice(["▁", "", "", ""]) + "".join(r.choice("abcdez$qé") for _ in range(r.randint(1, 4)))] = None
+    if kind == sentencepieces.BPE:
+        scored = [(p, -float(k), 1) for k, p in enumerate(sorted(pieces, key=lambda p: (len(p) == 1, len(p))))]
+    else:
+        scored = [(p, -float(r.randint(4, 10)) - r.choice([0, 0.25, 0.1]), 1) for p in pieces]
+    path = tmp_path / "m.model"
+    path.write_bytes(_sp_model(kind, [(p, 0.0, 4) for p in own] + [x for x in scored if x[0] not in own], byte))
+    sp = sentencepiece.SentencePieceProcessor(model_file=str(path))
+    texts = ["".join(r.choice("  aabbccddeezzz$$qqé<sep>x😀") for _ in range(r.randint(0, 60))) for _ in range(600)]
+    codec = sentencepieces.Codec(str(path))
+    assert [list(x) for x in codec.encode(texts)] == sp.encode(texts) and codec.decode(sp.encode(texts)) == sp.decode(sp.encode(texts))
+    alone = sentencepieces.Codec(str(path), check=False).encode(texts)
+    assert sum(list(x) != y for x, y in zip(alone, sp.encode(texts))) <= (60 if kind == sentencepieces.UNIGRAM else 0)
+
+
+def test_op8_refuses_models_that_differ(tmp_path, monkeypatch):
+    path = tmp_path / "m.model"
+    path.write_bytes(_sp_model(sentencepieces.BPE, [(p, -float(k), 1) for k, p in enumerate(["▁a", "ab", "▁", "a", "b"])]))
+    sentencepieces.Codec(str(path))
+    monkeypatch.setattr(sentencepieces.Model, "merges", lambda self: [])
+    with pytest.raises(ValueError):
+        sentencepieces.Codec(str(path))
 
 
 def _toxic(n, seed):
