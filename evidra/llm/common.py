@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.shared import shared_dir, written
+from evidra.shared import discard, shared_dir, written
 
 #: Stands for a null doc_id inside an operator, so that null ids sort first and still join.
 NULL_ID = -(2**63)
-__all__ = ["NULL_ID", "byte_chunks", "trim", "components", "doc_key", "documents", "null_key", "shared_dir", "written"]
+__all__ = ["NULL_ID", "byte_chunks", "trim", "components", "discard", "doc_key", "documents", "null_key", "shared_dir", "written"]
 
 
 def doc_key(col: str = "doc_id"):
@@ -76,8 +76,9 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         state = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state["n"] == 0 or (state["n"], state["h"]) == last:
             break
-        last = (state["n"], state["h"])
+        last, before = (state["n"], state["h"]), e
         e = written(_star_small(_star_large(e)), "edges")
+        discard(before)
     else:
         raise RuntimeError("components did not converge")
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
