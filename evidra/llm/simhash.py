@@ -237,7 +237,8 @@ def _stars(rows: DataFrame) -> DataFrame:
 def _open(members: DataFrame, comp: DataFrame) -> DataFrame:
     """The rows (key, node, n, part) of members whose key holds nodes of different components (part)."""
     m = members.join(comp, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
-    parts = m.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key")
+    m = written(m, "parts")
+    parts = written(m.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo != hi").select("key"), "open-keys")
     return written(m.join(parts, "key"), "open")
 
 
@@ -246,7 +247,8 @@ def _likely(pairs: DataFrame, node: DataFrame, similarity: float) -> DataFrame:
 
     Groups g hold about 64 pairs and go by both ends, so that a text with many pairs does not land in one.
     """
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # written, so that their size is known and few pairs do not make all sketches move
+    pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
     x, y = ([F.col("node").alias(i), F.col("sketch").alias(f"s{i}"), F.col("size").alias(f"n{i}")] for i in "ab")
     left = pairs.join(node.select(*x), "a").join(node.select(*y), "b").where(F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-6)
     whole = (F.col("na") <= SKETCH) & (F.col("nb") <= SKETCH)
@@ -278,7 +280,8 @@ def _crossing(m: DataFrame, node: DataFrame, similarity: float) -> DataFrame:
     """
     step = max(-math.log(similarity), 0.01) * (1 + 1e-9)
     m = m.select("key", "node", "part").join(node.select("node", F.floor(F.log("size") / step).cast("int").alias("level")), "node")
-    blocks = m.groupBy("key", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("n"))
+    m = written(m, "levels")
+    blocks = written(m.groupBy("key", "level").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("n")).groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("level", "n"))).alias("n")), "blocks")
     m = m.join(blocks, "key").withColumn("i", F.expr("cast(pmod(xxhash64(node), n[level]) as int)"))
     spots = F.expr("""explode(concat(
         transform(sequence(0, n[level] - 1), j -> struct(xxhash64(key, level, least(i, j), level, greatest(i, j)) as g, case when i = j then 2 when i < j then 0 else 1 end as side)),
@@ -344,7 +347,7 @@ def _verified(docs: DataFrame, node: DataFrame, pairs: DataFrame, words: int, si
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
         trim()
 
-    ids = node.join(need.select("node").distinct(), "node", "left_semi").select("node", "id")
+    ids = written(node.join(written(need.select("node").distinct(), "need"), "node", "left_semi").select("node", "id"), "ids")
     texts = docs.select(doc_key().alias("id"), "text").join(ids, "id").select("node", "text")
     sets = written(texts.mapInArrow(shingled, "node long, shingles binary").dropDuplicates(["node"]), "shingles")
 
@@ -454,4 +457,4 @@ def drop_near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8) -
     while name in {c.lower() for c in docs.columns}:
         name += "_"
     gone = written(gone.select(F.col("id").alias(name)), "gone")
-    return docs.join(gone.hint("shuffle_hash"), doc_key() == F.col(name), "left_anti")
+    return docs.join(gone, doc_key() == F.col(name), "left_anti")
