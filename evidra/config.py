@@ -115,3 +115,22 @@ def restored(snapshot: dict, default: dict) -> dict:
         if isinstance(s, bool) or isinstance(v, (int, float)) != isinstance(s, (int, float)) or isinstance(v, str) != isinstance(s, str):
             raise ValueError(f"configuration value {k} has another type")
     return dict(snapshot)
+
+
+def resolved(manifest: dict | None, override: dict | None, default: dict, mode: str = "record") -> tuple[dict, bool]:
+    """(configuration, whether it is the override): an override first, then what the manifest of a recording run holds, then the default."""
+    if override is not None:
+        return restored(override, default), True
+    if manifest is not None and mode == "record":
+        return restored(manifest, default), False
+    return dict(default), False
+
+
+def bounded(c: dict) -> list[str]:
+    """Keys of a configuration whose values are out of range: shares and thresholds in 0..1, counts at least 0, limits in order."""
+    bad = [k for k, v in c.items() if isinstance(v, float) and (v != v or v < 0 or (k.endswith(("_threshold", "_floor", "_iou", "_similarity", "_confidence")) and v > 1))]
+    bad += [k for k, v in c.items() if isinstance(v, int) and not isinstance(v, bool) and v < 0]
+    for low, high in (("line_tolerance_min_px", "line_tolerance_max_px"), ("fuzzy_uncertain_similarity_floor", "fuzzy_similarity_threshold"), ("historical_min_segment_count", "historical_max_segment_count"), ("duplicate_gray_iou", "duplicate_secondary_iou")):
+        if low in c and high in c and c[low] > c[high]:
+            bad.append(low)
+    return sorted(set(bad))

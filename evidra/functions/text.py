@@ -112,6 +112,11 @@ def content_chars(col: Column) -> Column:
     return F.length(F.translate(col, "\n", ""))
 
 
+def char_count(comparison: Column) -> Column:
+    """Length of a comparison text; fails where it holds white space, which none may."""
+    return F.when(has_space(comparison), F.raise_error(F.lit("comparison text contains white space")).cast("int")).otherwise(F.length(comparison))
+
+
 def has_space(col: Column) -> Column:
     return col.rlike(SPACE)
 
@@ -127,28 +132,77 @@ def grams(col: Column, n: int) -> Column:
     return F.when(F.length(col) >= n, F.transform(F.sequence(F.lit(1), F.length(col) - (n - 1)), lambda i: F.substring(col, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
 
 
+#: Characters of the texts whose n-grams are counted at once.
+_AT_ONCE = 1 << 18
+
+
+def _groups(sizes, limit: int = _AT_ONCE):
+    """Ranges of items that hold about `limit` characters (one item at least)."""
+    start = total = 0
+    for k, n in enumerate(sizes):
+        if k > start and total + n > limit:
+            yield start, k
+            start, total = k, 0
+        total += n
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
+def _gram_ids(texts: list[str], n: int):
+    """(text, id, place) of every n-gram of texts, for each size up to n: equal grams have equal ids; exact, for ids are made size by size."""
+    import numpy as np
+
+    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    sizes = np.array(list(map(len, texts)), np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(points))  # characters from here to the text's end
+    ids = points
+    for k in range(1, n + 1):
+        if k > 1:
+            ids = np.unique(ids[: len(points) - k + 1] << 21 | points[k - 1 :], return_inverse=True)[1] if len(points) >= k else ids[:0]
+        ok = np.flatnonzero(left[: len(ids)] >= k)
+        yield k, owner[ok], ids[ok], ok
+
+
 @arrow("struct<score:double,scores:array<struct<n:int,weight:double,left_count:int,right_count:int,dice:double>>,warning:string>")
 def _dice(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-    from collections import Counter
+    import numpy as np
 
-    def one(a, b):
+    pairs = list(zip(left, right))
+    limit = NOVELTY["max_comparison_text_length"]
+    out: list = [(None, None, None)] * len(pairs)
+    ready = []
+    for k, (a, b) in enumerate(pairs):
         if a is None or b is None:
-            return None, None, None
-        if max(len(a), len(b)) > NOVELTY["max_comparison_text_length"]:
-            return None, [], "comparison_text_too_long"
-        if not a or not b:
-            return float(a == b), [], None
-        out, top, total = [], 0.0, 0.0
-        for n, w in zip(NOVELTY["ngram_sizes"], NOVELTY["ngram_weights"]):
-            x, y = max(0, len(a) - n + 1), max(0, len(b) - n + 1)
-            if x or y:
-                both = (Counter(zip(*(a[i:] for i in range(n)))) & Counter(zip(*(b[i:] for i in range(n))))).total() if x and y else 0
-                d = 2.0 * both / (x + y)
-                out.append({"n": n, "weight": w, "left_count": x, "right_count": y, "dice": d})
-                top, total = top + w * d, total + w
-        return (min(1.0, max(0.0, top / total)) if out else float(a == b)), out, None
-
-    return pd.DataFrame([one(a, b) for a, b in zip(left, right)], columns=["score", "scores", "warning"])
+            continue
+        if max(len(a), len(b)) > limit:
+            out[k] = (None, [], "comparison_text_too_long")
+        elif not a or not b:
+            out[k] = (float(a == b), [], None)
+        else:
+            ready.append(k)
+    weight = dict(zip(NOVELTY["ngram_sizes"], NOVELTY["ngram_weights"]))
+    for lo, hi in _groups([len(pairs[k][0]) + len(pairs[k][1]) for k in ready]):
+        mine = ready[lo:hi]
+        n = len(mine)
+        both = {}
+        for size, owner, ids, _ in _gram_ids([pairs[k][0] for k in mine] + [pairs[k][1] for k in mine], max(weight)):
+            if size in weight:
+                key = owner % n << 32 | ids
+                (x, m), (y, q) = (np.unique(key[side], return_counts=True) for side in (owner < n, owner >= n))
+                shared, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                both[size] = np.bincount(shared >> 32, np.minimum(m[i], q[j]), n)
+        for at, k in enumerate(mine):
+            a, b = pairs[k]
+            rows, top, total = [], 0.0, 0.0
+            for size, w in weight.items():
+                x, y = max(0, len(a) - size + 1), max(0, len(b) - size + 1)
+                if x or y:
+                    d = 2.0 * int(both[size][at]) / (x + y)
+                    rows.append({"n": size, "weight": w, "left_count": x, "right_count": y, "dice": d})
+                    top, total = top + w * d, total + w
+            out[k] = (min(1.0, max(0.0, top / total)) if rows else float(a == b), rows, None)
+    return pd.DataFrame(out, columns=["score", "scores", "warning"])
 
 
 def dice(left: Column, right: Column) -> Column:
@@ -159,26 +213,38 @@ def dice(left: Column, right: Column) -> Column:
 @arrow("string")
 def _simhash(s: pd.Series) -> pd.Series:
     import hashlib
-    from collections import Counter
 
     import numpy as np
 
     prefix = hashlib.sha256(SIMHASH_PREFIX.encode() + b"\0")
 
-    def one(t):
-        if not t or len(t) > NOVELTY["max_comparison_text_length"]:
-            return None
-        counts = Counter([t] if len(t) < 3 else (t[i : i + 3] for i in range(len(t) - 2)))
+    def bits(grams) -> np.ndarray:
         raw = bytearray()
-        for g in counts:
+        for g in grams:
             h = prefix.copy()
-            h.update(g.encode())
+            h.update(g.encode("utf-8", "surrogatepass"))
             raw += h.digest()[:8]
-        bits = np.unpackbits(np.frombuffer(bytes(raw), np.uint8)).reshape(-1, 64).astype(np.int64)
-        votes = (2 * bits - 1).T @ np.fromiter(counts.values(), np.int64, len(counts))
-        return np.packbits(votes > 0).tobytes().hex()
-
-    return s.map(one)
+        return 2 * np.unpackbits(np.frombuffer(bytes(raw), np.uint8)).reshape(-1, 64).astype(np.int32) - 1
+
+    out: list = [None] * len(s)
+    ready = []
+    for k, t in enumerate(s):
+        if t and len(t) <= NOVELTY["max_comparison_text_length"]:
+            if len(t) < 3:
+                out[k] = np.packbits(bits([t])[0] > 0).tobytes().hex()
+            else:
+                ready.append((k, t))
+    for lo, hi in _groups([len(t) for _, t in ready]):
+        texts = [t for _, t in ready[lo:hi]]
+        whole = "".join(texts)
+        *_, (_, owner, ids, place) = _gram_ids(texts, 3)
+        kinds, first, ids = np.unique(ids, return_index=True, return_inverse=True)
+        signs = bits([whole[p : p + 3] for p in place[first]])  # each different gram is hashed once
+        pair, count = np.unique(owner << 32 | ids, return_counts=True)
+        votes = np.add.reduceat(signs[pair & 0xFFFFFFFF] * count[:, None], np.searchsorted(pair >> 32, np.arange(len(texts))))
+        for (k, _), v in zip(ready[lo:hi], np.packbits(votes > 0, axis=1)):
+            out[k] = v.tobytes().hex()
+    return pd.Series(out, dtype=object)
 
 
 def simhash(col: Column) -> Column:
@@ -219,3 +285,13 @@ def has_content(comparison: Column) -> Column:
 def key(prefix: str, *parts) -> Column:
     """Identifiers such as match:2:0."""
     return F.concat_ws(":", F.lit(prefix), *[(p if isinstance(p, Column) else F.lit(p)).cast(T.StringType()) for p in parts])
+
+
+def document_segment_id(order: Column) -> Column:
+    """document:segment:n; null for negative orders."""
+    return F.when(order >= 0, key("document:segment", order))
+
+
+def match_id(screen_index: Column, order: Column) -> Column:
+    """match:i:n; null where the index is under 1 or the order negative."""
+    return F.when((screen_index >= 1) & (order >= 0), key("match", screen_index, order))

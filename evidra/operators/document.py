@@ -13,6 +13,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidra import config
 
@@ -112,6 +113,20 @@ def exact_overlap(doc: list[str], cur: list[str], c: dict):
     return 0, None, bad
 
 
+def exact_overlaps(rows: DataFrame, before: str, after: str, c: dict = config.DOCUMENT) -> DataFrame:
+    """rows with overlap_lines, overlap_basis, inadmissible_lines: how the comparison texts of `before` (array) end like those of `after` begin."""
+    schema = T.StructType([*rows.schema.fields, T.StructField("overlap_lines", T.IntegerType()), T.StructField("overlap_basis", T.StringType()), T.StructField("inadmissible_lines", T.IntegerType())])
+    i, j = rows.columns.index(before), rows.columns.index(after)
+
+    def run(batches):
+        for b in batches:
+            got = [exact_overlap(x or [], y or [], c) for x, y in zip(b.column(i).to_pylist(), b.column(j).to_pylist())]
+            k, basis, bad = zip(*got) if got else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k, pa.int32()), pa.array(basis, pa.string()), pa.array(bad, pa.int32())], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 class Fold:
     """The document of one candidate as its screens come."""
 

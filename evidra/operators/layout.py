@@ -11,6 +11,7 @@ import json
 import math
 import unicodedata
 from bisect import insort
+from functools import lru_cache
 from statistics import median
 
 import pyarrow as pa
@@ -65,6 +66,7 @@ def _number(v) -> float:
     return float(v)
 
 
+@lru_cache(maxsize=1 << 16)
 def rect(bbox: str | None) -> Rect:
     """The bounds of a bounding-box text; ValueError says what is wrong."""
     if bbox is None:
@@ -96,12 +98,12 @@ def rect(bbox: str | None) -> Rect:
 
 
 def box_text(t: str) -> str:
-    return " ".join(unicodedata.normalize("NFC", t).split())
+    return " ".join((t if t.isascii() else unicodedata.normalize("NFC", t)).split())
 
 
 def plain(t: str) -> str:
     """Comparison text."""
-    return "".join(unicodedata.normalize("NFKC", t).lower().split())
+    return "".join((t if t.isascii() else unicodedata.normalize("NFKC", t)).lower().split())
 
 
 def source_key(b: dict):
@@ -369,7 +371,7 @@ def normalise(boxes: list[dict], engine_text: str | None, c: dict) -> dict:
         bad = []
         for b in mine:
             try:
-                b["rect"] = rect(b["bbox"])
+                b["rect"] = rect(b["bbox"])  # kept from above
             except ValueError as e:
                 bad.append((b["box_id"], str(e)))
         if bad:
@@ -418,6 +420,24 @@ def gather(boxes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     return boxes.groupBy(*keys).agg(F.collect_list(F.struct(*cols)).alias("boxes"))
 
 
+def _values(col) -> list:
+    """to_pylist, field by field for arrays of structs."""
+    if not (pa.types.is_list(col.type) and pa.types.is_struct(col.type.value_type)):
+        return col.to_pylist()
+    names = [f.name for f in col.type.value_type]
+    flat, ends = col.flatten(), col.offsets.to_pylist()
+    items = [dict(zip(names, v)) for v in zip(*(flat.field(k).to_pylist() for k in range(len(names))))]
+    base = ends[0] if ends else 0
+    valid = col.is_valid().to_pylist()
+    out, at = [], 0
+    for k, ok in enumerate(valid):
+        n = ends[k + 1] - ends[k] if ok else 0
+        out.append(items[at : at + n] if ok else None)
+        at += n
+    assert at == len(items) and base >= 0
+    return out
+
+
 def _per_row(df: DataFrame, inputs: list[str], schema: str, make) -> DataFrame:
     """df with columns of `schema`, made row by row in Arrow batches."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -430,7 +450,7 @@ def _per_row(df: DataFrame, inputs: list[str], schema: str, make) -> DataFrame:
         arrow = to_arrow_schema(added)
         at = [df_names.index(c) for c in inputs]
         for b in batches:
-            rows = [make(*r) for r in zip(*(b.column(k).to_pylist() for k in at))] if b.num_rows else []
+            rows = [make(*r) for r in zip(*(_values(b.column(k)) for k in at))] if b.num_rows else []
             cols = [pa.array([r[f.name] for r in rows], f.type) for f in arrow]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols], names=[*df_names, *(f.name for f in arrow)])
 
@@ -446,9 +466,37 @@ def normalise_screens(screens: DataFrame, c: dict = config.LAYOUT, engine_text:
     return _per_row(src, ["boxes", "_engine"], RESULT, lambda boxes, engine: normalise(boxes, engine, c)).drop("_engine")
 
 
+FINGERPRINT = "exact_hash string, fingerprint_version string, raw_text_length int, normalized_text_length int"
+
+
 def fingerprint_screens(screens: DataFrame, threshold: float = 0.85) -> DataFrame:
     """screens with exact_hash, fingerprint_version, raw_text_length, normalized_text_length."""
-    return _per_row(screens, ["boxes"], "exact_hash string, fingerprint_version string, raw_text_length int, normalized_text_length int", lambda b: fingerprint(b, threshold))
+    return _per_row(screens, ["boxes"], FINGERPRINT, lambda b: fingerprint(b, threshold))
+
+
+def read_screens(screens: DataFrame, c: dict = config.LAYOUT, threshold: float = 0.85) -> DataFrame:
+    """screens (boxes array, ...) with the columns of RESULT and FINGERPRINT, in one pass over the boxes."""
+    return _per_row(screens, ["boxes"], f"{RESULT}, {FINGERPRINT}", lambda b: normalise(b, None, c) | fingerprint(b, threshold))
+
+
+def failed_views(screens: DataFrame, error_type: str) -> DataFrame:
+    """screens as views whose text could not be built again: the columns of RESULT as a failure of `error_type`, rule comparison columns null."""
+
+    def make(boxes):
+        return normalise([], None, config.LAYOUT) | {"raw_text": "\n".join(b["raw_text"] or "" for b in sorted(boxes or [], key=source_key)), "normalization_status": "failed", "normalization_error_type": error_type, "normalized_text": None, "comparison_text": None}
+
+    names = [x.split()[0] for x in ("normalization_status", "normalization_error_type", "raw_text", "raw_text_source", "normalized_text", "comparison_text", "lines", "ordered_box_ids", "excluded_empty_box_ids", "suppressed_duplicate_box_ids", "duplicate_groups", "deduplicated_box_count", "duplicate_gray_pair_count", "duplicate_risk", "eligible_box_count", "low_confidence_box_count", "empty_normalized_box_count", "warnings")]
+    s = _per_row(screens.drop(*names), ["boxes"], RESULT, make)
+    for c in ("legacy_match", "r04_match", "comparison_outcome", "legacy_rule_index", "r04_rule_index"):
+        if c in s.columns:
+            s = s.withColumn(c, F.lit(None).cast(s.schema[c].dataType))
+    return s
+
+
+def unknown_boxes(screens: DataFrame) -> DataFrame:
+    """screens with unknown_box_ids: ids that the layout names and the screen's boxes do not have; a stored result with any is rejected."""
+    named = F.array_distinct(F.concat("ordered_box_ids", "suppressed_duplicate_box_ids", "excluded_empty_box_ids"))
+    return screens.withColumn("unknown_box_ids", F.array_except(named, F.coalesce(F.transform("boxes", lambda b: b.box_id), F.array().cast("array<string>"))))
 
 
 def searchable_text(screens: DataFrame, min_confidence: float = 0.0) -> DataFrame:

@@ -30,16 +30,31 @@ def resolve_references(screens: DataFrame) -> DataFrame:
 
     A formal screen n refers to the formal screen n - 1 of its candidate (one equi-join on candidate and
     index); the first has none; no such screen is missing, several are a conflict. Other screens refer to
-    `explicit_reference_id`, if the column is there, by the relations that are allowed.
+    `explicit_reference_id`, if the column is there, by the relations that are allowed; an id that only another
+    candidate or run has is a mismatch. A screen that comes after a repeated id in its candidate has a conflict.
     """
     s = screens
-    for c, kind in (("explicit_reference_id", "string"), ("capture_type", "string"), ("attempt_index", "int"), ("source_schema_version", "string")):
+    for c, kind in (("capture_type", "string"), ("attempt_index", "int"), ("source_schema_version", "string")):
         if c not in s.columns:
             s = s.withColumn(c, F.lit(None).cast(kind))
+    explicit = "explicit_reference_id" in screens.columns
+    if not explicit:
+        s = s.withColumn("explicit_reference_id", F.lit(None).cast("string"))
+    place = F.struct(F.coalesce("screen_index", F.lit(0)), F.coalesce("attempt_index", F.lit(0)))
+    again = F.row_number().over(Window.partitionBy(*KEY, "screen_id").orderBy(place)) == 2
+    s = s.withColumn("_again", F.when(again, place)).withColumn("_twice", F.coalesce(F.min("_again").over(Window.partitionBy(*KEY)) < place, F.lit(False))).drop("_again")
     formal = s.where("is_formal").groupBy(*KEY, F.col("screen_index").alias("_t")).agg(F.count("*").alias("_n"), F.min("screen_id").alias("_id"))
-    by_id = s.select(*KEY, F.col("screen_id").alias("_e"), F.col("is_formal").alias("_f"), F.col("screen_index").alias("_i"), F.col("capture_type").alias("_c"), F.col("attempt_index").alias("_a")).dropDuplicates([*KEY, "_e"])
     j = s.withColumn("_t", F.when(F.col("is_formal"), F.col("screen_index") - 1)).join(formal, [*KEY, "_t"], "left")
-    j = j.withColumn("_e", F.when(~F.col("is_formal"), F.col("explicit_reference_id"))).join(by_id, [*KEY, "_e"], "left")
+    j = j.withColumn("_e", F.when(~F.col("is_formal"), F.col("explicit_reference_id")))
+    if explicit:
+        fields = F.struct(F.col("is_formal").alias("f"), F.col("screen_index").alias("i"), F.col("capture_type").alias("c"), F.col("attempt_index").alias("a"))
+        by_id = s.groupBy(*KEY, F.col("screen_id").alias("_e")).agg(F.min(fields).alias("_x"))
+        others = s.groupBy(F.col("screen_id").alias("_e")).agg(F.collect_set("run_id").alias("_runs"))
+        j = j.join(by_id, [*KEY, "_e"], "left").join(others, "_e", "left")
+        j = j.select(*s.columns, "_t", "_n", "_id", "_e", F.col("_x.f").alias("_f"), F.col("_x.i").alias("_i"), F.col("_x.c").alias("_c"), F.col("_x.a").alias("_a"), "_runs")
+    else:
+        none = {"_f": "boolean", "_i": "int", "_c": "string", "_a": "int", "_runs": "array<string>"}
+        j = j.select("*", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
     current = F.coalesce(F.col("source_schema_version").isin(*CURRENT_SCHEMAS), F.lit(True))
     related = ((F.col("capture_type") == "scroll_confirmation") & F.col("_f") & (F.col("_i") == F.col("screen_index"))) | (
         (F.col("capture_type") == "load_retry") & F.col("_c").isin("load_check", "load_retry") & (F.col("_a") < F.col("attempt_index"))
@@ -60,11 +75,20 @@ def resolve_references(screens: DataFrame) -> DataFrame:
     )
     other = (
         F.when(~current & F.col("explicit_reference_id").isNull(), out("unavailable", src="explicit_record", warning="legacy_reference_unavailable"))
+        .when(F.col("_f").isNull() & F.col("_runs").isNotNull() & ~F.array_contains("_runs", F.col("run_id")), out("unavailable", src="explicit_record", warning="reference_run_mismatch"))
+        .when(F.col("_f").isNull() & F.col("_runs").isNotNull(), out("unavailable", src="explicit_record", warning="reference_candidate_mismatch"))
         .when(F.col("_c").isNull() & F.col("_f").isNull(), out("unavailable", src="explicit_record", warning="reference_missing"))
         .when(F.coalesce(related, F.lit(False)), out("resolved", F.col("_e"), F.col("_i"), "explicit_record"))
         .otherwise(out("unavailable", src="explicit_record", warning="reference_capture_invalid"))
     )
-    return j.withColumn("reference", F.when(F.col("is_formal"), formal_case).otherwise(other)).select(*screens.columns, "reference")
+    twice = out("unavailable", src="formal_previous_index", warning="duplicate_screen_id_conflict")
+    return j.withColumn("reference", F.when(F.col("_twice"), twice).when(F.col("is_formal"), formal_case).otherwise(other)).select(*screens.columns, "reference")
+
+
+def _one(rows: DataFrame, key: list[str]) -> DataFrame:
+    """One row of each key, the least, so that reruns agree."""
+    rest = [c for c in rows.columns if c not in key]
+    return rows.groupBy(*key).agg(F.min(F.struct(*rest)).alias("_row")).select(*key, "_row.*")
 
 
 def signals(screens: DataFrame) -> DataFrame:
@@ -73,7 +97,7 @@ def signals(screens: DataFrame) -> DataFrame:
     if ref is None:
         screens = screens.withColumn("similarity_hash", text.simhash(F.when(F.col("normalization_status") == "completed", F.col("comparison_text"))))
         ref = screens.select(*KEY, F.col("screen_id").alias("_r"), F.col("comparison_text").alias("ref_text"), F.col("exact_hash").alias("_h"), F.col("fingerprint_version").alias("_v"), F.col("normalization_status").alias("_s"), F.col("similarity_hash").alias("_sim"))
-    j = screens.withColumn("_r", F.when(F.col("reference.status") == "resolved", F.col("reference.screen_id"))).join(ref.dropDuplicates([*KEY, "_r"]), [*KEY, "_r"], "left")
+    j = screens.withColumn("_r", F.when(F.col("reference.status") == "resolved", F.col("reference.screen_id"))).join(_one(ref, [*KEY, "_r"]), [*KEY, "_r"], "left")
     there = F.col("_r").isNotNull()
     hashes = F.coalesce(F.col("exact_hash").rlike("^[0-9a-f]{64}$") & F.col("_h").rlike("^[0-9a-f]{64}$"), F.lit(False))
     versions = F.coalesce((F.col("fingerprint_version") == "r03-v1") & (F.col("_v") == "r03-v1"), F.lit(False))
@@ -146,18 +170,19 @@ def line_decisions(screens: DataFrame, c: dict = config.NOVELTY) -> DataFrame:
     Repeated furniture is found over the candidate's formal screens so far: a text on three or more of them
     whose boxes stay where they are and keep their size. The windows run over one text of one candidate.
     """
-    s = screens if "boxes" in screens.columns else screens.withColumn("boxes", F.lit(None).cast("array<struct<box_id:string,raw_text:string,confidence:double,bbox:string,original_index:int>>"))
+    if "boxes" not in screens.columns:
+        return _decided(_lines_of(screens), c)
+    s = screens
     if "duplicate_groups" not in s.columns:
         s = s.withColumn("duplicate_groups", F.lit(None).cast("array<struct<retained_box_id:string,suppressed_duplicate_box_ids:array<string>,pair_evidence:array<struct<decision:string>>>>"))
-    rows = s.select(*KEY, "screen_id", "screen_index", "is_formal", "boxes", "duplicate_groups", "new", "uncertain", F.size("new").alias("_news"), F.posexplode("segments").alias("line", "seg"))
-    rows = rows.select("*", F.col("seg.comparison_text").alias("_c"), F.col("seg.normalized_text").alias("_t"), F.col("seg.box_ids").alias("_ids"))
+    rows = _lines_of(s, "screen_index", "is_formal", "boxes", "duplicate_groups", F.size("new").alias("_news"))
     first = F.filter("boxes", lambda b: b.box_id == F.element_at("_ids", 1))
     known = F.coalesce(F.size("_ids") > 0, F.lit(False)) & F.coalesce(F.forall("_ids", lambda i: F.exists("boxes", lambda b: b.box_id == i)), F.lit(False))
     rows = rows.withColumn("_box", F.when(known, F.element_at(first, 1)))
     rows = rows.withColumn("_g", geometry.bounds(F.col("_box.bbox")))
-    rows = rows.withColumn("_protected", text.is_protected(F.col("_c"), F.col("_t")))
-    # one box per screen and text, the last line's
-    per = rows.where("is_formal and _box is not null").groupBy(*KEY, "_c", "screen_index").agg(F.max_by("_g", "line").alias("_g"))
+    # the first formal screens of a candidate make the context, one box per screen and text, the last line's
+    first_ones = F.col("is_formal") & (F.dense_rank().over(Window.partitionBy(*KEY).orderBy(F.when(F.col("is_formal"), F.col("screen_index")).asc_nulls_last())) <= c["max_formal_screens"])
+    per = rows.withColumn("_in", first_ones).where("_in and _box is not null").groupBy(*KEY, "_c", "screen_index").agg(F.max_by("_g", "line").alias("_g"))
     w = Window.partitionBy(*KEY, "_c").orderBy("screen_index").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     per = per.withColumn("_all", F.collect_list("_g").over(w))
     count = F.size("_all")
@@ -181,6 +206,21 @@ def line_decisions(screens: DataFrame, c: dict = config.NOVELTY) -> DataFrame:
     )
     # the layout layer never marks pairs "duplicate", so this stays false for its output
     artifact = has_box & F.coalesce(F.exists("duplicate_groups", lambda g: (F.size(g.pair_evidence) > 0) & F.forall(g.pair_evidence, lambda p: p.decision == "duplicate") & F.arrays_overlap(F.array_append(g.suppressed_duplicate_box_ids, g.retained_box_id), F.col("_ids"))), F.lit(False))
+    return _decided(j.withColumn("_noise_", noise).withColumn("_open", unproved).withColumn("_low", low).withColumn("_artifact", artifact), c)
+
+
+def _lines_of(screens: DataFrame, *more) -> DataFrame:
+    """A row for every line of screens: texts (_c, _t), box ids, protection."""
+    rows = screens.select(*KEY, "screen_id", "new", "uncertain", *more, F.posexplode("segments").alias("line", "seg"))
+    rows = rows.select("*", F.col("seg.comparison_text").alias("_c"), F.col("seg.normalized_text").alias("_t"), F.col("seg.box_ids").alias("_ids")).drop("seg")
+    return rows.withColumn("_protected", text.is_protected(F.col("_c"), F.col("_t")))
+
+
+def _decided(rows: DataFrame, c: dict) -> DataFrame:
+    """Decisions and reasons of lines; without evidence of boxes no line is noise, and only protected ones are proved."""
+    there = "_open" in rows.columns
+    noise, low, artifact = (F.col(x) if there else F.lit(False) for x in ("_noise_", "_low", "_artifact"))
+    unproved = F.col("_open") if there else ~F.col("_protected")
     fresh = F.array_contains("new", F.col("line"))
     reason = (
         F.when(F.array_contains("uncertain", F.col("line")), "source_uncertain")
@@ -188,9 +228,9 @@ def line_decisions(screens: DataFrame, c: dict = config.NOVELTY) -> DataFrame:
         .when(noise, "likely_repeated_ui_noise").when(F.col("_protected"), "short_text_protected").when(unproved, "evidence_insufficient")
         .when(text.has_content(F.col("_c")), "effective_content").otherwise("evidence_insufficient")
     )
-    j = j.where(fresh | F.array_contains("uncertain", F.col("line"))).withColumn("reason", reason)
+    rows = rows.where(fresh | F.array_contains("uncertain", F.col("line"))).withColumn("reason", reason)
     decision = F.when(F.col("reason").isin("short_text_protected", "effective_content"), "effective").when(F.col("reason").isin("source_uncertain", "evidence_insufficient"), "uncertain").otherwise("ineffective")
-    return j.select(*KEY, "screen_id", "line", F.when(fresh, "new").otherwise("uncertain").alias("kind"), decision.alias("decision"), "reason", F.length("_c").alias("chars"), (fresh & (F.col("reason") == "evidence_insufficient") & unproved).alias("ui_insufficient"))
+    return rows.select(*KEY, "screen_id", "line", F.when(fresh, "new").otherwise("uncertain").alias("kind"), decision.alias("decision"), "reason", F.length("_c").alias("chars"), (fresh & (F.col("reason") == "evidence_insufficient") & unproved).alias("ui_insufficient"))
 
 
 def effective_new(screens: DataFrame, decisions: DataFrame) -> DataFrame:
@@ -232,7 +272,12 @@ def classify(screens: DataFrame, c: dict = config.NOVELTY) -> DataFrame:
         .when(F.col("similarity_score") >= c["high_similarity_threshold"], more(F.lit("high_similarity_with_effective_new"), F.lit("high_similarity_without_effective_new")))
         .otherwise(more(F.lit("changed_with_effective_new"), F.lit("changed_without_effective_new")))
     )
+    # a screen without the lists that the layer reads fails by itself, with a code and no content
+    failed = F.col("segments").isNull() | F.col("new").isNull() | F.col("uncertain").isNull() | F.col("matched").isNull() | (F.col("screen_index") < 0)
+    failed = F.coalesce(failed & F.col("aggregation_status").isin("completed", "partial"), F.lit(False))
     codes = F.concat(F.array_compact(F.array("reference.warning")), "signal_warnings", acc.warnings, F.col("effective.warnings"), _codes((conflict, "cross_layer_similarity_conflict")))
+    codes = F.when(failed, F.concat(F.array_compact(F.array("reference.warning")), F.array(F.lit("evaluation_failed")))).otherwise(codes)
+    status, klass = F.when(failed, "failed").otherwise(status), F.when(failed, "empty_or_unavailable").otherwise(klass)
     return screens.withColumn("similarity_status", status).withColumn("comparison_class", klass).withColumn("warning_codes", ordered_warnings(codes))
 
 
@@ -240,3 +285,20 @@ def evaluate(screens: DataFrame) -> DataFrame:
     """The whole layer over screens with their document result (see operators.document): one row per screen."""
     s = accounting(signals(resolve_references(screens)))
     return classify(effective_new(s, line_decisions(s)))
+
+
+def with_identity(screens: DataFrame) -> DataFrame:
+    """screens with similarity_identity: struct<version, config_version, config_digest> of the layer, which every stored result carries."""
+    snapshot = config.novelty_snapshot()
+    return screens.withColumn("similarity_identity", F.struct(F.lit(snapshot["similarity_version"]).alias("version"), F.lit(snapshot["similarity_config_version"]).alias("config_version"), F.lit(config.digest(snapshot)).alias("config_digest")))
+
+
+def failed_similarity(screens: DataFrame) -> DataFrame:
+    """screens (is_formal) as typed failures of the layer: reference unavailable, class unavailable, the one code evaluation_failed, no scores."""
+    source = F.when(F.coalesce("is_formal", F.lit(False)), "formal_previous_index").otherwise("explicit_record")
+    none = F.lit(None).cast("string")
+    reference = F.struct(F.lit("unavailable").alias("status"), none.alias("screen_id"), F.lit(None).cast("int").alias("screen_index"), source.alias("source"), F.lit("evaluation_failed").alias("warning"))
+    s = screens.withColumn("reference", reference).withColumn("similarity_status", F.lit("failed")).withColumn("comparison_class", F.lit("empty_or_unavailable")).withColumn("warning_codes", F.array(F.lit("evaluation_failed")))
+    for c, t in (("similarity_score", "double"), ("similarity_hash", "string"), ("overlap_ratio", "double"), ("new_text_ratio", "double"), ("has_effective_new_text", "boolean")):
+        s = s.withColumn(c, F.lit(None).cast(t))
+    return with_identity(s)

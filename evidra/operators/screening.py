@@ -146,6 +146,18 @@ def shadow_comparison(legacy_text: Column, layout_text: Column, layout_status: C
     return F.struct(out.alias("outcome"), a.alias("legacy_rule_index"), b.alias("layout_rule_index"))
 
 
+OUTCOMES = ("same_match", "same_no_match", "legacy_only", "r04_only", "normalization_failed")
+
+
+def comparison_columns(df: DataFrame, comparison: str) -> DataFrame:
+    """df with the struct `comparison` (see shadow_comparison) laid out in the columns that screens store, and violations."""
+    out, a, b = (F.col(f"{comparison}.{x}") for x in ("outcome", "legacy_rule_index", "layout_rule_index"))
+    s = df.select("*", F.lit("legacy_shadow").alias("rule_evaluation_mode"), a.isNotNull().alias("legacy_match"), F.when(out != "normalization_failed", b.isNotNull()).alias("r04_match"), out.alias("comparison_outcome"), a.alias("legacy_rule_index"), b.alias("r04_rule_index"))
+    bad = lambda name, cond: F.when(F.coalesce(cond, F.lit(False)), F.lit(name))
+    known = F.coalesce(F.col("comparison_outcome").isin(*OUTCOMES), F.lit(False))
+    return s.withColumn("violations", F.array_compact(F.array(bad("unknown_outcome", ~known), bad("negative_index", (F.col("legacy_rule_index") < 0) | (F.col("r04_rule_index") < 0)))))
+
+
 # --- profiles: versions 1..n of an array of criteria (criterion_id, criterion_text, rule) ---------------------
 
 
@@ -228,6 +240,21 @@ def not_yet_recorded(candidates: DataFrame, rows: DataFrame) -> DataFrame:
     return candidates.join(rows.select("candidate_record_id"), "candidate_record_id", "left_anti")
 
 
+def draft_violations(drafts: DataFrame) -> DataFrame:
+    """drafts (criteria) with violations: criteria are there, ids are C and three digits or more and unique, texts not blank and unique."""
+    ids, texts = F.col("criteria.criterion_id"), F.transform("criteria", lambda c: F.trim(c.criterion_text))
+    bad = lambda name, ok: F.when(~F.coalesce(ok, F.lit(False)), F.lit(name))
+    return drafts.withColumn("violations", F.array_compact(F.array(
+        bad("empty", F.size("criteria") > 0), bad("id_grammar", F.forall(ids, lambda i: i.rlike("^C[0-9]{3,}$"))), bad("duplicate_id", F.size(ids) == F.size(F.array_distinct(ids))),
+        bad("blank_text", F.forall(texts, lambda t: t != "")), bad("duplicate_text", F.size(texts) == F.size(F.array_distinct(texts))),
+    )))
+
+
+def usable_tokens(count: Column) -> Column:
+    """A token count that is a whole number of 0 or more, else null."""
+    return F.when(count >= 0, count.cast("long"))
+
+
 def model_ids(ids: Column) -> Column:
     """Names that are not blank, each once, in order."""
     return F.array_distinct(F.filter(ids, lambda i: F.coalesce(F.trim(i), F.lit("")) != ""))

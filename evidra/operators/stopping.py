@@ -180,6 +180,124 @@ def matches_any(hash_: Column, version: Column, previous: Column) -> Column:
     return F.when(F.size(previous) <= 0, F.lit(None)).when(F.exists(each, lambda x: F.coalesce(x, F.lit(False))), True).when(F.exists(each, lambda x: x.isNull()), F.lit(None)).otherwise(False)
 
 
+def differs_from_all(hash_: Column, version: Column, previous: Column) -> Column:
+    """Whether a fingerprint is provably none of `previous`: null where matches_any is."""
+    return ~matches_any(hash_, version, previous)
+
+
+def benign_warning(code: Column) -> Column:
+    """Whether a code is one that an exact duplicate brings with it."""
+    return code.isin(*BENIGN_CODES)
+
+
+#: Codes that come with exact duplicates.
+BENIGN_CODES = ("r05_partial", "cross_layer_similarity_conflict", "exact_hash_unavailable", "screen_aggregation_partial", "ui_evidence_insufficient")
+
+
+def bind_screen_index(observations: DataFrame, index: str) -> DataFrame:
+    """observations (fingerprint struct or null, index) with the index in the fingerprint; an index under 1 fails the query."""
+    i = F.when(F.col(index) >= 1, F.col(index)).otherwise(F.raise_error(F.lit("screen_index must be 1 or more")).cast("int"))
+    return observations.withColumn("fingerprint", F.when(F.col("fingerprint").isNotNull(), F.col("fingerprint").withField("screen_index", i.cast("int"))))
+
+
+def attach_positions(screens: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """screens with the columns of verdicts (KEY, screen_id, ...); a screen that has been given a position keeps it."""
+    names = [c for c in verdicts.columns if c not in (*KEY, "screen_id")]
+    v = verdicts.select(*KEY, "screen_id", *(F.col(c).alias(f"_v_{c}") for c in names))
+    j = screens.join(v, [*KEY, "screen_id"], "left")
+    return j.select(*(c for c in screens.columns if c not in names), *((F.coalesce(F.col(c), F.col(f"_v_{c}")) if c in screens.columns else F.col(f"_v_{c}")).alias(c) for c in names))
+
+
+SCAN_FACTS = (
+    "dynamic_end_mode", "dynamic_end_reason", "abort_reason", "scan_slot_count", "normal_scroll_count", "unique_position_count", "ocr_attempt_count", "scroll_retry_count", "focus_restore_count",
+    "first_predicted_end_screen", "first_predicted_end_reason", "prediction_would_miss_content", "prediction_would_miss_rule_match", "prediction_observation_complete", "prediction_evidence_complete",
+)
+
+
+def attach_scan(candidates: DataFrame, scans: DataFrame, version: str = "r07-v1") -> DataFrame:
+    """candidates (KEY, versions map, ...) with the facts of their scan (KEY, columns of SCAN_FACTS); versions gains dynamic_end where there was a scan."""
+    facts = [c for c in SCAN_FACTS if c in scans.columns]
+    j = candidates.drop(*facts).join(scans.select(*KEY, *facts), list(KEY), "left")
+    there = F.col("dynamic_end_mode").isNotNull()
+    return j.withColumn("versions", F.when(there, F.map_concat(F.map_filter("versions", lambda k, v: k != "dynamic_end"), F.create_map(F.lit("dynamic_end"), F.lit(version)))).otherwise(F.col("versions")))
+
+
+def complete_evidence(df: DataFrame) -> Column:
+    """Whether document and novelty layer are complete and say that there is, or is not, new text."""
+    return F.coalesce((_get(df, "aggregation_status", "string") == "completed") & (_get(df, "similarity_status", "string") == "completed") & _get(df, "effective_new_status", "string").isin("none", "present"), F.lit(False))
+
+
+def predictions(screens: DataFrame, limit: int = NO_NEW_LIMIT) -> DataFrame:
+    """(KEY, first_predicted_end_screen, first_predicted_end_reason) of a scan in shadow mode: the earliest screen at which it would have stopped; later ones change nothing.
+
+    A certain "same" is a possible bottom; `limit` healthy changed screens in a row, complete and without new
+    text, are candidates for no new text. Doubtful positions and same ones end such a row.
+    """
+    w = Window.partitionBy(*KEY).orderBy("screen_index")
+    healthy = F.coalesce(_get(screens, "load_health", "boolean") & _get(screens, "ocr_health", "boolean") & _get(screens, "identity_health", "boolean") & F.coalesce(_get(screens, "saved", "boolean"), F.lit(True)), F.lit(False))
+    quiet = (F.col("position_status") == "changed") & complete_evidence(screens) & ~uncertain_evidence(screens) & ~new_content(screens, strict=False)
+    s = screens.withColumn("_h", healthy).where("_h").withColumn("_q", F.coalesce(quiet, F.lit(False))).withColumn("_n", F.row_number().over(w))
+    s = s.withColumn("_run", F.when(F.col("_q"), F.col("_n") - F.coalesce(F.max(F.when(~F.col("_q"), F.col("_n"))).over(w), F.lit(0))).otherwise(0))
+    sure = ~F.coalesce(_get(screens, "insufficient_evidence", "boolean"), F.lit(True))
+    why = F.when((F.col("position_status") == "same") & sure, "possible_scroll_bottom").when(F.col("_run") >= limit, "no_new_text_candidate")
+    s = s.withColumn("_why", why)
+    x = F.min_by(F.struct("screen_index", "_why"), F.when(F.col("_why").isNotNull(), F.col("_n")))
+    return s.groupBy(*KEY).agg(x.alias("x")).select(*KEY, F.col("x.screen_index").alias("first_predicted_end_screen"), F.col("x._why").alias("first_predicted_end_reason"))
+
+
+def prediction_outcomes(screens: DataFrame, predicted: DataFrame, scans: DataFrame) -> DataFrame:
+    """What a prediction would have missed: one row per candidate of scans (KEY, completed, interrupt_reason, rule_early_stop).
+
+    Evidence are the saved screens after the predicted one. Without a prediction all is null; a lost record, a
+    technical failure or an interruption leave nothing to say; an early stop by a rule means that a match would
+    have been missed; else content is missed if some later screen has new text, not missed if all are complete.
+    """
+    s = screens.join(predicted.select(*KEY, "first_predicted_end_screen"), list(KEY)).where(F.col("screen_index") > F.col("first_predicted_end_screen"))
+    any_ = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    saved = F.coalesce(_get(screens, "saved", "boolean"), F.lit(True))
+    healthy = F.coalesce(_get(screens, "load_health", "boolean") & _get(screens, "ocr_health", "boolean") & _get(screens, "identity_health", "boolean"), F.lit(False))
+    firm = ~F.coalesce(F.col("position_status").isin("unavailable", "uncertain"), F.lit(True))
+    per = s.groupBy(*KEY).agg(any_(~saved | ~healthy).alias("_broken"), any_(firm & new_content(screens)).alias("_new"), F.coalesce(F.bool_and(firm & complete_evidence(screens)), F.lit(True)).alias("_whole"))
+    j = scans.join(predicted.select(*KEY, "first_predicted_end_screen", "first_predicted_end_reason"), list(KEY), "left").join(per, list(KEY), "left")
+    none = F.col("first_predicted_end_screen").isNull()
+    broken = F.coalesce("_broken", F.lit(False)) | F.col("interrupt_reason").isNotNull()
+    rule, done = F.coalesce("rule_early_stop", F.lit(False)), F.coalesce("completed", F.lit(False))
+    whole, new = F.coalesce("_whole", F.lit(True)), F.coalesce("_new", F.lit(False))
+    ended = ~none & ~broken & ~rule & done
+    return j.select(
+        *KEY, "first_predicted_end_screen", "first_predicted_end_reason",
+        F.when(ended, F.when(new, True).when(whole, False)).alias("prediction_would_miss_content"),
+        F.when(~none & ~broken & rule, True).when(ended, False).alias("prediction_would_miss_rule_match"),
+        F.when(~none, ended).alias("prediction_observation_complete"), F.when(~none, ended & whole).alias("prediction_evidence_complete"),
+    )
+
+
+def one_recovery(observations: DataFrame, order: str) -> DataFrame:
+    """observations without position confirmations beyond each candidate's first: a scan looks again once at most."""
+    extra = F.count_if(F.col("capture_type") == "position_confirmation").over(Window.partitionBy(*KEY).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return observations.withColumn("_extra", extra).where((F.col("capture_type") != "position_confirmation") | (F.col("_extra") <= 1)).drop("_extra")
+
+
+def switch_references(screens: DataFrame, before_switch: DataFrame) -> DataFrame:
+    """(KEY, references, reason): what the next page is told apart from, the formal fingerprints in order and the observation before the switch.
+
+    screens (KEY, is_formal, screen_index, exact_hash, fingerprint_version), before_switch (KEY, exact_hash,
+    fingerprint_version, load_ready). Typed reasons instead of references: formal_fingerprint_invalid (an index
+    outside 1..SLOTS or twice), pre_switch_unavailable (no loaded, comparable observation, or several).
+    """
+    ok = comparable(F.col("exact_hash"), F.col("fingerprint_version"))
+    f = screens.where(F.col("is_formal") & ok & F.col("screen_index").isNotNull())
+    formal = f.groupBy(*KEY).agg(
+        F.array_sort(F.collect_list(F.struct("screen_index", F.col("exact_hash").alias("hash"), F.col("fingerprint_version").alias("version")))).alias("_formal"),
+        (F.coalesce(F.bool_and(F.col("screen_index").between(1, SLOTS)), F.lit(True)) & (F.count("*") == F.countDistinct("screen_index"))).alias("_valid"),
+    )
+    good = before_switch.where(ok & F.coalesce("load_ready", F.lit(False))).groupBy(*KEY).agg(F.count("*").alias("_n"), F.min(F.struct(F.lit(None).cast("int").alias("screen_index"), F.col("exact_hash").alias("hash"), F.col("fingerprint_version").alias("version"))).alias("_pre"))
+    j = screens.select(*KEY).distinct().join(formal, list(KEY), "left").join(good, list(KEY), "left")
+    reason = F.when(F.col("_valid") == F.lit(False), "formal_fingerprint_invalid").when(F.coalesce("_n", F.lit(0)) != 1, "pre_switch_unavailable")
+    every = F.concat(F.coalesce("_formal", F.array().cast(j.schema["_formal"].dataType)), F.array("_pre"))
+    return j.select(*KEY, F.when(reason.isNull(), every).alias("references"), reason.alias("reason"))
+
+
 def switch_observations(observations: DataFrame, key: tuple[str, ...], order: str) -> DataFrame:
     """observations (key, order, load_ready, hash, version, previous) with relation and switch_status.
 

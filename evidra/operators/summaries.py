@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra import config
+from evidra.functions import text
 
 KEY = ("run_id", "candidate_record_id")
 STATUSES = ("completed", "failed", "not_attempted")
@@ -39,21 +40,32 @@ CLASSES = ("exact_same", "high_similarity_with_effective_new", "high_similarity_
 def similarity_summary(screens: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
     """Counts per candidate by status, class and effective-new status, and warnings in canonical order; candidates without screens get zeros."""
     eff = F.col("effective.status") if "effective" in screens.columns else F.col("effective_new_status")
-    codes = F.flatten(F.collect_list("warning_codes"))
-    per = screens.groupBy(*KEY).agg(
+    has = lambda w: F.sum(F.size(F.filter("warning_codes", lambda x: x == w)))
+    per = screens.withColumn("warning_codes", F.coalesce("warning_codes", F.array().cast("array<string>"))).groupBy(*KEY).agg(
         F.count("*").alias("screen_count"),
         *(_n(F.col("similarity_status") == s).alias(f"{s}_screen_count") for s in ("not_attempted", "completed", "partial", "failed", "unavailable", "no_reference")),
         *(_n(F.col("comparison_class") == s).alias(f"{s}_class_count") for s in CLASSES),
         *(_n(eff == s).alias(f"effective_{s}_screen_count") for s in ("present", "possible", "none", "unavailable")),
-        codes.alias("_w"),
+        F.sum(F.size("warning_codes")).cast("int").alias("warning_count"), *(has(w).alias(f"_w{k}") for k, w in enumerate(config.WARNINGS)),
     )
-    tally = F.filter(F.transform(F.array(*map(F.lit, config.WARNINGS)), lambda w: F.struct(w.alias("code"), F.size(F.filter("_w", lambda x: x == w)).alias("count"))), lambda t: t["count"] > 0)
-    per = per.withColumn("warning_count", F.size("_w")).withColumn("warning_code_counts", tally).drop("_w")
+    tally = F.filter(F.array(*(F.struct(F.lit(w).alias("code"), F.col(f"_w{k}").cast("int").alias("count")) for k, w in enumerate(config.WARNINGS))), lambda t: t["count"] > 0)
+    per = per.withColumn("warning_code_counts", tally).drop(*(f"_w{k}" for k in range(len(config.WARNINGS))))
     if candidates is not None:
         per = candidates.select(*KEY).distinct().join(per, list(KEY), "left").na.fill(0)
+        per = per.withColumn("warning_code_counts", F.coalesce("warning_code_counts", F.array().cast(per.schema["warning_code_counts"].dataType)))
     return per
 
 
+def summary_or_counts(screens: DataFrame, candidates: DataFrame | None = None) -> DataFrame:
+    """similarity_summary that never fails a candidate: where its breakdowns do not add up, those by class and effectiveness are null and `fallback` is true."""
+    s = summary_violations(similarity_summary(screens, candidates))
+    bad = F.size("violations") > 0
+    for c in s.columns:
+        if c.endswith("_class_count") or c.startswith("effective_"):
+            s = s.withColumn(c, F.when(~bad, F.col(c)))
+    return s.withColumn("fallback", bad).drop("violations")
+
+
 def capture_summary(screens: DataFrame) -> DataFrame:
     """Per candidate: distinct formal screens, attempts, scroll attempts and retries, last index."""
     f = F.coalesce("is_formal", F.lit(False))
@@ -145,6 +157,28 @@ def outcome_violations(c: DataFrame) -> DataFrame:
     ))
 
 
+def line_id_violations(s: DataFrame) -> DataFrame:
+    """screens (screen_id, segments with segment_id, order, screen_index) with violations: ids are screen:line:n, orders contiguous from 0, one index of 1 or more, texts not empty and without white space."""
+    at = lambda f: F.forall(F.zip_with("segments", F.transform("segments", lambda x, i: i), f), lambda ok: F.coalesce(ok, F.lit(False)))
+    return s.withColumn("violations", _violations(
+        ("screen_is_not_empty", F.size("segments") > 0),
+        ("line_ids", at(lambda x, i: x.segment_id == F.concat_ws(":", "screen_id", F.lit("line"), i))),
+        ("order_is_contiguous", at(lambda x, i: x.order == i)),
+        ("one_screen_index", at(lambda x, i: (x.screen_index == F.element_at("segments", 1).screen_index) & (x.screen_index >= 1))),
+        ("texts", at(lambda x, i: (x.normalized_text != "") & (x.comparison_text != "") & ~x.comparison_text.rlike(text.SPACE))),
+    ))
+
+
+def source_box_violations(s: DataFrame) -> DataFrame:
+    """screens (boxes, ordered_box_ids, segments) with violations: every segment's boxes are known, follow the reading order, and belong to one segment."""
+    ids = F.flatten(F.transform("segments", lambda x: x.box_ids))
+    return s.withColumn("violations", _violations(
+        ("boxes_are_known", F.size(F.array_except(ids, F.transform("boxes", lambda b: b.box_id))) == 0),
+        ("boxes_in_order", F.transform(ids, lambda i: F.array_position("ordered_box_ids", i)) == F.array_sort(F.transform(ids, lambda i: F.array_position("ordered_box_ids", i)))),
+        ("boxes_are_unique", F.size(ids) == F.size(F.array_distinct(ids))),
+    ))
+
+
 def id_ok(ids: Column, pattern: str) -> Column:
     """Whether all ids match a grammar and are distinct."""
     return F.forall(ids, lambda i: i.rlike(pattern)) & (F.size(ids) == F.size(F.array_distinct(ids)))

@@ -6,35 +6,47 @@ that Spark reads will do.
 
 from __future__ import annotations
 
+import json
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 STORAGE_VERSIONS = ("1.0.0", "1.1.0", "1.2.0", "1.3.0", "1.4.0")
 DOCUMENT_VERSIONS = ("stage0-v1", "r05-document-v1")
 BOX = "struct<box_id:string,raw_text:string,confidence:double,bbox:string,original_index:int,screen_index:int>"
+SEGMENT = "struct<segment_id:string,order:int,screen_index:int,normalized_text:string,comparison_text:string,box_ids:array<string>>"
 SCREENS = (
     "run_id string, candidate_record_id string, screen_id string, screen_index int, attempt_index int, capture_type string, is_formal_screen boolean, captured_at string, record_type string,"
     f" storage_schema_version string, raw_boxes array<{BOX}>, raw_text string, exact_hash string, fingerprint_version string, normalized_text string, comparison_text string,"
-    " normalization_status string, normalization_config_digest string, aggregation_status string, aggregation_config_digest string, similarity_score double, similarity_hash string, position_status string, legacy_match boolean"
+    " normalization_status string, normalization_config_digest string, aggregation_status string, aggregation_config_digest string, similarity_score double, similarity_hash string, position_status string, legacy_match boolean,"
+    f" segments array<{SEGMENT}>, matched array<int>, new array<int>, uncertain array<int>, warnings array<string>, overlap_char_count int, new_text_char_count int, uncertain_char_count int,"
+    " overlap_segment_count int, new_segment_count int, certain_new_segment_count int, uncertain_segment_count int, duplicate_risk string, similarity_status string, comparison_class string,"
+    " effective_new_status string, warning_codes array<string>, explicit_reference_id string, load_health boolean, ocr_health boolean, identity_health boolean, saved boolean"
 )
+EMBEDDED = "array<struct<" + ",".join(":".join(c.strip().split(" ", 1)) for c in re.split(r",\s(?![^<]*>)", SCREENS)) + ">>"
 CANDIDATES = (
     "run_id string, candidate_record_id string, sequence_number int, created_at string, completed_at string, capture_status string, document_version string, storage_schema_version string, record_type string,"
-    " document_text string, document_build_status string, screens array<struct<screen_id:string,screen_index:int>>, versions map<string,string>, first_predicted_end_screen int, first_predicted_end_reason string"
+    " document_text string, document_build_status string, screens " + EMBEDDED + ", versions map<string,string>, first_predicted_end_screen int, first_predicted_end_reason string"
 )
 ERRORS = "record_type string, storage_schema_version string, run_id string, occurred_at string, operation string, error_type string, context map<string,string>"
 CONTEXT_KEYS = ("candidate_record_id", "screen_id", "screen_index", "operation", "attempt_index")
 
 
 def lines(spark: SparkSession, path: str, schema: str, versions: tuple[str, ...] = STORAGE_VERSIONS, extra: tuple[str, tuple[str, ...]] | None = None) -> DataFrame:
-    """Lines of a JSON-lines file with columns of `schema`, and issue: why a line cannot be used.
+    """Lines of a JSON-lines file with columns of `schema`, path and line number, and issue: why a line cannot be used.
 
     malformed (not JSON, not an object, or of other types), missing_version, invalid_version_type,
-    unsupported_version, in that order; unknown members are ignored. Blank lines are no records.
+    unsupported_version, in that order, with the version's field, what it says and what is supported; unknown
+    members are ignored. Blank lines are no records.
     """
-    raw = spark.read.text(path).withColumn("path", F.col("_metadata.file_path")).where(F.trim("value") != "")
+    raw = spark.read.text(path).withColumn("path", F.col("_metadata.file_path")).withColumn("block", F.col("_metadata.file_block_start")).withColumn("at", F.monotonically_increasing_id())
+    # a line's number: its place in its part of the file, after the lines of the parts before
+    parts = raw.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("path", "block", (before - F.col("first") + 1).alias("shift"))
+    raw = raw.join(parts, ["path", "block"]).withColumn("line", F.col("at") + F.col("shift")).where(F.trim("value") != "")
     whole = T._parse_datatype_string(schema)
     as_read = T.StructType([*whole.fields, T.StructField("_bad", T.StringType())])
     p = F.from_json("value", as_read, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
@@ -48,18 +60,29 @@ def lines(spark: SparkSession, path: str, schema: str, versions: tuple[str, ...]
             .when(~F.col(f"r.{name}").isin(*allowed), "unsupported_version")
         )
     issue = issue.when(F.col("r._bad").isNotNull(), "malformed")
-    return s.select("path", issue.alias("issue"), *[F.col(f"r.`{f.name}`").alias(f.name) for f in whole])
+    field = actual = supported = F.lit(None)
+    for name, allowed in reversed(checks):
+        wrong = F.coalesce(~F.col(f"r.{name}").isin(*allowed), F.lit(True))
+        field, actual, supported = F.when(wrong, F.lit(name)).otherwise(field), F.when(wrong, F.col(f"r.{name}")).otherwise(actual), F.when(wrong, F.array(*map(F.lit, allowed))).otherwise(supported)
+    s = s.withColumn("issue", issue)
+    by_version = F.col("issue").isin("missing_version", "invalid_version_type", "unsupported_version")
+    told = [F.when(by_version, x).alias(n) for n, x in (("version_field", field), ("actual_version", F.when(F.col("issue") == "unsupported_version", actual)), ("supported_versions", supported))]
+    return s.select("path", "line", "issue", *told, *[F.col(f"r.`{f.name}`").alias(f.name) for f in whole])
+
+
+ISSUE = ("path", "line", "issue", "version_field", "actual_version", "supported_versions")
 
 
 def usable(rows: DataFrame, strict: bool = False) -> DataFrame:
     """The lines without an issue; strict fails the query at the first line with one (naming no content)."""
     if strict:
-        rows = rows.withColumn("issue", F.when(F.col("issue").isNotNull(), F.raise_error(F.concat(F.lit("unusable line: "), F.col("issue"))).cast("string")))
-    return rows.where("issue is null").drop("issue", "path")
+        rows = rows.withColumn("issue", F.when(F.col("issue").isNotNull(), F.raise_error(F.concat(F.lit("unusable line "), F.col("line"), F.lit(": "), F.col("issue"))).cast("string")))
+    return rows.where("issue is null").drop(*ISSUE)
 
 
 def issues(rows: DataFrame) -> DataFrame:
-    return rows.where("issue is not null").select("path", "issue")
+    """Why lines cannot be used, never what they hold."""
+    return rows.where("issue is not null").select(*ISSUE)
 
 
 def matching(rows: DataFrame, run_id: str | None = None, candidate_record_id: str | None = None, record_type: str | None = None) -> DataFrame:
@@ -118,7 +141,7 @@ def record_digest(*columns) -> Column:
 def identity_mismatches(rows: DataFrame, run: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Rows with mismatch: the columns in which they differ (null-safe) from their run's manifest (one row per run)."""
     m = run.select("run_id", *[F.col(c).alias(f"_m_{c}") for c in columns])
-    j = rows.join(F.broadcast(m), "run_id", "left")
+    j = rows.join(m, "run_id", "left")
     return j.withColumn("mismatch", F.array_compact(F.array(*[F.when(~F.col(c).eqNullSafe(F.col(f"_m_{c}")), F.lit(c)) for c in columns]))).drop(*[f"_m_{c}" for c in columns])
 
 
@@ -143,12 +166,60 @@ def safe_context(context: Column) -> Column:
     return F.map_filter(context, lambda k, v: k.isin(*CONTEXT_KEYS))
 
 
-def sidecar(rows: DataFrame, run_dir: str, digest: str) -> None:
-    """Write screens' similarity beside a run, ordered, at a path of the configuration's digest; it must not exist."""
+def save_screens(rows: DataFrame, run: DataFrame, path: str, identity: tuple[str, ...]) -> DataFrame:
+    """Append the screens whose identity columns are those of their run's manifest, with the digest of each record; returns those that are refused, with mismatch."""
+    checked = identity_mismatches(rows, run, identity)
+    good = checked.where(F.size("mismatch") == 0).drop("mismatch")
+    append(good.withColumn("record_digest", record_digest(*sorted(good.columns))), path)
+    return checked.where(F.size("mismatch") > 0)
+
+
+def error_rows(failures: DataFrame, version: str = STORAGE_VERSIONS[-1]) -> DataFrame:
+    """failures (run_id, occurred_at, operation, error_type, context map) as error records: context keys by whitelist, names by grammar, nothing of the text."""
+    name = lambda c: F.when(F.col(c).rlike(r"^[A-Za-z_][A-Za-z0-9_.]{0,127}$"), F.col(c)).otherwise("unexpected_error")
+    return failures.select(F.lit("error").alias("record_type"), F.lit(version).alias("storage_schema_version"), "run_id", "occurred_at", name("operation").alias("operation"), name("error_type").alias("error_type"), safe_context(F.col("context")).alias("context"))
+
+
+SCREENING_LOGS = ("ai_results", "ai_errors", "decisions")
+
+
+def screening_logs(run_dir: str, logs: dict[str, DataFrame]) -> None:
+    """Create the three logs of a screening run; none of them may exist before any is written."""
+    if set(logs) != set(SCREENING_LOGS):
+        raise ValueError(f"logs are {SCREENING_LOGS}")
+    for name in SCREENING_LOGS:
+        rows = logs[name]
+        p = rows.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{run_dir}/{name}.jsonl")
+        if p.getFileSystem(rows.sparkSession._jsc.hadoopConfiguration()).exists(p):
+            raise FileExistsError(name)
+    for name in SCREENING_LOGS:
+        create(logs[name], f"{run_dir}/{name}.jsonl")
+
+
+def sidecar(rows: DataFrame, run_dir: str, digest: str, header: dict | None = None) -> None:
+    """Write formal screens' similarity beside a run, ordered, after a header line, at a path of the configuration's digest; it must not exist.
+
+    Each row carries the digest of the screen it was made from (see record_digest).
+    """
     if not re.fullmatch("[0-9a-f]{64}", digest):
         raise ValueError("not a digest")
-    formal = rows.where("is_formal").orderBy("sequence_number", "candidate_record_id", "screen_index", "screen_id")
-    create(formal, f"{run_dir}/r06-sidecar-{digest}.jsonl")
+    spark = rows.sparkSession
+    formal = rows.where("is_formal").withColumn("source_screen_digest", record_digest(*sorted(rows.columns))).select(F.struct(F.lit("r06_sidecar_screen").alias("record_type"), "*").alias("row"), F.struct("sequence_number", "candidate_record_id", "screen_index", "screen_id").alias("place"))
+    lines_ = formal.orderBy("place").select(F.to_json("row", {"ignoreNullFields": "false"}).alias("value"))
+    head = {"record_type": "r06_sidecar_manifest", "similarity_config_digest": digest} | (header or {})
+    first = spark.createDataFrame([(json.dumps(head, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1)
+    first.union(lines_).write.mode("error").text(f"{run_dir}/r06-sidecar-{digest}.jsonl")
+
+
+def owned_digests(screens_: DataFrame, finished: DataFrame | None = None) -> DataFrame:
+    """(run_id, candidate_record_id, screen_id, digest): digests belong to their candidate and are released with it when it is finished."""
+    own = screens_.select("run_id", "candidate_record_id", "screen_id", record_digest(*sorted(screens_.columns)).alias("digest"))
+    return own if finished is None else own.join(finished.select("run_id", "candidate_record_id").distinct(), ["run_id", "candidate_record_id"], "left_anti")
+
+
+def sequence(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stream of the JSON-lines files of a folder, one file at a time in the order of their times: a recorded sequence as a scan."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).json(path)
 
 
 def write_manifest(run: DataFrame, path: str) -> None:
@@ -170,6 +241,22 @@ def batch_sink(path: str):
     return lambda df, batch: df.write.mode("overwrite").json(f"{path}/batch={batch}")
 
 
+def two_phase_sink(path: str):
+    """For foreachBatch: a batch is first written aside and then moved to its place by one rename; a batch that is in place is not written again."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        aside, place = (jvm.org.apache.hadoop.fs.Path(f"{path}/{x}") for x in (f"_pending-{batch}", f"batch={batch}"))
+        fs = place.getFileSystem(conf)
+        if fs.exists(place):
+            return
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{path}/_pending-{batch}")
+        fs.rename(aside, place)
+
+    return write
+
+
 class Breaker:
     """Gives up after three failures in a row."""
 
