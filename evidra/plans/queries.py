@@ -1,7 +1,7 @@
 """Queries of the engine over the test tables, and the same in SQL.
 
-The tables are read as evidence: a conversation is a candidate and its turns are screens; a document is a
-candidate whose overlapping windows of lines are screens; events are attempts and observations.
+The tables are read as evidence: a conversation is a candidate and its turns are screens; a document's
+overlapping windows of lines are screens, every eight of them a candidate; events are attempts and observations.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from evidra.shared import written
 KEYWORDS = '"idiot" and not any("moron","clown"); "the" and any("erst","thth") or "und" and not "der"; any("que","los")'
 CRITERIA = ["(C001 AND C002) OR C003", "C003 AND C004"]
 WINDOW, STEP = 6, 4
+KEY = novelty.KEY
 
 
 def _read(spark, sf, name) -> DataFrame:
@@ -23,38 +24,55 @@ def _read(spark, sf, name) -> DataFrame:
 
 
 def _turns(spark, sf) -> DataFrame:
-    """Turns as screens; the test tables are in normal form, so no Python is needed."""
+    """Turns as screens."""
     t = _read(spark, sf, "conversations")
-    c = text.comparison_text(F.col("text"), normalise=False)
+    c = text.comparison_text(F.col("text"))
     return t.select(F.lit("run").alias("run_id"), F.col("conv_id").cast("string").alias("candidate_record_id"), "conv_id", "turn", (F.col("turn") + 1).cast("int").alias("screen_index"), F.concat_ws(":", "conv_id", "turn").alias("screen_id"), F.lit(True).alias("is_formal"), "role", "text", c.alias("comparison_text"))
 
 
 def _lines(spark, sf) -> DataFrame:
-    """Documents' lines that are not blank."""
-    return _read(spark, sf, "documents").select("doc_id", F.filter(F.transform(F.split("text", "\n"), lambda x: text.box_text(x, normalise=False)), lambda x: x != "").alias("lines"))
+    """Documents' lines that are not blank: (doc_id, lines array<struct<t, c>>), as box text and as comparison text.
+
+    Normal forms are taken of whole texts, for line feeds neither join with others nor arise.
+    """
+    d = _read(spark, sf, "documents").select("doc_id", F.split(text.normal_form(F.col("text"), "NFC"), "\n").alias("t"), F.split(text.normal_form(F.col("text"), "NFKC"), "\n").alias("c"))
+    both = F.zip_with("t", "c", lambda t, c: F.struct(text.box_text(t, normalise=False).alias("t"), text.comparison_text(c, normalise=False).alias("c")))
+    return d.select("doc_id", F.filter(both, lambda x: x.t != "").alias("lines"))
 
 
 def _windows(spark, sf) -> DataFrame:
-    """Documents as overlapping windows of lines: at most eight screens each."""
-    d = _lines(spark, sf)
-    n = F.least(F.lit(8), F.greatest(F.lit(1), F.ceil((F.size("lines") - WINDOW) / STEP) + 1)).cast("int")
-    d = d.where(F.size("lines") > 0).select("doc_id", "lines", F.explode(F.sequence(F.lit(1), n)).alias("screen_index"))
-    return d.select("doc_id", "screen_index", F.slice("lines", (F.col("screen_index") - 1) * STEP + 1, WINDOW).alias("lines"))
+    """Documents as overlapping windows of lines: (doc_id, window, lines, before), `before` being the lines of the window before.
+
+    All lines are covered. The lines of a document are made once and cut where they are.
+    """
+    def cut(lines):
+        n = F.greatest(F.lit(1), F.ceil((F.size(lines) - WINDOW) / STEP) + 1).cast("int")
+        at = lambda i: F.slice(lines, i * STEP + 1, F.lit(WINDOW))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct((i + 1).alias("window"), at(i).alias("lines"), F.when(i > 0, at(F.greatest(i - 1, F.lit(0)))).alias("before")))
+
+    return _lines(spark, sf).select("doc_id", F.inline(geometry.let(F.col("lines"), cut))).where(F.size("lines") > 0)
 
 
 def _window_screens(spark, sf) -> DataFrame:
-    w = _windows(spark, sf)
-    seg = F.transform("lines", lambda x, i: F.struct(x.alias("normalized_text"), text.comparison_text(x, normalise=False).alias("comparison_text"), F.array(F.concat_ws(":", "doc_id", "screen_index", i)).alias("box_ids")))
-    return w.select(F.lit("run").alias("run_id"), F.col("doc_id").cast("string").alias("candidate_record_id"), F.concat_ws(":", "doc_id", "screen_index").alias("screen_id"), "screen_index", F.lit(True).alias("is_formal"), F.lit("completed").alias("normalization_status"), seg.alias("segments"))
+    """Windows as screens: every eight windows of a document are a candidate."""
+    w = _windows(spark, sf).select("doc_id", F.expr("(window - 1) div 8").alias("block"), ((F.col("window") - 1) % 8 + 1).cast("int").alias("screen_index"), "lines")
+    seg = F.transform("lines", lambda x, i: F.struct(x.t.alias("normalized_text"), x.c.alias("comparison_text"), F.array(F.concat_ws(":", "doc_id", "block", "screen_index", i)).alias("box_ids")))
+    return w.select(F.lit("run").alias("run_id"), F.concat_ws(":", "doc_id", "block").alias("candidate_record_id"), F.concat_ws(":", "doc_id", "block", "screen_index").alias("screen_id"), "screen_index", F.lit(True).alias("is_formal"), F.lit("completed").alias("normalization_status"), seg.alias("segments"))
+
+
+def _of_candidate(df: DataFrame) -> DataFrame:
+    """df with doc_id and block for the candidate's id."""
+    at = F.split("candidate_record_id", ":")
+    return df.select(at[0].cast("long").alias("doc_id"), at[1].cast("long").alias("block"), *[c for c in df.columns if c not in ("run_id", "candidate_record_id")])
 
 
 def comparison_text(spark, sf):
-    c = text.comparison_text(F.col("text"), normalise=False)
+    c = text.comparison_text(F.col("text"))
     return _read(spark, sf, "documents").select("doc_id", F.length(c).cast("long").alias("n"), F.sha2(c, 256).alias("digest"))
 
 
 def box_text(spark, sf):
-    return _read(spark, sf, "documents").select("doc_id", F.sha2(text.box_text(F.col("text"), normalise=False), 256).alias("digest"))
+    return _read(spark, sf, "documents").select("doc_id", F.sha2(text.box_text(F.col("text")), 256).alias("digest"))
 
 
 def protected_tokens(spark, sf):
@@ -80,12 +98,12 @@ def exact_hash_groups(spark, sf):
 
 
 def keyword_rules(spark, sf):
-    c = text.comparison_text(F.col("text"), normalise=False)
+    c = text.comparison_text(F.col("text"))
     return _read(spark, sf, "documents").select("doc_id", rules.first_rule(c, rules.parse_keyword_rules(KEYWORDS)).alias("rule_index"))
 
 
 def first_keyword(spark, sf):
-    c = text.comparison_text(F.col("html"), normalise=False)
+    c = text.comparison_text(F.col("html"))
     return _read(spark, sf, "pages").select("page_id", rules.first_keyword(c, ["zzzz", " TABLE ", "script", "html"]).alias("keyword"))
 
 
@@ -118,26 +136,30 @@ def reference_resolution(spark, sf):
 
 
 def hash_stability(spark, sf):
-    """Equality of consecutive hashes of roles, as a three-valued result."""
-    t = _turns(spark, sf).withColumn("exact_hash", F.when(F.col("role") != "system", F.sha2("role", 256))).withColumn("fingerprint_version", F.lit("r03-v1"))
+    """Equality of consecutive hashes of a text's first letter, as a three-valued result."""
+    t = _turns(spark, sf).withColumn("exact_hash", F.when(F.col("role") != "system", F.sha2(F.substring("text", 1, 1), 256))).withColumn("fingerprint_version", F.lit("r03-v1"))
     return stopping.stable_hash(t).select("conv_id", "turn", "hash_stable")
 
 
 def matches_previous(spark, sf):
-    """Whether a turn's role hash is among those of the turns before (null where that cannot be known)."""
-    t = _turns(spark, sf).withColumn("hash", F.when(F.col("role") != "system", F.sha2("role", 256))).withColumn("version", F.lit("r03-v1"))
+    """Whether a turn's hash (of its text's first letter) is among those of the turns before (null where that cannot be known)."""
+    t = _turns(spark, sf).withColumn("hash", F.when(F.col("role") != "system", F.sha2(F.substring("text", 1, 1), 256))).withColumn("version", F.lit("r03-v1"))
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
     t = t.withColumn("previous", F.collect_list(F.struct("hash", "version")).over(w))
-    return t.select("conv_id", "turn", stopping.matches_any(F.col("hash"), F.col("version"), F.col("previous")).alias("matches"))
+    args = F.col("hash"), F.col("version"), F.col("previous")
+    return t.select("conv_id", "turn", stopping.matches_any(*args).alias("matches"), stopping.differs_from_all(*args).alias("differs"))
 
 
 def no_new_runs(spark, sf):
-    """Longest and last run of turns without a word new to the conversation's turn before: run lengths over islands."""
-    t = _turns(spark, sf).withColumn("quiet", F.length("text") < 300)
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    n = F.row_number().over(w)
-    t = t.withColumn("n", n).withColumn("run", F.when(F.col("quiet"), F.col("n") - F.coalesce(F.max(F.when(~F.col("quiet"), F.col("n"))).over(w), F.lit(0))).otherwise(0))
-    return t.groupBy("conv_id").agg(F.max("run").cast("long").alias("longest"), F.max_by("run", "n").cast("long").alias("last"), (F.max("run") >= 2).alias("candidate"))
+    """Turns as stored screens, short ones without new text, read again: runs without new text and what can be said of a stored prediction."""
+    t = _turns(spark, sf).select(*KEY, "conv_id", "screen_index", "is_formal", F.lit("changed").alias("position_status"), F.lit("completed").alias("aggregation_status"), F.lit("completed").alias("similarity_status"), F.when(F.length("text") < 300, "none").otherwise("present").alias("effective_new_status"))
+    some = F.col("conv_id") % 2 == 0
+    c = t.select(*KEY, "conv_id").distinct().select(
+        *KEY, F.when(some, F.lit(3)).alias("first_predicted_end_screen"), F.when(some, "possible_scroll_bottom").alias("first_predicted_end_reason"), F.lit(False).alias("prediction_would_miss_content"), F.lit(False).alias("prediction_would_miss_rule_match"),
+        F.lit(True).alias("prediction_observation_complete"), F.lit(True).alias("prediction_evidence_complete"), F.when(F.col("conv_id") % 5 == 0, "aborted").otherwise("completed").alias("capture_status"), F.when(F.col("conv_id") % 7 == 0, "lost").alias("abort_reason"),
+    )
+    r = stopping.replay(t, c).withColumn("conv_id", F.col("candidate_record_id").cast("long")).withColumn("consecutive_no_new_count", F.col("consecutive_no_new_count").cast("long"))
+    return r.select("conv_id", "consecutive_no_new_count", "no_new_text_candidate", "offline_bottom_status", "prediction_would_miss_content", "prediction_observation_complete", "legacy_rule_completed", "insufficient_evidence")
 
 
 def attempt_numbers(spark, sf):
@@ -192,22 +214,35 @@ def score_histogram(spark, sf):
     return dice_pairs(spark, sf).groupBy(summaries.tenth(F.col("score")).alias("tenth")).agg(F.count("*").alias("n"))
 
 
+def _overlaps(spark, sf) -> DataFrame:
+    w = _windows(spark, sf).where(F.col("before").isNotNull()).select("doc_id", "window", F.transform("before", lambda x: x.c).alias("before"), F.transform("lines", lambda x: x.c).alias("lines"))
+    return document.exact_overlaps(w, "before", "lines")
+
+
 def exact_overlaps(spark, sf):
-    """Longest equal tail and head of consecutive windows of lines."""
-    w = _windows(spark, sf).select("doc_id", "screen_index", F.transform("lines", lambda x: text.comparison_text(x, normalise=False)).alias("a"))
-    j = w.join(w.select("doc_id", (F.col("screen_index") + 1).alias("screen_index"), F.col("a").alias("b")), ["doc_id", "screen_index"])
-    top = F.least(F.size("a"), F.size("b"))
-    k = F.array_max(F.filter(F.sequence(F.lit(0), top), lambda k: (k == 0) | (F.slice(F.col("b"), F.size("b") - k + 1, k) == F.slice(F.col("a"), 1, k))))
-    return j.select("doc_id", F.col("screen_index").cast("long").alias("screen_index"), k.cast("long").alias("k"))
+    """Longest admissible equal tail and head of consecutive windows of lines."""
+    return _overlaps(spark, sf).select("doc_id", F.col("window").cast("long").alias("screen_index"), F.col("overlap_lines").cast("long").alias("k"), F.col("overlap_basis").alias("basis"), F.col("inadmissible_lines").cast("long").alias("inadmissible"))
+
+
+def _parted(spark, sf) -> DataFrame:
+    """Windows as screens of the document layer: the overlap is matched, the rest new, the last line uncertain where there is no overlap."""
+    w = _overlaps(spark, sf).withColumn("k", F.col("overlap_lines")).withColumn("n", F.size("lines"))
+    span = lambda a, b: F.when(b > a, F.sequence(a, F.greatest(a, b - 1))).otherwise(F.array().cast("array<int>"))
+    sure = F.when(F.col("k") == 0, F.col("n") - 1).otherwise(F.col("n"))
+    size = lambda a: F.aggregate(a, F.lit(0), lambda t, i: t + F.length(F.element_at("lines", i + 1)))
+    seg = F.transform("lines", lambda x: F.struct(x.alias("normalized_text"), x.alias("comparison_text"), F.array().cast("array<string>").alias("box_ids")))
+    w = w.select("*", span(F.lit(0), F.col("k")).alias("matched"), span(F.col("k"), sure).alias("new"), span(sure, F.col("n")).alias("uncertain"))
+    return w.select(
+        F.lit("run").alias("run_id"), F.col("doc_id").cast("string").alias("candidate_record_id"), F.concat_ws(":", "doc_id", "window").alias("screen_id"), "doc_id", "window", F.col("window").alias("screen_index"), F.lit(True).alias("is_formal"), seg.alias("segments"), "matched", "new", "uncertain",
+        F.when(F.size("uncertain") > 0, "partial").otherwise("completed").alias("aggregation_status"), size("matched").alias("overlap_char_count"), (size("new") + size("uncertain")).alias("new_text_char_count"), size("uncertain").alias("uncertain_char_count"),
+        F.size("matched").alias("overlap_segment_count"), (F.size("new") + F.size("uncertain")).alias("new_segment_count"), F.size("new").alias("certain_new_segment_count"), F.size("uncertain").alias("uncertain_segment_count"),
+    )
 
 
 def accounting(spark, sf):
-    """Words of a turn that the turn before has too, as characters: counts, and ratios with their terms."""
-    t = _turns(spark, sf).select("conv_id", "turn", F.split("text", r"\s+").alias("words"))
-    j = t.join(t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("words").alias("before")), ["conv_id", "turn"])
-    chars = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
-    j = j.select("conv_id", "turn", chars(F.filter("words", lambda x: F.array_contains("before", x))).alias("overlap"), chars(F.col("words")).alias("total"))
-    return j.select("conv_id", "turn", F.col("overlap").cast("long").alias("overlap_chars"), (F.col("total") - F.col("overlap")).cast("long").alias("new_chars"), F.round(F.col("overlap") / F.nullif("total", F.lit(0)), 9).alias("overlap_ratio"))
+    """What windows share with the one before, in characters: counts, and ratios with their terms."""
+    a = novelty.accounting(_parted(spark, sf))
+    return a.select("doc_id", F.col("window").cast("long").alias("win"), *(F.col(f"accounting.{c}").cast("long").alias(c) for c in ("overlap_chars", "new_chars", "uncertain_chars", "chars")), *(F.round(f"accounting.{c}", 9).alias(c) for c in ("overlap_ratio", "new_ratio")), F.array_join("accounting.warnings", ",").alias("warnings"))
 
 
 def id_sets(spark, sf):
@@ -217,16 +252,23 @@ def id_sets(spark, sf):
     return e.select("user_id", screening.same_ids(F.col("got"), want).alias("whole"), F.size(F.array_except(want, "got")).cast("long").alias("missing"))
 
 
+def _event_boxes(spark, sf, word, confidence, x, y) -> DataFrame:
+    e = _read(spark, sf, "events").withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")))
+    b = e.select("user_id", F.format_string("%012d", "event_id").alias("box_id"), word.cast("string").alias("raw_text"), confidence.alias("confidence"), F.format_string("[%d,%d,%d,%d]", x, y, x + 50, y + 20).alias("bbox"), F.col("event_id").cast("int").alias("original_index"))
+    return layout.gather(b, ("user_id",))
+
+
 def survivors(spark, sf):
-    """Events as boxes with a text: the survivor of each text by known confidence, confidence, area, index."""
-    e = _read(spark, sf, "events").select("event_id", "user_id", "event_type", F.when(F.col("event_id") % 10 != 0, F.col("value") / 500).alias("confidence"))
-    w = Window.partitionBy("user_id", "event_type").orderBy(F.col("confidence").isNull(), F.desc("confidence"), "event_id")
-    return e.withColumn("rank", F.row_number().over(w)).where("rank = 1").select("user_id", "event_type", "event_id")
+    """Events as boxes in one place: of each text the box that suppresses the others."""
+    c = F.when(F.col("event_id") % 10 != 0, 0.85 + F.col("value") / 5000)
+    s = layout.normalise_screens(_event_boxes(spark, sf, F.col("event_type"), c, F.lit(0), F.lit(0)))
+    g = s.select("user_id", F.col("boxes").alias("b"), F.explode("duplicate_groups").alias("g"))
+    return g.select("user_id", F.col("g.retained_box_id").cast("long").alias("event_id"), F.size("g.suppressed_duplicate_box_ids").cast("long").alias("suppressed"))
 
 
 def box_geometry(spark, sf):
     """Events as boxes: bounds of both shapes, and how consecutive boxes of a user lie."""
-    e = _read(spark, sf, "events").where("event_id % 7 < 5").select("event_id", "user_id", (F.col("event_id") % 100).cast("int").alias("x"), (F.col("event_id") % 37).cast("int").alias("y"), (F.col("event_id") % 13 + 1).cast("int").alias("w"))
+    e = _read(spark, sf, "events").select("event_id", "user_id", (F.col("event_id") % 100).cast("int").alias("x"), (F.col("event_id") % 37).cast("int").alias("y"), (F.col("event_id") % 13 + 1).cast("int").alias("w"))
     flat = F.format_string("[%d,%d,%d,%d]", "x", "y", F.col("x") + F.col("w"), F.col("y") + 20)
     poly = F.format_string("[[%d,%d],[%d,%d]]", F.col("x") + F.col("w"), F.col("y"), F.col("x"), F.col("y") + 20)
     e = e.withColumn("g", geometry.bounds(F.when(F.col("event_id") % 2 == 0, flat).otherwise(poly)))
@@ -236,16 +278,11 @@ def box_geometry(spark, sf):
     return e.select("event_id", F.round(s.iou, 9).alias("iou"), F.round(s.horizontal_overlap_ratio, 9).alias("overlap_x"), F.round(s.center_distance_ratio, 9).alias("distance"), F.round(s.size_similarity, 9).alias("size_similarity"), F.round(geometry.line_tolerance(geometry.effective_height(F.col("g")), {"line_tolerance_max_px": 18.0, "line_tolerance_min_px": 4.0, "line_tolerance_height_ratio": 0.45}), 9).alias("tolerance"))
 
 
-def line_medians(spark, sf):
-    """Medians and least values of the boxes of a line."""
-    e = _read(spark, sf, "events").select("user_id", (F.col("event_id") % 37).cast("double").alias("y"), F.col("value").alias("h"), "event_id")
-    return e.groupBy("user_id").agg(F.median("y").alias("center"), F.median(F.greatest(F.lit(1.0), "h")).alias("height"), F.min("y").alias("top"), F.min(F.struct("y", "event_id")).event_id.alias("source"))
-
-
 def confidence_filter(spark, sf):
-    """Boxes at or above the threshold, or without a confidence."""
-    e = _read(spark, sf, "events").select("user_id", F.when(F.col("event_id") % 10 != 0, geometry.usable_confidence(F.col("value") / 100)).alias("c"))
-    return e.groupBy("user_id").agg(F.count_if(F.col("c").isNull() | (F.col("c") >= 0.85)).alias("eligible"), F.count_if(F.col("c") < 0.85).alias("low"))
+    """Events as boxes one below the other: those at or above the threshold, or without a confidence, are the text."""
+    c = F.when(F.col("event_id") % 10 != 0, (F.col("event_id") % 101) / 100)
+    s = layout.normalise_screens(_event_boxes(spark, sf, F.col("event_id"), c, F.lit(0), (F.col("n") * 30).cast("int")))
+    return s.select("user_id", F.col("eligible_box_count").cast("long").alias("eligible"), F.col("low_confidence_box_count").cast("long").alias("low"), F.size("lines").cast("long").alias("n_lines"), F.sha2("normalized_text", 256).alias("text_sha256"))
 
 
 def switch_states(spark, sf):
@@ -257,7 +294,7 @@ def switch_states(spark, sf):
 def prompt_payloads(spark, sf):
     d = _read(spark, sf, "conversations")
     c = F.array(F.struct(F.lit("C001").alias("criterion_id"), F.lit("x > 1").alias("criterion_text")))
-    return d.select("conv_id", "turn", F.sha2(screening.prompt_payload(c, F.col("role")), 256).alias("digest"))
+    return d.select("conv_id", "turn", F.sha2(screening.prompt_payload(c, F.col("text")), 256).alias("digest"))
 
 
 def reply_contracts(spark, sf):
@@ -278,30 +315,31 @@ def profile_latest(spark, sf):
     return screening.latest_versions(p).join(nxt, "screening_profile_id").select(F.col("screening_profile_id").cast("long").alias("user_id"), F.col("profile_version").cast("long").alias("profile_version"), "contiguous", "next_id")
 
 
-# --- queries that SQL cannot express ---------------------------------------------------------------------------
+# --- the layers one after the other: without SQL, for their folds ------------------------------------------------------
 
 
 def documents_from_windows(spark, sf):
-    d = document.build_documents(_window_screens(spark, sf))
-    return d.select(F.col("candidate_record_id").cast("long").alias("doc_id"), "document_build_status", F.size("document_segments").alias("n_segments"), "matched_line_count", "uncertain_line_count", "document_duplicate_risk", F.sha2("document_text", 256).alias("document_sha256"))
+    d = _of_candidate(document.build_documents(_window_screens(spark, sf)))
+    return d.select("doc_id", "block", "document_build_status", F.size("document_segments").alias("n_segments"), "matched_line_count", "uncertain_line_count", "document_duplicate_risk", F.sha2("document_text", 256).alias("document_sha256"))
 
 
 def _evaluated(spark, sf):
-    s = _window_screens(spark, sf)
+    s = written(_window_screens(spark, sf), "windows")
     d = document.build_documents(s)
-    whole = s.select(*novelty.KEY, "screen_id", F.array_join(F.transform("segments", lambda x: x.normalized_text), "\n").alias("t"))
-    extra = whole.select(*novelty.KEY, "screen_id", F.col("t").alias("normalized_text"), text.comparison_text(F.col("t"), normalise=False).alias("comparison_text"), F.sha2("t", 256).alias("exact_hash"), F.lit("r03-v1").alias("fingerprint_version"), F.lit("completed").alias("normalization_status"))
-    rows = d.select(*novelty.KEY, F.explode("screens").alias("s")).select(*novelty.KEY, "s.*")
-    return novelty.evaluate(written(rows.join(extra, [*novelty.KEY, "screen_id"]), "screens"))
+    whole = s.select(*KEY, "screen_id", F.array_join(F.transform("segments", lambda x: x.normalized_text), "\n").alias("t"), F.array_join(F.transform("segments", lambda x: x.comparison_text), "").alias("c"))
+    extra = whole.select(*KEY, "screen_id", F.col("t").alias("normalized_text"), F.col("c").alias("comparison_text"), F.sha2("t", 256).alias("exact_hash"), F.lit("r03-v1").alias("fingerprint_version"), F.lit("completed").alias("normalization_status"))
+    rows = d.select(*KEY, F.explode("screens").alias("s")).select(*KEY, "s.*")
+    return novelty.evaluate(written(rows.join(extra, [*KEY, "screen_id"]), "screens"))
 
 
 def screen_novelty(spark, sf):
     e = _evaluated(spark, sf)
-    return e.select(F.col("candidate_record_id").cast("long").alias("doc_id"), "screen_index", "similarity_status", "comparison_class", F.col("effective.status").alias("effective_new_status"), F.round("similarity_score", 9).alias("similarity_score"), F.col("accounting.overlap_chars").alias("overlap_chars"), "warning_codes")
+    e = e.select(*KEY, "screen_index", "similarity_status", "comparison_class", F.col("effective.status").alias("effective_new_status"), F.round("similarity_score", 9).alias("similarity_score"), F.col("accounting.overlap_chars").alias("overlap_chars"), "warning_codes")
+    return _of_candidate(e)
 
 
 def novelty_summaries(spark, sf):
-    return summaries.similarity_summary(_evaluated(spark, sf)).drop("run_id")
+    return _of_candidate(summaries.summary_or_counts(_evaluated(spark, sf)))
 
 
 def scan_positions(spark, sf):
@@ -309,26 +347,27 @@ def scan_positions(spark, sf):
     for c in ("load_health", "ocr_health", "identity_health"):
         e = e.withColumn(c, F.lit(True))
     p = stopping.classify_positions(e)
-    return stopping.control(p).withColumn("doc_id", F.col("candidate_record_id").cast("long")).drop("run_id", "candidate_record_id")
+    return _of_candidate(stopping.control(p))
 
 
 def _word_boxes(spark, sf):
     """Documents' lines as boxes, a screen for every WINDOW lines: a box for each word, in place by line and column."""
     w = _lines(spark, sf).select("doc_id", F.posexplode("lines").alias("at", "line"))
-    w = w.select("doc_id", F.expr(f"cast(at div {WINDOW} as int) + 1").alias("screen_index"), (F.col("at") % WINDOW).alias("row"), "line")
-    words = w.select("doc_id", "screen_index", "row", F.posexplode(F.split("line", " ")).alias("col", "word"), "line")
-    x = F.aggregate(F.slice(F.split("line", " "), F.lit(1), F.col("col")), F.lit(0), lambda a, t: a + F.length(t) + 1)
-    b = words.withColumn("x", x * 10).select("doc_id", "screen_index", F.format_string("%d:%d:%d:%d", "doc_id", "screen_index", "row", "col").alias("box_id"), F.col("word").alias("raw_text"), F.lit(0.95).alias("confidence"), F.format_string("[%d,%d,%d,%d]", F.col("x"), F.col("row") * 30, F.col("x") + F.length("word") * 10, F.col("row") * 30 + 20).alias("bbox"), (F.col("row") * 10000 + F.col("col")).alias("original_index"))
+    w = w.select("doc_id", F.expr(f"cast(at div {WINDOW} as int) + 1").alias("screen_index"), (F.col("at") % WINDOW).alias("row"), F.col("line.t").alias("line"))
+    # a word ends where the text of as many words ends
+    words = F.transform(F.split("line", " "), lambda t, i: F.struct(i.alias("col"), t.alias("word"), F.length(F.call_function("substring_index", F.col("line"), F.lit(" "), i + 1)).alias("end")))
+    b = w.select("doc_id", "screen_index", "row", F.inline(words)).withColumn("x", (F.col("end") - F.length("word")) * 10)
+    b = b.select("doc_id", "screen_index", F.format_string("%d:%d:%d:%d", "doc_id", "screen_index", "row", "col").alias("box_id"), F.col("word").alias("raw_text"), F.lit(0.95).alias("confidence"), F.format_string("[%d,%d,%d,%d]", F.col("x"), F.col("row") * 30, F.col("end") * 10, F.col("row") * 30 + 20).alias("bbox"), (F.col("row") * 10000 + F.col("col")).alias("original_index"))
     return layout.gather(b, ("doc_id", "screen_index"))
 
 
 def reading_order(spark, sf):
-    s = layout.fingerprint_screens(layout.normalise_screens(_word_boxes(spark, sf)))
-    return s.select("doc_id", "screen_index", "normalization_status", F.size("lines").alias("n_lines"), F.sha2("normalized_text", 256).alias("text_sha256"), "exact_hash", "deduplicated_box_count", "duplicate_gray_pair_count")
+    s = layout.read_screens(_word_boxes(spark, sf))
+    return s.select("doc_id", F.col("screen_index").cast("long").alias("screen_index"), "normalization_status", F.size("lines").cast("long").alias("n_lines"), F.sha2("normalized_text", 256).alias("text_sha256"), "exact_hash", F.col("deduplicated_box_count").cast("long").alias("boxes"), F.col("duplicate_gray_pair_count").cast("long").alias("gray"))
 
 
 QUERIES = {f.__name__: f for f in (
     dice_pairs, comparison_text, box_text, protected_tokens, protected_lines, load_gate, exact_hash_groups, keyword_rules, first_keyword, rule_decisions, simhash_pairs, reference_resolution, hash_stability,
     matches_previous, no_new_runs, attempt_numbers, final_attempts, error_codes, benchmark_report, normalization_summary, capture_summary, score_histogram, exact_overlaps, accounting, id_sets, survivors,
-    box_geometry, line_medians, confidence_filter, switch_states, prompt_payloads, reply_contracts, profile_latest, documents_from_windows, screen_novelty, novelty_summaries, scan_positions, reading_order,
+    box_geometry, confidence_filter, switch_states, prompt_payloads, reply_contracts, profile_latest, documents_from_windows, screen_novelty, novelty_summaries, scan_positions, reading_order,
 )}

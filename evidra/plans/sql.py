@@ -24,7 +24,9 @@ scores AS (SELECT p.conv_id, p.turn, CASE WHEN p.c = '' AND p.b = '' THEN 1.0 WH
 
 _WINDOWS = f"""cut AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(x, ' ' || chr(9) || chr(10) || chr(13)), '\\s+', ' ', 'g')), lambda x: x <> '') AS lines FROM documents),
 windows AS (SELECT doc_id, i AS screen_index, list_transform(lines[(i - 1) * 4 + 1 : (i - 1) * 4 + 6], lambda x: {_C.format('x')}) AS a
-  FROM cut, unnest(range(1, least(8, greatest(1, ceil((len(lines) - 6) / 4.0)::BIGINT + 1)) + 1)) AS r(i) WHERE len(lines) > 0)"""
+  FROM cut, unnest(range(1, greatest(1, ceil((len(lines) - 6) / 4.0)::BIGINT + 1) + 1)) AS r(i) WHERE len(lines) > 0),
+pairs AS (SELECT x.doc_id, x.screen_index, x.a, list_transform(x.a, lambda t: length(t)) AS z, list_filter(range(1, least(len(x.a), len(y.a)) + 1), lambda k: y.a[len(y.a) - k + 1 : len(y.a)] = x.a[1 : k]) AS eq FROM windows x JOIN windows y ON x.doc_id = y.doc_id AND y.screen_index = x.screen_index - 1),
+laps AS (SELECT doc_id, screen_index, a, z, eq, coalesce(list_max(list_filter(eq, lambda k: (k >= 2 AND list_sum(z[1 : k]) >= 24 AND list_max(z[1 : k]) > 8) OR (k = 1 AND len(a) = 1 AND z[1] >= 48))), 0)::BIGINT AS k FROM pairs)"""
 
 _STATUS = "[402, 408, 401, 429, 400, 503, 404, 405, 418][(event_id % 9 + 1)::INT]"
 
@@ -56,12 +58,16 @@ SELECT x.conv_id, x.turn, x.simhash, bit_count(xor(('0x' || x.simhash)::UBIGINT:
     "reference_resolution": """SELECT x.conv_id, x.turn, CASE WHEN x.role = 'system' THEN 'unavailable' WHEN x.turn = 0 THEN 'no_reference' WHEN y.turn IS NULL THEN 'unavailable' ELSE 'resolved' END AS status,
   CASE WHEN x.role <> 'system' AND x.turn > 0 THEN y.conv_id || ':' || y.turn END AS reference_id, CASE WHEN x.role = 'system' OR (x.turn > 0 AND y.turn IS NULL) THEN 'reference_missing' END AS warning
 FROM conversations x LEFT JOIN conversations y ON x.conv_id = y.conv_id AND y.turn = x.turn - 1 AND y.role <> 'system'""",
-    "hash_stability": "SELECT conv_id, turn, CASE WHEN role <> 'system' AND lag(role) OVER (PARTITION BY conv_id ORDER BY turn) <> 'system' THEN role = lag(role) OVER (PARTITION BY conv_id ORDER BY turn) END AS hash_stable FROM conversations",
-    "matches_previous": """SELECT x.conv_id, x.turn, CASE WHEN count(y.turn) = 0 THEN NULL WHEN x.role = 'system' THEN NULL WHEN bool_or(y.role = x.role) THEN true WHEN bool_or(y.role = 'system') THEN NULL ELSE false END AS matches
-FROM conversations x LEFT JOIN conversations y ON x.conv_id = y.conv_id AND y.turn < x.turn GROUP BY x.conv_id, x.turn, x.role""",
-    "no_new_runs": """WITH q AS (SELECT conv_id, length(text) < 300 AS quiet, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
-r AS (SELECT conv_id, n, CASE WHEN quiet THEN n - coalesce(max(CASE WHEN NOT quiet THEN n END) OVER (PARTITION BY conv_id ORDER BY n), 0) ELSE 0 END AS run FROM q)
-SELECT conv_id, max(run)::BIGINT AS longest, arg_max(run, n)::BIGINT AS last, max(run) >= 2 AS candidate FROM r GROUP BY conv_id""",
+    "hash_stability": """WITH t AS (SELECT *, substring(text, 1, 1) AS l, lag(role) OVER w AS pr, lag(substring(text, 1, 1)) OVER w AS pl FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))
+SELECT conv_id, turn, CASE WHEN role <> 'system' AND pr <> 'system' THEN l = pl END AS hash_stable FROM t""",
+    "matches_previous": """WITH m AS (SELECT x.conv_id, x.turn, CASE WHEN count(y.turn) = 0 THEN NULL WHEN x.role = 'system' THEN NULL WHEN bool_or(y.role <> 'system' AND substring(y.text, 1, 1) = substring(x.text, 1, 1)) THEN true WHEN bool_or(y.role = 'system') THEN NULL ELSE false END AS matches
+FROM conversations x LEFT JOIN conversations y ON x.conv_id = y.conv_id AND y.turn < x.turn GROUP BY x.conv_id, x.turn, x.role, x.text) SELECT *, NOT matches AS differs FROM m""",
+    "no_new_runs": """WITH q AS (SELECT conv_id, turn, length(text) < 300 AS quiet, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations),
+r AS (SELECT conv_id, turn, quiet, n, CASE WHEN quiet THEN n - coalesce(max(CASE WHEN NOT quiet THEN n END) OVER (PARTITION BY conv_id ORDER BY n), 0) ELSE 0 END AS run FROM q),
+g AS (SELECT conv_id, arg_max(run, n)::BIGINT AS last, max(run) AS top, conv_id % 2 = 0 AS p, conv_id % 7 = 0 AS lost, bool_or(turn >= 2) AS seen, bool_or(turn >= 2 AND NOT quiet) AS fresh FROM r GROUP BY conv_id),
+b AS (SELECT *, p AND seen AND NOT lost AS bottom FROM g)
+SELECT conv_id, last AS consecutive_no_new_count, top >= 2 AS no_new_text_candidate, CASE WHEN bottom THEN 'possible_scroll_bottom' ELSE 'insufficient_evidence' END AS offline_bottom_status, CASE WHEN p AND NOT lost THEN fresh END AS prediction_would_miss_content,
+  CASE WHEN p AND NOT lost THEN true END AS prediction_observation_complete, false AS legacy_rule_completed, lost OR conv_id % 5 = 0 OR NOT bottom AS insufficient_evidence FROM b""",
     "attempt_numbers": "SELECT event_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) AS attempt_index FROM events",
     "final_attempts": """WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k FROM events), f AS (SELECT user_id, coalesce(min(CASE WHEN event_type = 'purchase' THEN k END), max(k)) AS u FROM k WHERE k <= 3 GROUP BY user_id)
 SELECT f.user_id, CASE WHEN k.event_type = 'purchase' THEN 'completed' ELSE 'failed' END AS ai_status, k.value > 20 AS passed, f.u AS attempts_used FROM f JOIN k ON f.user_id = k.user_id AND k.k = f.u""",
@@ -81,23 +87,27 @@ SELECT candidate_record_id, count(*) FILTER (f AND s = 'c') AS formal_normalizat
   count(*) FILTER (NOT f AND s = 'c') AS nonformal_normalization_completed_count, count(*) FILTER (NOT f AND s = 'f') AS nonformal_normalization_failed_count, count(*) FILTER (NOT f AND s = 'n') AS nonformal_normalization_not_attempted_count FROM k GROUP BY 1""",
     "capture_summary": """SELECT conv_id::VARCHAR AS candidate_record_id, count(DISTINCT turn) FILTER (role = 'assistant') AS actual_screen_count, count(*) AS ocr_attempt_count, count(*) FILTER (role = 'user') AS scroll_attempt_count,
   count(*) FILTER (role = 'user' AND turn > 1) AS scroll_retry_count, (max(turn + 1) FILTER (role = 'assistant'))::BIGINT AS end_screen_index FROM conversations GROUP BY 1""",
-    "exact_overlaps": f"""WITH {_WINDOWS} SELECT x.doc_id, x.screen_index, list_max(list_filter(range(0, least(len(x.a), len(y.a)) + 1), lambda k: k = 0 OR y.a[len(y.a) - k + 1 : len(y.a)] = x.a[1 : k]))::BIGINT AS k
-FROM windows x JOIN windows y ON x.doc_id = y.doc_id AND y.screen_index = x.screen_index - 1""",
-    "accounting": """WITH t AS (SELECT conv_id, turn, regexp_split_to_array(text, '\\s+') AS w FROM conversations), j AS (SELECT x.conv_id, x.turn, x.w, y.w AS b FROM t x JOIN t y ON x.conv_id = y.conv_id AND y.turn = x.turn - 1),
-n AS (SELECT conv_id, turn, coalesce(list_sum(list_transform(list_filter(w, lambda x: list_contains(b, x)), lambda x: length(x))), 0)::BIGINT AS o, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS t FROM j)
-SELECT conv_id, turn, o AS overlap_chars, t - o AS new_chars, round(o::DOUBLE / nullif(t, 0), 9) AS overlap_ratio FROM n""",
+    "exact_overlaps": f"""WITH {_WINDOWS} SELECT doc_id, screen_index, k, CASE WHEN k > 1 THEN 'comparison_sequence_equal' WHEN k = 1 THEN 'single_full_screen_equal' END AS basis, CASE WHEN k = 0 THEN coalesce(list_max(eq), 0) ELSE 0 END::BIGINT AS inadmissible FROM laps""",
+    "accounting": f"""WITH {_WINDOWS}, c AS (SELECT doc_id, screen_index AS win, k, coalesce(list_sum(z[1 : k]), 0)::BIGINT AS o, list_sum(z)::BIGINT AS t, CASE WHEN k = 0 THEN z[len(z)] ELSE 0 END::BIGINT AS u FROM laps)
+SELECT doc_id, win, o AS overlap_chars, t - o - u AS new_chars, u AS uncertain_chars, t AS chars, round(o / t::DOUBLE, 9) AS overlap_ratio, round((t - o - u) / t::DOUBLE, 9) AS new_ratio, CASE WHEN k = 0 THEN 'r05_partial' ELSE '' END AS warnings FROM c""",
     "id_sets": "SELECT user_id, count(DISTINCT event_type) = 5 AS whole, 5 - count(DISTINCT event_type) AS missing FROM events GROUP BY user_id",
-    "survivors": "SELECT user_id, event_type, arg_min(event_id, k) AS event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 10 = 0, CASE WHEN event_id % 10 <> 0 THEN value / 500 END DESC, event_id) AS k FROM events) GROUP BY user_id, event_type",
-    "box_geometry": """WITH e AS (SELECT event_id, user_id, (event_id % 100)::DOUBLE AS x, (event_id % 37)::DOUBLE AS y, (event_id % 13 + 1)::DOUBLE AS w FROM events WHERE event_id % 7 < 5),
+    "survivors": """WITH k AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 10 = 0, CASE WHEN event_id % 10 <> 0 THEN 0.85::DOUBLE + value / 5000 END DESC, event_id) AS k, count(*) OVER (PARTITION BY user_id, event_type) AS n FROM events)
+SELECT user_id, event_id, n - 1 AS suppressed FROM k WHERE k = 1 AND n > 1""",
+    "box_geometry": """WITH e AS (SELECT event_id, user_id, (event_id % 100)::DOUBLE AS x, (event_id % 37)::DOUBLE AS y, (event_id % 13 + 1)::DOUBLE AS w FROM events),
 p AS (SELECT *, lag(x) OVER u AS a, lag(y) OVER u AS b, lag(w) OVER u AS c FROM e WINDOW u AS (PARTITION BY user_id ORDER BY event_id)),
 k AS (SELECT *, greatest(0, least(x + w, a + c) - greatest(x, a)) AS ix, greatest(0, least(y + 20, b + 20) - greatest(y, b)) AS iy FROM p WHERE a IS NOT NULL)
 SELECT event_id, round(ix * iy / (20 * w + 20 * c - ix * iy), 9) AS iou, round(ix / least(w, c), 9) AS overlap_x, round(sqrt((x + w / 2 - a - c / 2) ** 2 + (y - b) ** 2) / 20, 9) AS distance, round(least(w, c) / greatest(w, c), 9) AS size_similarity, 9.0::DOUBLE AS tolerance FROM k""",
-    "line_medians": "SELECT user_id, median((event_id % 37)::DOUBLE) AS center, median(greatest(1.0::DOUBLE, value)) AS height, min((event_id % 37)::DOUBLE) AS top, arg_min(event_id, (event_id % 37) * 1000000000 + event_id) AS source FROM events GROUP BY user_id",
-    "confidence_filter": """WITH k AS (SELECT user_id, CASE WHEN event_id % 10 <> 0 AND value / 100 BETWEEN 0 AND 1 THEN value / 100 END AS c FROM events) SELECT user_id, count(*) FILTER (c IS NULL OR c >= 0.85) AS eligible, count(*) FILTER (c < 0.85) AS low FROM k GROUP BY user_id""",
+    "confidence_filter": """WITH k AS (SELECT user_id, event_id, CASE WHEN event_id % 10 <> 0 THEN (event_id % 101) / 100.0::DOUBLE END AS c FROM events)
+SELECT user_id, count(*) FILTER (c IS NULL OR c >= 0.85) AS eligible, count(*) FILTER (c < 0.85) AS low, count(*) FILTER (c IS NULL OR c >= 0.85) AS n_lines, sha256(coalesce(string_agg(event_id::VARCHAR, chr(10) ORDER BY event_id) FILTER (c IS NULL OR c >= 0.85), '')) AS text_sha256 FROM k GROUP BY user_id""",
     "switch_states": """WITH e AS (SELECT event_id, user_id, event_type AS t, CASE WHEN event_type IN ('error', 'signup') THEN NULL WHEN event_type = 'view' THEN 'old' ELSE 'new' END AS r FROM events),
 k AS (SELECT *, lag(r) OVER u AS pr, lag(t) OVER u AS pt FROM e WINDOW u AS (PARTITION BY user_id ORDER BY event_id))
 SELECT event_id, r AS relation, CASE WHEN t = 'error' THEN 'switch_loading' WHEN r IS NULL THEN 'switch_unverifiable' WHEN pr = r AND pt = t AND r = 'old' THEN 'switch_unchanged' WHEN pr = r AND pt = t THEN 'switch_confirmed' ELSE 'switch_observing' END AS switch_status FROM k""",
-    "prompt_payloads": """SELECT conv_id, turn, sha256('{"criteria":[{"criterion_id":"C001","criterion_text":"x > 1"}],"resume_text":"' || role || '"}') AS digest FROM conversations""",
+    "prompt_payloads": """SELECT conv_id, turn, sha256('{"criteria":[{"criterion_id":"C001","criterion_text":"x > 1"}],"resume_text":' || to_json(text) || '}') AS digest FROM conversations""",
+    # between two words of a line stands a blank, unless one of the characters beside it joins
+    "reading_order": """WITH cut AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(trim(x, ' ' || chr(9) || chr(10) || chr(13)), '\\s+', ' ', 'g')), lambda x: x <> '') AS lines FROM documents),
+s AS (SELECT doc_id, i AS screen_index, lines[(i - 1) * 6 + 1 : i * 6] AS l FROM cut, unnest(range(1, ceil(len(lines) / 6.0)::BIGINT + 1)) AS r(i)),
+j AS (SELECT doc_id, screen_index, l, list_transform(l, lambda x: regexp_replace(regexp_replace(x, ' ([)\\]}>）】》」』,.;:!?，。；：！？、%％+#/_\\\\-])', '\\1', 'g'), '([(\\[{<（【《「『+#./_\\\\-]) ', '\\1', 'g')) AS m FROM s)
+SELECT doc_id, screen_index, 'completed' AS normalization_status, len(l)::BIGINT AS n_lines, sha256(array_to_string(m, chr(10))) AS text_sha256, sha256(replace(array_to_string(l, chr(10)), ' ', chr(10))) AS exact_hash, list_sum(list_transform(l, lambda x: len(string_split(x, ' '))))::BIGINT AS boxes, 0::BIGINT AS gray FROM j""",
     "reply_contracts": """SELECT event_id, CASE WHEN event_id % 6 = 0 THEN true END AS passed,
   CASE event_id % 6 WHEN 1 THEN 'passed_not_a_boolean' WHEN 2 THEN 'duplicate_criterion' WHEN 3 THEN 'criteria_incomplete_or_unknown' WHEN 4 THEN 'duplicate_member' WHEN 5 THEN 'item_schema' END AS error FROM events""",
     "profile_latest": """WITH p AS (SELECT user_id, event_id % 4 + 1 AS v, max(event_id) % 2000 AS m FROM events GROUP BY ALL)

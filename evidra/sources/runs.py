@@ -34,19 +34,21 @@ ERRORS = "record_type string, storage_schema_version string, run_id string, occu
 CONTEXT_KEYS = ("candidate_record_id", "screen_id", "screen_index", "operation", "attempt_index")
 
 
-def lines(spark: SparkSession, path: str, schema: str, versions: tuple[str, ...] = STORAGE_VERSIONS, extra: tuple[str, tuple[str, ...]] | None = None) -> DataFrame:
+def lines(spark: SparkSession, path: str, schema: str, versions: tuple[str, ...] = STORAGE_VERSIONS, extra: tuple[str, tuple[str, ...]] | None = None, numbered: bool = True) -> DataFrame:
     """Lines of a JSON-lines file with columns of `schema`, path and line number, and issue: why a line cannot be used.
 
     malformed (not JSON, not an object, or of other types), missing_version, invalid_version_type,
     unsupported_version, in that order, with the version's field, what it says and what is supported; unknown
-    members are ignored. Blank lines are no records.
+    members are ignored. Blank lines are no records. `numbered=False` saves counting the lines.
     """
     raw = spark.read.text(path).withColumn("path", F.col("_metadata.file_path")).withColumn("block", F.col("_metadata.file_block_start")).withColumn("at", F.monotonically_increasing_id())
-    # a line's number: its place in its part of the file, after the lines of the parts before
-    parts = raw.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select("path", "block", (before - F.col("first") + 1).alias("shift"))
-    raw = raw.join(parts, ["path", "block"]).withColumn("line", F.col("at") + F.col("shift")).where(F.trim("value") != "")
+    line = F.lit(None).cast("long")
+    if numbered:  # a line's number: its place in its part of the file, after the lines of the parts before
+        parts = raw.groupBy("path", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        parts = parts.select("path", "block", (before - F.col("first") + 1).alias("shift"))
+        raw, line = raw.join(parts, ["path", "block"]), F.col("at") + F.col("shift")
+    raw = raw.withColumn("line", line).where(F.trim("value") != "")
     whole = T._parse_datatype_string(schema)
     as_read = T.StructType([*whole.fields, T.StructField("_bad", T.StringType())])
     p = F.from_json("value", as_read, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
@@ -97,15 +99,15 @@ def matching(rows: DataFrame, run_id: str | None = None, candidate_record_id: st
 
 
 def screens(spark, run_dir: str, strict: bool = False, **want) -> DataFrame:
-    return matching(usable(lines(spark, f"{run_dir}/screens.jsonl", SCREENS), strict), **want)
+    return matching(usable(lines(spark, f"{run_dir}/screens.jsonl", SCREENS, numbered=strict), strict), **want)
 
 
 def candidates(spark, run_dir: str, strict: bool = False, **want) -> DataFrame:
-    return matching(usable(lines(spark, f"{run_dir}/candidates.jsonl", CANDIDATES, extra=("document_version", DOCUMENT_VERSIONS)), strict), **want)
+    return matching(usable(lines(spark, f"{run_dir}/candidates.jsonl", CANDIDATES, extra=("document_version", DOCUMENT_VERSIONS), numbered=strict), strict), **want)
 
 
 def errors(spark, run_dir: str, strict: bool = False, **want) -> DataFrame:
-    return matching(usable(lines(spark, f"{run_dir}/errors.jsonl", ERRORS), strict), **want)
+    return matching(usable(lines(spark, f"{run_dir}/errors.jsonl", ERRORS, numbered=strict), strict), **want)
 
 
 def manifest(spark, run_dir: str) -> DataFrame:

@@ -5,8 +5,7 @@ import math
 import duckdb
 import pytest
 
-from evidra.plans.queries import QUERIES
-from evidra.plans.sql import SQL
+from evidra.plans.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("documents", "conversations", "pages", "labels", "events")

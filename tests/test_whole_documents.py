@@ -2,7 +2,7 @@
 
 import hashlib
 
-from evidra.plans.queries import QUERIES
+from evidra.plans.registry import QUERIES
 
 
 def table(spark, path):
