@@ -267,7 +267,8 @@ def is_protected(comparison: Column, normalized: Column) -> Column:
         r"^\d+([-~–—]\d+)+(年|月|天|小时|h|%)?$",
         r"(?i)^(v|version)?\d+(\.\d+){1,}([-+._][a-z0-9]+)?$",
     )
-    found = F.lower(comparison).isin(terms) | F.lower(normalized).isin(terms) | (F.size(protected_tokens(normalized)) > 0)
+    # some protected token is there if and only if some letter or digit is that tokens can hold
+    found = normalized.rlike(r"(?U)[\w&&[\p{L}\p{N}]]") | F.lower(comparison).isin(terms) | F.lower(normalized).isin(terms)
     for s in shapes:
         found = found | comparison.rlike(s)
     return found
@@ -275,7 +276,12 @@ def is_protected(comparison: Column, normalized: Column) -> Column:
 
 def format_only(comparison: Column, normalized: Column) -> Column:
     """Not empty, not protected, and punctuation, separators and control characters only."""
-    return (comparison != "") & ~is_protected(comparison, normalized) & comparison.rlike(r"^[\p{P}\p{Z}\p{C}]+$")
+    return format_chars(comparison) & ~is_protected(comparison, normalized)
+
+
+def format_chars(comparison: Column) -> Column:
+    """Not empty, and punctuation, separators and control characters only."""
+    return comparison.rlike(r"^[\p{P}\p{Z}\p{C}]+$")
 
 
 def has_content(comparison: Column) -> Column:

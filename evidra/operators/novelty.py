@@ -224,7 +224,7 @@ def _decided(rows: DataFrame, c: dict) -> DataFrame:
     fresh = F.array_contains("new", F.col("line"))
     reason = (
         F.when(F.array_contains("uncertain", F.col("line")), "source_uncertain")
-        .when(text.format_only(F.col("_c"), F.col("_t")), "format_only").when(artifact, "duplicate_artifact").when(low, "low_confidence_noise")
+        .when(~F.col("_protected") & text.format_chars(F.col("_c")), "format_only").when(artifact, "duplicate_artifact").when(low, "low_confidence_noise")
         .when(noise, "likely_repeated_ui_noise").when(F.col("_protected"), "short_text_protected").when(unproved, "evidence_insufficient")
         .when(text.has_content(F.col("_c")), "effective_content").otherwise("evidence_insufficient")
     )

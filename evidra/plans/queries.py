@@ -33,9 +33,10 @@ def _turns(spark, sf) -> DataFrame:
 def _lines(spark, sf) -> DataFrame:
     """Documents' lines that are not blank: (doc_id, lines array<struct<t, c>>), as box text and as comparison text.
 
-    Normal forms are taken of whole texts, for line feeds neither join with others nor arise.
+    Normal forms are taken of whole texts, for line feeds neither join with others nor arise. Texts are dealt
+    anew first: a table in few large row groups would leave the work that follows to few tasks.
     """
-    d = _read(spark, sf, "documents").select("doc_id", F.split(text.normal_form(F.col("text"), "NFC"), "\n").alias("t"), F.split(text.normal_form(F.col("text"), "NFKC"), "\n").alias("c"))
+    d = _read(spark, sf, "documents").select("doc_id", "text").repartition("doc_id").select("doc_id", F.split(text.normal_form(F.col("text"), "NFC"), "\n").alias("t"), F.split(text.normal_form(F.col("text"), "NFKC"), "\n").alias("c"))
     both = F.zip_with("t", "c", lambda t, c: F.struct(text.box_text(t, normalise=False).alias("t"), text.comparison_text(c, normalise=False).alias("c")))
     return d.select("doc_id", F.filter(both, lambda x: x.t != "").alias("lines"))
 
@@ -357,7 +358,7 @@ def _word_boxes(spark, sf):
     # a word ends where the text of as many words ends
     words = F.transform(F.split("line", " "), lambda t, i: F.struct(i.alias("col"), t.alias("word"), F.length(F.call_function("substring_index", F.col("line"), F.lit(" "), i + 1)).alias("end")))
     b = w.select("doc_id", "screen_index", "row", F.inline(words)).withColumn("x", (F.col("end") - F.length("word")) * 10)
-    b = b.select("doc_id", "screen_index", F.format_string("%d:%d:%d:%d", "doc_id", "screen_index", "row", "col").alias("box_id"), F.col("word").alias("raw_text"), F.lit(0.95).alias("confidence"), F.format_string("[%d,%d,%d,%d]", F.col("x"), F.col("row") * 30, F.col("end") * 10, F.col("row") * 30 + 20).alias("bbox"), (F.col("row") * 10000 + F.col("col")).alias("original_index"))
+    b = b.select("doc_id", "screen_index", F.concat_ws(":", "doc_id", "screen_index", "row", "col").alias("box_id"), F.col("word").alias("raw_text"), F.lit(0.95).alias("confidence"), F.concat(F.lit("["), F.concat_ws(",", F.col("x"), F.col("row") * 30, F.col("end") * 10, F.col("row") * 30 + 20), F.lit("]")).alias("bbox"), (F.col("row") * 10000 + F.col("col")).alias("original_index"))
     return layout.gather(b, ("doc_id", "screen_index"))
 
 
