@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import byte_chunks, doc_key, documents, null_key, written
+from evidra.llm.common import byte_chunks, doc_key, documents, null_key, trim, written
 
 BLANKS = " \t\n\x0b\x0c\r"
 _LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
@@ -126,10 +126,20 @@ def postings(docs: DataFrame, min_chars: int = 20) -> DataFrame:
                     ids += [i] * len(own)
                 h = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(ids, pa.int64())], names=["h1", "h2", "id"])
+        trim()
 
     return docs.select(doc_key().alias("id"), "text").mapInArrow(run, "h1 long, h2 long, id long")
 
 
+def distinct_postings(docs: DataFrame, min_chars: int) -> DataFrame:
+    """postings, each once: rows of one doc_id may repeat them, so those of ids that several rows share are made distinct."""
+    rows = written(postings(docs, min_chars), "postings")
+    again = written(docs.groupBy(doc_key().alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id"), "repeated")
+    if again.isEmpty():
+        return rows
+    return written(rows.join(again, "id", "left_anti").union(rows.join(again, "id", "left_semi").distinct()).select("h1", "h2", "id"), "postings")
+
+
 class LineIndex:
     """Exact postings and reference counts of line keys, with cuckoo filters by shard over the keys that many documents share.
 
@@ -149,7 +159,7 @@ class LineIndex:
     @classmethod
     def of(cls, docs: DataFrame, min_docs: int = 3, min_chars: int = 20) -> LineIndex:
         """The index of docs (doc_id, text)."""
-        posts = written(postings(docs, min_chars).distinct(), "postings")
+        posts = distinct_postings(docs, min_chars)
         return cls(posts, written(_counted(posts), "counts"), min_docs, min_chars)
 
     def compacted(self) -> LineIndex:
@@ -205,7 +215,7 @@ class LineIndex:
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with the documents of docs added; a document that is there already gains the keys it did not have."""
-        came = written(postings(docs, self.min_chars).distinct(), "postings")
+        came = distinct_postings(docs, self.min_chars)
         known = self.posts.join(came, ["h1", "h2", "id"], "left_semi")
         came = written(came.join(known, ["h1", "h2", "id"], "left_anti"), "postings")
         touched = came.select("h1", "h2").distinct()
@@ -240,6 +250,8 @@ class LineIndex:
                             at = np.nonzero(shard == s)[0]
                             hit[at] = filters[s].contains(h1[at].astype(np.uint64))
                     yield b.filter(pa.array(hit))
+                del filters
+                trim()
 
             return posts.mapInArrow(ask, posts.schema)
         # a shard with many postings (a very common line) is dealt over several groups, each with its own copy of the filter
@@ -295,6 +307,7 @@ def _deduped(docs: DataFrame, keep: tuple[str, ...], min_docs: int, min_chars: i
                     n_lines.append(len(lines))
                     n_dropped.append(len(lines) - len(kept))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), *b.columns[3:]], names=["id", "text", "n_lines", "n_dropped", *cols])
+        trim()
 
     return both.select("id", "text", "keys", *cols).mapInArrow(run, schema)
 
