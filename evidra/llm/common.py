@@ -29,15 +29,24 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def lean() -> None:
+    """Make this process's allocator give large blocks back when they are freed: workers live on between stages, and executors count all of theirs."""
+    if hasattr(libc := ctypes.CDLL(None), "mallopt"):
+        for option, value in ((-3, 1 << 21), (-1, 1 << 22), (-8, 2)):  # M_MMAP_THRESHOLD, M_TRIM_THRESHOLD, M_ARENA_MAX
+            libc.mallopt(option, value)
+
+
 def trim() -> None:
-    """Give freed memory back to the system: workers live on between stages, and executors count all of theirs."""
+    """Give freed memory back to the system."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
         libc.malloc_trim(0)
 
 
-def byte_chunks(batch: pa.RecordBatch, text_col: int, limit: int = 1 << 20):
+def byte_chunks(batch: pa.RecordBatch, text_col: int, limit: int = 1 << 19):
     """Row ranges of an Arrow batch that hold about `limit` bytes of text each (one row at least)."""
+    lean()
     col = batch.column(text_col)
     start = size = 0
     for i in range(batch.num_rows):

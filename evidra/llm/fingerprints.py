@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import byte_chunks, doc_key, documents, null_key
+from evidra.llm.common import byte_chunks, doc_key, documents, null_key, trim
 
 #: Cells of the sketch that is stored; a retry doubles them.
 BASE_CELLS = 12
@@ -240,6 +240,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
             part.append((held[1], held[2], guest))
         if part:
             yield flush(part)
+        trim()
 
     dealt = with_next(docs).repartition("bucket").sortWithinPartitions("bucket", F.desc("guest"), "id", "h", "text").select("bucket", "id", "text", "guest")
     out = dealt.mapInArrow(run, "id long, n_chars long, edited_text string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

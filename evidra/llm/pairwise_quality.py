@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import byte_chunks, documents, written
+from evidra.llm.common import byte_chunks, documents, trim, written
 from evidra.llm.textstats import SLICE, Batch, gram_hashes, crc_rest, labelled_sample, mix64, one_label, sigmoid
 
 #: Labelled rows of each label that pairs are drawn from, the longest of them in code points, and the pairs.
@@ -111,6 +111,7 @@ def raw_scores(docs: DataFrame, model: Ranking) -> DataFrame:
             for b in byte_chunks(whole, 1):
                 raw = held.value.raw(features(Batch(b.column(1).to_pylist())))
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw)], names=["doc_id", "raw"])
+        trim()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, raw double")
 

@@ -214,6 +214,11 @@ class Codec:
         return out
 
 
+def _checked(path: str) -> bool:
+    """Hold the model against the library once, on the driver; whether workers must check every text (unigram models)."""
+    return Codec(path).library is not None
+
+
 def encode(docs: DataFrame, path: str = "piece_bpe_32k.model", decoded: bool = False) -> DataFrame:
     """(doc_id, ids array<int>, and with `decoded` decoded_text) for every row of docs (doc_id, text).
 
@@ -222,8 +227,10 @@ def encode(docs: DataFrame, path: str = "piece_bpe_32k.model", decoded: bool = F
     table gives an empty result; other columns are not read. No shuffle.
     """
 
+    check = _checked(path)
+
     def run(batches):
-        codec = Codec(path)
+        codec = Codec(path, check)
         for whole in batches:
             for b in byte_chunks(whole, 1, BATCH_BYTES):
                 ids = codec.encode([t or "" for t in b.column(1).to_pylist()])
@@ -242,8 +249,10 @@ def encode(docs: DataFrame, path: str = "piece_bpe_32k.model", decoded: bool = F
 def encode_checked(docs: DataFrame, path: str = "piece_bpe_32k.model") -> DataFrame:
     """(doc_id, n_pieces, ids, whole) for every row of docs (doc_id, text); whole: the ids decode to the text. Else as `encode`."""
 
+    check = _checked(path)
+
     def run(batches):
-        codec = Codec(path)
+        codec = Codec(path, check)
         for whole in batches:
             for b in byte_chunks(whole, 1, BATCH_BYTES):
                 texts = [t or "" for t in b.column(1).to_pylist()]
@@ -261,7 +270,7 @@ def decode(rows: DataFrame, path: str = "piece_bpe_32k.model") -> DataFrame:
     """(doc_id, text) of rows (doc_id, ids); null ids decode to ""."""
 
     def run(batches):
-        codec = Codec(path)
+        codec = Codec(path, False)
         for b in batches:
             texts = codec.decode([i or [] for i in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])

@@ -7,7 +7,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from evidra.llm.common import byte_chunks, documents
+from evidra.llm.common import byte_chunks, documents, trim
 
 #: A unit is a run of white space and what follows up to the next safe boundary: the place between a
 #: character that is not white space and a blank or line feed. No piece of a byte-level BPE pre-tokenizer
@@ -124,6 +124,8 @@ def token_counts(docs: DataFrame, path: str = "byte_bpe_50k.json", limit: int =
                     [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                     names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
                 )
+        del counter
+        trim()
 
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
