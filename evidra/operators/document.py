@@ -329,28 +329,42 @@ def projected(screen: dict, r: dict) -> dict:
     return out | dict(zip(names, values)) | {"duplicate_risk": risk}
 
 
+#: Why a stored screen is not trusted in its place.
+DISTRUST = ("duplicate_screen_id_conflict", "duplicate_formal_screen_index", "formal_screen_out_of_order")
+
+
+def distrusted(screens: list[dict]) -> dict[int, str]:
+    """Places of formal screens that are not trusted, and why.
+
+    One screen out of order (none above the index before) makes all formal screens suspect, as does a missing
+    index its own screen; a second screen of an index or another one of an id is named so.
+    """
+    formal = [k for k, s in enumerate(screens) if s["is_formal"]]
+    indexed = [k for k in formal if screens[k]["screen_index"] is not None]
+    indexes = [screens[k]["screen_index"] for k in indexed]
+    broken = any(b <= a for a, b in zip([0, *indexes], indexes))
+    why = {k: "formal_screen_out_of_order" for k in formal if broken or screens[k]["screen_index"] is None}
+    first_of_index: dict[int, int] = {}
+    first_of_id: dict[str, int] = {}
+    for k in indexed:
+        if first_of_index.setdefault(screens[k]["screen_index"], k) != k:
+            why[k] = "duplicate_formal_screen_index"
+        if screens[first_of_id.setdefault(screens[k]["screen_id"], k)] != screens[k]:
+            why[k] = "duplicate_screen_id_conflict"
+    return why
+
+
 def fold(screens: list[dict], capture_status: str | None, c: dict = config.DOCUMENT, tolerant: bool = False) -> dict:
-    """The document of a candidate's screens and each screen's result.
+    """The document of a candidate's screens and each screen's result, in the order of screens.
 
-    `tolerant` rebuilds stored candidates: screens are taken by index; those that came out of order, or whose
-    id or index was there before, are uncertain.
+    `tolerant` rebuilds stored candidates: screens are taken by index, those without one first, and the
+    distrusted ones (see above) keep all their lines as uncertain.
     """
-    f, out = Fold(c), []
-    if tolerant:
-        ids, indexes, top, forced = set(), set(), 0, {}
-        for k, s in enumerate(screens):
-            if s["is_formal"]:
-                i = s["screen_index"] or 0
-                forced[k] = "duplicate_screen_id_conflict" if s["screen_id"] in ids else "duplicate_formal_screen_index" if i in indexes else "formal_screen_out_of_order" if i < top else None
-                ids.add(s["screen_id"])
-                indexes.add(i)
-                top = max(top, i)
-        order = sorted(range(len(screens)), key=lambda k: (screens[k]["screen_index"] is None, screens[k]["screen_index"] or 0, k))
-        for k in order:
-            out.append(projected(screens[k], f.add(screens[k], forced.get(k))))
-    else:
-        out = [projected(s, f.add(s)) for s in screens]
-    return f.document(capture_status) | {"screens": out}
+    f, why, order = Fold(c), {}, list(range(len(screens)))
+    if tolerant and (why := distrusted(screens)):
+        order.sort(key=lambda k: -1 if screens[k]["screen_index"] is None else screens[k]["screen_index"])
+    done = {k: projected(screens[k], f.add(screens[k], why.get(k))) for k in order}
+    return f.document(capture_status) | {"screens": [done[k] for k in range(len(screens))]}
 
 
 RESULT = (

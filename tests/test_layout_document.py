@@ -124,8 +124,19 @@ def test_order_and_identity_of_screens():
     assert document.fold([screen(1, LINES[:2], status="failed")], None)["document_build_status"] == "failed"
     assert document.fold([screen(1, LINES[:2])], "aborted")["document_warnings"] == ["candidate_aborted"]
     assert document.fold([screen(1, ["x" * 9] * 257)], None)["screens"][0]["warnings"] == ["screen_segment_limit_exceeded"]
+
+
+def test_tolerant_fold():
     t = document.fold([screen(2, LINES[4:8]), screen(1, LINES[:5])], None, tolerant=True)
-    assert [s["screen_index"] for s in t["screens"]] == [1, 2] and t["screens"][0]["warnings"] == ["formal_screen_out_of_order"]
+    assert [(s["screen_index"], s["warnings"]) for s in t["screens"]] == [(2, ["formal_screen_out_of_order"]), (1, ["formal_screen_out_of_order"])]
+    assert [x["normalized_text"] for x in t["document_segments"]] == [*LINES[:5], *LINES[4:8]]
+    why = lambda *ss: list(document.distrusted(list(ss)).values())
+    assert why(screen(1, LINES[:2]), screen(3, LINES[:2])) == [] and why(screen(9, [], formal=False), screen(1, [])) == []
+    assert why(screen(1, LINES[:2]), screen(1, LINES[:2], sid="x"), screen(2, [])) == ["formal_screen_out_of_order", "duplicate_formal_screen_index", "formal_screen_out_of_order"]
+    assert why(screen(1, LINES[:2]), screen(2, LINES[:2], sid="s1")) == ["duplicate_screen_id_conflict"]
+    assert why(screen(None, []), screen(1, [])) == ["formal_screen_out_of_order"] and len(why(screen(0, []), screen(1, []))) == 2
+    plain = [screen(1, LINES[:6]), screen(2, LINES[4:10])]
+    assert document.fold(plain, None, tolerant=True) == document.fold(plain, None)
 
 
 def _frame(spark, candidates):
