@@ -1,15 +1,26 @@
-"""Stored results built again and compared: text, documents, similarity."""
+"""Stored results built again and compared: text, documents, similarity.
+
+What can be rebuilt, and from which configuration, is decided by columns (`document_source`, `similarity_source`);
+nothing that is stored changes.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidra import config
 from evidra.operators import document, layout, novelty
 from evidra.shared import written
 
 KEY = ("run_id", "candidate_record_id")
+#: The layers' columns of a screen: what a stored screen of a version holds of them (see `upgrade_stored`).
+LAYOUT_COLUMNS = ("normalized_text", "comparison_text", "normalization_status", "duplicate_groups")
+#: What similarity gives of a screen that is stored with it.
+SIMILARITY_COLUMNS = ("similarity_hash", "similarity_score", "exact_same", "accounting", "effective", "similarity_status", "comparison_class", "warning_codes")
+# Versions of stored records by the layers they hold.
+BOXES_ONLY, WITH_TEXT, WITH_DOCUMENT, WITH_SIMILARITY = "1.0.0", "1.1.0", "1.2.0", ("1.3.0", "1.4.0")
 
 
 def _differences(df: DataFrame, columns: dict[str, str]) -> DataFrame:
@@ -17,18 +28,47 @@ def _differences(df: DataFrame, columns: dict[str, str]) -> DataFrame:
     return df.withColumn("differences", F.array_compact(F.array(*[F.when(~F.col(a).eqNullSafe(F.col(b)), F.lit(a)) for a, b in columns.items()])))
 
 
+def _beside(stored: DataFrame, names) -> tuple[DataFrame, dict[str, str]]:
+    """stored with those of the columns that it has renamed, and their new names."""
+    there = {n: f"stored_{n}" for n in names if n in stored.columns}
+    return stored.withColumnsRenamed(there), there
+
+
 def rebuild_text(stored: DataFrame, c: dict = config.LAYOUT) -> DataFrame:
     """stored (boxes, normalized_text, comparison_text, normalization_status) beside what its boxes give now, and differences."""
-    names = ("normalized_text", "comparison_text", "normalization_status")
-    s = stored.withColumnsRenamed({n: f"stored_{n}" for n in names})
-    return _differences(layout.normalise_screens(s, c), {n: f"stored_{n}" for n in names})
+    s, there = _beside(stored, LAYOUT_COLUMNS[:3])
+    return _differences(layout.normalise_screens(s, c), there)
+
+
+def malformed_candidates(screens: DataFrame, order: str = "screen_index") -> DataFrame:
+    """KEY and malformed: formal screens, in the order stored, share an id or do not have ascending indexes from 1."""
+    formal = F.array_sort(F.collect_list(F.when(F.col("is_formal"), F.struct(F.col(order).alias("at"), "screen_id", "screen_index"))))
+    g = screens.groupBy(*KEY).agg(formal.alias("_f"))
+    ids, indexes = F.transform("_f", lambda x: x.screen_id), F.transform("_f", lambda x: x.screen_index)
+    steps = F.zip_with(F.concat(F.array(F.lit(0)), indexes), F.concat(indexes, F.array(F.lit(None).cast("int"))), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    falls = F.exists(F.slice(steps, 1, F.size("_f")), lambda x: F.coalesce(x.b <= x.a, F.lit(True)))
+    return g.select(*KEY, ((F.size(F.array_distinct(ids)) < F.size("_f")) | falls).alias("malformed"))
 
 
-def rebuild_documents(screens: DataFrame, stored: DataFrame, tolerant: bool = True) -> DataFrame:
-    """Documents of screens beside stored (KEY, document_text, document_build_status), and differences."""
-    d = document.build_documents(screens, KEY, tolerant=tolerant)
-    s = stored.select(*KEY, F.col("document_text").alias("stored_document_text"), F.col("document_build_status").alias("stored_document_build_status"))
-    return _differences(d.join(s, list(KEY), "left"), {"document_text": "stored_document_text", "document_build_status": "stored_document_build_status"})
+def rebuild_documents(screens: DataFrame, stored: DataFrame, tolerant: bool = True, order: str = "screen_index") -> DataFrame:
+    """Documents of screens beside stored documents (KEY and any columns of build_documents), whole structs compared.
+
+    differences names the columns that differ. A malformed candidate (see above) is rebuilt with its distrusted
+    screens uncertain, and issues says why; strictly it is not rebuilt: issues has DuplicateOrOutOfOrderFormalScreenError
+    and all else is null. Candidates without screens are rebuilt from none: their document differs unless it is null.
+    """
+    whole = document.build_documents(screens, KEY, order, tolerant=tolerant)
+    names = [c for c in whole.columns if c not in KEY]
+    s, there = _beside(stored.select(*KEY, *[c for c in stored.columns if c in names]), names)
+    j = s.join(whole, list(KEY), "left").join(malformed_candidates(screens, order), list(KEY), "left")
+    bad = F.coalesce("malformed", F.lit(False))
+    j = _differences(j, there)
+    why = F.filter(F.array(*map(F.lit, document.DISTRUST)), lambda w: F.array_contains("document_warnings", w))
+    none = F.array().cast("array<string>")
+    if tolerant:
+        return j.withColumn("issues", F.when(bad, why).otherwise(none)).drop("malformed")
+    j = j.withColumn("issues", F.when(bad, F.array(F.lit("DuplicateOrOutOfOrderFormalScreenError"))).otherwise(none))
+    return j.withColumns({c: F.when(~bad, F.col(c)) for c in (*names, "differences")}).drop("malformed")
 
 
 def screens_of(documents: DataFrame, extra: DataFrame) -> DataFrame:
@@ -39,8 +79,99 @@ def screens_of(documents: DataFrame, extra: DataFrame) -> DataFrame:
 
 def upgrade(boxes_screens: DataFrame, c: dict = config.LAYOUT) -> DataFrame:
     """All layers from boxes: screens (KEY, screen_id, screen_index, is_formal, boxes) to one row per screen with every layer's columns."""
-    s = written(layout.fingerprint_screens(layout.normalise_screens(boxes_screens, c)), "layout")
+    s = written(layout.read_screens(boxes_screens, c), "layout")
     s = s.withColumn("segments", F.col("lines"))
     docs = document.build_documents(s, KEY)
-    extra = s.select(*KEY, "screen_id", "normalized_text", "comparison_text", "normalization_status", "exact_hash", "fingerprint_version", "boxes", "duplicate_groups").dropDuplicates([*KEY, "screen_id"])
+    extra = s.select(*KEY, "screen_id", *LAYOUT_COLUMNS, "exact_hash", "fingerprint_version", "boxes").dropDuplicates([*KEY, "screen_id"])
     return novelty.evaluate(written(screens_of(docs, extra), "screens"))
+
+
+def rebuild_similarity(stored: DataFrame) -> DataFrame:
+    """stored screens (input of novelty.evaluate, and any of SIMILARITY_COLUMNS) evaluated again beside what was stored, and differences."""
+    s, there = _beside(stored, SIMILARITY_COLUMNS)
+    return _differences(novelty.evaluate(s), there)
+
+
+def upgrade_stored(stored: DataFrame, c: dict = config.LAYOUT, d: dict = config.DOCUMENT) -> DataFrame:
+    """Stored screens of any version with every layer's columns; each candidate passes the layers that its version lacks.
+
+    stored has KEY, storage_schema_version, screen_id, screen_index, is_formal, boxes, exact_hash, fingerprint_version,
+    and, null where a version lacks them, LAYOUT_COLUMNS, segments and the columns of document.SCREEN_RESULT.
+    1.0.0 starts from boxes, 1.1.0 from lines, 1.2.0 and later from documents; upgraded_from names the start. Other
+    versions have no rows (`similarity_source` names them).
+    """
+    v = F.col("storage_schema_version")
+    identity = ("screen_id", "screen_index", "is_formal", "segments")
+    names = [f.name for f in T._parse_datatype_string(document.SCREEN_RESULT).fields if f.name not in identity]
+    base = ("storage_schema_version", "boxes", "exact_hash", "fingerprint_version")
+    mine = [*KEY, *identity, *base, *LAYOUT_COLUMNS]
+    old = stored.where(v == BOXES_ONLY).select(*[x for x in mine if x not in (*LAYOUT_COLUMNS, "segments")])
+    text = layout.normalise_screens(old, c).withColumn("segments", F.col("lines"))
+    lined = written(text.select(*mine).unionByName(stored.where(v == WITH_TEXT).select(*mine)), "lines")
+    docs = document.build_documents(lined, KEY, c=d)
+    extra = lined.select(*KEY, "screen_id", *base, *LAYOUT_COLUMNS).dropDuplicates([*KEY, "screen_id"])
+    built = screens_of(docs, extra).select(*mine, *names)
+    kept = stored.where(v.isin(WITH_DOCUMENT, *WITH_SIMILARITY)).select(*mine, *names)
+    start = F.when(v == BOXES_ONLY, "boxes").when(v == WITH_TEXT, "lines").otherwise("documents")
+    return novelty.evaluate(written(built.unionByName(kept), "screens")).withColumn("upgraded_from", start)
+
+
+def _sourced(candidates: DataFrame, manifests: DataFrame, prefix: str, issue: Column, disabled: Column) -> DataFrame:
+    held = [x for x in manifests.columns if x != "run_id"]
+    j = candidates.join(manifests.select("run_id", F.lit(True).alias("_m"), *[F.col(x).alias(f"_{x}") for x in held]), "run_id", "left")
+    j = j.withColumn("_issue", issue)
+    late = F.col("storage_schema_version").isin(*WITH_SIMILARITY)
+    source = F.when(F.col("_issue").isNotNull(), "unavailable").when(late & disabled, "manifest_disabled").when(late, "manifest").otherwise("caller_config" if prefix == "similarity" else "caller_override")
+    return j.withColumn(f"{prefix}_source", source).withColumn(f"{prefix}_issue", F.col("_issue")).drop("_m", "_issue", *[f"_{x}" for x in held])
+
+
+def document_source(candidates: DataFrame, manifests: DataFrame, given: bool = False) -> DataFrame:
+    """candidates with document_source (manifest, manifest_disabled, caller_override, unavailable) and document_issue, why it cannot be rebuilt.
+
+    candidates has run_id, storage_schema_version, document_build_status, aggregation_config_version,
+    aggregation_config_digest, has_similarity; manifests (one row per run) run_id, storage_schema_version,
+    aggregation_mode, aggregation_config_version, aggregation_config_digest, aggregation_snapshot_digest (of the
+    configuration that it holds, null if that cannot be restored), similarity_mode. `given`: the caller names a configuration.
+    """
+    v, m = F.col("storage_schema_version"), F.col
+    off = m("_aggregation_mode").eqNullSafe("disabled")
+    same = m("_aggregation_config_digest").eqNullSafe(m("_aggregation_snapshot_digest")) & m("aggregation_config_version").eqNullSafe(m("_aggregation_config_version")) & m("aggregation_config_digest").eqNullSafe(m("_aggregation_config_digest"))
+    late = (
+        F.when(~v.eqNullSafe(m("_storage_schema_version")), "ManifestSchemaMismatchError")
+        .when(off & ~m("document_build_status").eqNullSafe("not_attempted"), "DisabledAggregationMismatchError").when(off, F.lit(None).cast("string"))
+        .when(~m("_aggregation_mode").eqNullSafe("record") | F.lit(given), "AggregationConfigOverrideError")
+        .when(m("_aggregation_snapshot_digest").isNull(), "ManifestAggregationConfigError").when(~same, "ManifestAggregationConfigMismatchError")
+        .when(m("_similarity_mode").eqNullSafe("record"), F.when(~m("has_similarity"), "ManifestSimilarityConfigMismatchError"))
+        .when(m("_similarity_mode").eqNullSafe("disabled"), F.when(m("has_similarity"), "DisabledSimilarityMismatchError"))
+        .otherwise("ManifestSimilarityModeError")
+    )
+    issue = (
+        F.when(m("_m").isNull(), "ManifestRunMismatchError").when(v.isin(*WITH_SIMILARITY), late)
+        .when(v == WITH_TEXT, None if given else "HistoricalAggregationConfigRequiredError").when(v == BOXES_ONLY, "LegacyR04ReplayRequiredError").otherwise("UnsupportedStorageSchemaError")
+    )
+    return _sourced(candidates, manifests, "document", issue, off)
+
+
+def similarity_source(candidates: DataFrame, manifests: DataFrame, similarity: bool = False, documents: bool = False, text: bool = False) -> DataFrame:
+    """candidates with similarity_source (manifest, manifest_disabled, caller_config, unavailable) and similarity_issue.
+
+    candidates has run_id, storage_schema_version, has_similarity; manifests run_id, storage_schema_version,
+    similarity_mode, similarity_config_digest, similarity_snapshot_digest. The flags say which layers' configurations the
+    caller gives: older versions need those of the layers that they lack, later ones must take their manifest's.
+    """
+    v, m = F.col("storage_schema_version"), F.col
+    off = m("_similarity_mode").eqNullSafe("disabled")
+    late = (
+        F.when(~v.eqNullSafe(m("_storage_schema_version")), "ManifestSchemaMismatchError")
+        .when(off & m("has_similarity"), "DisabledSimilarityMismatchError").when(off, F.lit(None).cast("string"))
+        .when(~m("_similarity_mode").eqNullSafe("record") | F.lit(similarity), "SimilarityConfigOverrideError")
+        .when(m("_similarity_snapshot_digest").isNull(), "ManifestSimilarityConfigError")
+        .when(~m("_similarity_config_digest").eqNullSafe(m("_similarity_snapshot_digest")), "ManifestSimilarityConfigMismatchError")
+    )
+    known = v.isin(BOXES_ONLY, WITH_TEXT, WITH_DOCUMENT)
+    issue = (
+        F.when(v.isin(*WITH_SIMILARITY), late).when(F.lit(not similarity), "HistoricalSimilarityConfigRequiredError")
+        .when((v == WITH_DOCUMENT), None).when(F.lit(not documents), "HistoricalAggregationConfigRequiredError").when(v == WITH_TEXT, None)
+        .when((v == BOXES_ONLY) & F.lit(not text), "HistoricalNormalizationConfigRequiredError").when(~known | v.isNull(), "UnsupportedStorageSchemaError")
+    )
+    return _sourced(candidates, manifests, "similarity", issue, off)

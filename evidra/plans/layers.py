@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import geometry, rules, text
-from evidra.operators import layout, novelty, screening, stopping, summaries
+from evidra.operators import document, layout, novelty, rebuild, screening, stopping, summaries
 from evidra.plans import queries as q
 from evidra.plans import sql
 from evidra.shared import shared_dir
@@ -470,3 +470,53 @@ def finished_runs(spark, sf):
     run = spark.createDataFrame([("run", "running", 0)], "run_id string, status string, screen_record_count long")
     r = runs.finished(run, e, e.select("run_id", "candidate_record_id").distinct(), e.where("event_type = 'error'"), "completed", "2024-01-01T00:00:00Z")
     return r.select("run_id", "screen_record_count", "candidate_record_count", "error_count", "status")
+
+
+# --- rebuilding ------------------------------------------------------------------------------------------------------
+
+
+@query(f"""WITH {sql._WINDOWS}, n AS (SELECT doc_id, greatest(1, ceil((len(lines) - 6) / 4.0)::BIGINT + 1) AS n FROM cut WHERE len(lines) > 0)
+SELECT doc_id, b AS block, CASE WHEN b % 2 = 1 THEN 'document_text' WHEN doc_id % 3 = 0 THEN 'screens' ELSE '' END AS differences, '' AS issues FROM n, unnest(range(0, (n + 7) // 8)) AS r(b)""")
+def rebuilt_documents(spark, sf):
+    """Documents of windows built again beside stored ones, whole: some stored texts and some stored screens are others."""
+    s = q.written(q._window_screens(spark, sf), "windows")
+    d = q.written(document.build_documents(s), "documents")
+    odd = F.split("candidate_record_id", ":")[1].cast("long") % 2 == 1
+    third = F.split("candidate_record_id", ":")[0].cast("long") % 3 == 0
+    stored = d.withColumn("document_text", F.when(odd, F.lit("other")).otherwise(F.col("document_text"))).withColumn("screens", F.when(third & ~odd, F.slice("screens", 2, 8)).otherwise(F.col("screens")))
+    r = rebuild.rebuild_documents(s, stored)
+    return q._of_candidate(r.select(*q.KEY, F.array_join("differences", ",").alias("differences"), F.array_join("issues", ",").alias("issues")))
+
+
+_MANIFESTS = """m(run_id, v, mode, held, snapshot, sim) AS (VALUES ('0', '1.4.0', 'record', 'd', 'd', 'record'), ('1', '1.4.0', 'disabled', NULL, NULL, 'disabled'), ('2', '1.3.0', 'record', 'd', NULL, 'record'), ('3', '1.4.0', 'record', 'd', 'e', 'other')),
+c AS (SELECT event_id, (user_id % 5)::VARCHAR AS run_id, ['1.0.0', '1.1.0', '1.2.0', '1.3.0', '1.4.0', '9.9.9'][(event_id % 6 + 1)::INT] AS v, event_type = 'view' AS has, CASE WHEN event_id % 7 = 0 THEN 'completed' ELSE 'not_attempted' END AS build FROM events)"""
+
+
+def _stored_candidates(spark, sf):
+    """Events as stored candidates of five runs, of which four have a manifest."""
+    i = F.col("event_id")
+    e = q._read(spark, sf, "events").select("event_id", (F.col("user_id") % 5).cast("string").alias("run_id"), F.element_at(F.array(*map(F.lit, ("1.0.0", "1.1.0", "1.2.0", "1.3.0", "1.4.0", "9.9.9"))), (i % 6 + 1).cast("int")).alias("storage_schema_version"), (F.col("event_type") == "view").alias("has_similarity"), F.when(i % 7 == 0, "completed").otherwise("not_attempted").alias("document_build_status"), F.lit("v").alias("aggregation_config_version"), F.lit("d").alias("aggregation_config_digest"))
+    rows = [("0", "1.4.0", "record", "d", "d", "record"), ("1", "1.4.0", "disabled", None, None, "disabled"), ("2", "1.3.0", "record", "d", None, "record"), ("3", "1.4.0", "record", "d", "e", "other")]
+    return e, spark.createDataFrame(rows, "run_id string, storage_schema_version string, mode string, held string, snapshot string, similarity_mode string")
+
+
+@query(f"""WITH {_MANIFESTS}, i AS (SELECT event_id, c.v, mode, CASE WHEN m.run_id IS NULL THEN 'ManifestRunMismatchError' WHEN c.v IN ('1.3.0', '1.4.0') THEN CASE WHEN c.v <> m.v THEN 'ManifestSchemaMismatchError' WHEN mode = 'disabled' THEN CASE WHEN build <> 'not_attempted' THEN 'DisabledAggregationMismatchError' END
+  WHEN snapshot IS NULL THEN 'ManifestAggregationConfigError' WHEN held <> snapshot THEN 'ManifestAggregationConfigMismatchError' WHEN sim = 'record' AND NOT has THEN 'ManifestSimilarityConfigMismatchError' END
+  WHEN c.v = '1.1.0' THEN NULL WHEN c.v = '1.0.0' THEN 'LegacyR04ReplayRequiredError' ELSE 'UnsupportedStorageSchemaError' END AS document_issue FROM c LEFT JOIN m USING (run_id))
+SELECT event_id, CASE WHEN document_issue IS NOT NULL THEN 'unavailable' WHEN v = '1.1.0' THEN 'caller_override' WHEN mode = 'disabled' THEN 'manifest_disabled' ELSE 'manifest' END AS document_source, document_issue
+FROM (SELECT event_id, v, mode, CASE WHEN v IN ('1.3.0', '1.4.0') AND document_issue IS NULL AND mode = 'record' THEN 'AggregationConfigOverrideError' WHEN document_issue IN ('ManifestAggregationConfigError', 'ManifestAggregationConfigMismatchError', 'ManifestSimilarityConfigMismatchError') THEN 'AggregationConfigOverrideError' ELSE document_issue END AS document_issue FROM i)""")
+def document_sources(spark, sf):
+    """From which configuration stored documents can be built again where the caller gives one, or why not."""
+    e, m = _stored_candidates(spark, sf)
+    m = m.select("run_id", "storage_schema_version", F.col("mode").alias("aggregation_mode"), F.lit("v").alias("aggregation_config_version"), F.col("held").alias("aggregation_config_digest"), F.col("snapshot").alias("aggregation_snapshot_digest"), "similarity_mode")
+    return rebuild.document_source(e, m, given=True).select("event_id", "document_source", "document_issue")
+
+
+@query(f"""WITH {_MANIFESTS}, i AS (SELECT event_id, c.v, sim, CASE WHEN c.v IN ('1.3.0', '1.4.0') THEN CASE WHEN m.v IS NULL OR c.v <> m.v THEN 'ManifestSchemaMismatchError' WHEN sim = 'disabled' THEN CASE WHEN has THEN 'DisabledSimilarityMismatchError' END
+  WHEN sim <> 'record' THEN 'SimilarityConfigOverrideError' WHEN snapshot IS NULL THEN 'ManifestSimilarityConfigError' WHEN held <> snapshot THEN 'ManifestSimilarityConfigMismatchError' END ELSE 'HistoricalSimilarityConfigRequiredError' END AS similarity_issue FROM c LEFT JOIN m USING (run_id))
+SELECT event_id, CASE WHEN similarity_issue IS NOT NULL THEN 'unavailable' WHEN sim = 'disabled' THEN 'manifest_disabled' ELSE 'manifest' END AS similarity_source, similarity_issue FROM i""")
+def similarity_sources(spark, sf):
+    """From which configuration stored similarity can be built again, or why not."""
+    e, m = _stored_candidates(spark, sf)
+    m = m.select("run_id", "storage_schema_version", "similarity_mode", F.col("held").alias("similarity_config_digest"), F.col("snapshot").alias("similarity_snapshot_digest"))
+    return rebuild.similarity_source(e, m).select("event_id", "similarity_source", "similarity_issue")

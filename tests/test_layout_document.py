@@ -172,10 +172,60 @@ def test_references(spark):
 
 
 def test_rebuild(spark):
-    s = _frame(spark, {"a": [screen(1, LINES[:6]), screen(2, LINES[4:10])]})
-    stored = document.build_documents(s).select(*novelty.KEY, "document_text", "document_build_status")
-    assert rebuild.rebuild_documents(s, stored).where("size(differences) > 0").count() == 0
-    assert rebuild.rebuild_documents(s, stored.withColumn("document_text", F.lit("x"))).first()["differences"] == ["document_text"]
+    s = _frame(spark, {"a": [screen(1, LINES[:6]), screen(2, LINES[4:10])], "b": [screen(1, LINES[:3]), screen(1, LINES[3:6], sid="x")], "c": [screen(2, LINES[:3])]})
+    stored = document.build_documents(s, tolerant=True)
+    again = {r["candidate_record_id"]: r for r in rebuild.rebuild_documents(s, stored).collect()}
+    assert not any(r["differences"] for r in again.values())
+    assert [again[c]["issues"] for c in "abc"] == [[], ["duplicate_formal_screen_index", "formal_screen_out_of_order"], []]
+    strict = {r["candidate_record_id"]: r for r in rebuild.rebuild_documents(s, stored, tolerant=False).collect()}
+    assert strict["b"]["issues"] == ["DuplicateOrOutOfOrderFormalScreenError"] and strict["b"]["document_text"] is None and strict["b"]["differences"] is None and strict["a"]["differences"] == []
+    other = rebuild.rebuild_documents(s, stored.withColumns({"document_text": F.lit("x"), "screens": F.slice("screens", 1, 1)})).where("candidate_record_id = 'a'")
+    assert other.first()["differences"] == ["document_text", "screens"]
+    assert rebuild.rebuild_documents(s.limit(0), stored).where("document_text is null").count() == 3
+
+
+def test_similarity_is_rebuilt(spark):
+    _, e = _layers(spark, {"a": [screen(1, LINES[:6]), screen(2, LINES[4:10])], "b": [screen(1, LINES[:4])]})
+    inputs = [c for c in e.columns if c not in (*rebuild.SIMILARITY_COLUMNS, "reference", "ref_text", "ngram_scores", "simhash", "reference_simhash", "hamming_distance", "simhash_score", "signal_warnings")]
+    stored = e.select(*inputs, *rebuild.SIMILARITY_COLUMNS)
+    assert rebuild.rebuild_similarity(stored).where("size(differences) > 0").count() == 0
+    wrong = stored.withColumn("similarity_score", F.when(F.col("screen_id") == "s2", 0.1))
+    assert {(r["screen_id"], *r["differences"]) for r in rebuild.rebuild_similarity(wrong).where("size(differences) > 0").collect()} == {("s2", "similarity_score")}
+
+
+def test_stored_screens_of_every_version_upgrade_alike(spark):
+    def with_boxes(c, i):
+        b = [box(k, f"line {i + k // 2 if k < 4 else 10 * i + k} of the page number", 0, 40 * k, w=300, poly=True) for k in range(6)]
+        return ("run", c, f"s{i}", i, True, [x | {"box_id": f"s{i}:{x['box_id']}"} for x in b])
+
+    def of(name, version):
+        rows = [with_boxes(name, i) for i in (1, 2, 3)]
+        df = spark.createDataFrame(rows, f"run_id string, candidate_record_id string, screen_id string, screen_index int, is_formal boolean, boxes array<{layout.BOX}>")
+        return df.withColumn("storage_schema_version", F.lit(version))
+
+    whole = rebuild.upgrade(of("x", "1.0.0"))
+    versions = {"a": "1.0.0", "b": "1.1.0", "c": "1.2.0", "d": "1.4.0", "e": "9.0.0"}
+    stored = None
+    for name, version in versions.items():
+        s = whole.drop("reference", "similarity_hash", "storage_schema_version").withColumn("candidate_record_id", F.lit(name)).withColumn("storage_schema_version", F.lit(version))
+        empty = {"a": [*rebuild.LAYOUT_COLUMNS, "segments"], "b": ["matched", "new", "aggregation_status"]}.get(name, [])
+        s = s.withColumns({c: F.lit(None).cast(s.schema[c].dataType) for c in empty})
+        stored = s if stored is None else stored.unionByName(s)
+    columns = ["screen_id", "similarity_score", "comparison_class", "normalized_text", "matched", "new", "warning_codes"]
+    got = {n: sorted(map(tuple, rebuild.upgrade_stored(stored).where(F.col("candidate_record_id") == n).select(*columns).collect())) for n in versions}
+    want = sorted(map(tuple, whole.select(*columns).collect()))
+    assert len(want) == 3 and all(got[n] == want for n in "abcd") and got["e"] == []
+
+
+def test_sources_of_rebuilds(spark):
+    c = spark.createDataFrame([("r", "1.4.0", False), ("r", "1.3.0", False), ("q", "1.4.0", True), ("x", "1.4.0", False), ("r", "1.2.0", False), ("r", "1.0.0", False), ("r", None, False)], "run_id string, storage_schema_version string, has_similarity boolean")
+    m = spark.createDataFrame([("r", "1.4.0", "record", "d", "d"), ("q", "1.4.0", "disabled", None, None)], "run_id string, storage_schema_version string, similarity_mode string, similarity_config_digest string, similarity_snapshot_digest string")
+    got = lambda **k: [(r["similarity_source"], r["similarity_issue"]) for r in rebuild.similarity_source(c.coalesce(1).withColumn("n", F.monotonically_increasing_id()), m, **k).orderBy("n").collect()]
+    no = lambda x: ("unavailable", x)
+    missing = no("HistoricalSimilarityConfigRequiredError")
+    assert got() == [("manifest", None), no("ManifestSchemaMismatchError"), no("DisabledSimilarityMismatchError"), no("ManifestSchemaMismatchError"), missing, missing, missing]
+    assert got(similarity=True)[0] == no("SimilarityConfigOverrideError") and got(similarity=True)[4:6] == [("caller_config", None), no("HistoricalAggregationConfigRequiredError")]
+    assert got(similarity=True, documents=True, text=True)[4:] == [("caller_config", None), ("caller_config", None), no("UnsupportedStorageSchemaError")]
 
 
 def test_repeated_furniture(spark):
