@@ -500,11 +500,9 @@ def _stored_candidates(spark, sf):
     return e, spark.createDataFrame(rows, "run_id string, storage_schema_version string, mode string, held string, snapshot string, similarity_mode string")
 
 
-@query(f"""WITH {_MANIFESTS}, i AS (SELECT event_id, c.v, mode, CASE WHEN m.run_id IS NULL THEN 'ManifestRunMismatchError' WHEN c.v IN ('1.3.0', '1.4.0') THEN CASE WHEN c.v <> m.v THEN 'ManifestSchemaMismatchError' WHEN mode = 'disabled' THEN CASE WHEN build <> 'not_attempted' THEN 'DisabledAggregationMismatchError' END
-  WHEN snapshot IS NULL THEN 'ManifestAggregationConfigError' WHEN held <> snapshot THEN 'ManifestAggregationConfigMismatchError' WHEN sim = 'record' AND NOT has THEN 'ManifestSimilarityConfigMismatchError' END
+@query(f"""WITH {_MANIFESTS}, i AS (SELECT event_id, c.v, mode, CASE WHEN m.run_id IS NULL THEN 'ManifestRunMismatchError' WHEN c.v IN ('1.3.0', '1.4.0') THEN CASE WHEN c.v <> m.v THEN 'ManifestSchemaMismatchError' WHEN mode <> 'disabled' THEN 'AggregationConfigOverrideError' WHEN build <> 'not_attempted' THEN 'DisabledAggregationMismatchError' END
   WHEN c.v = '1.1.0' THEN NULL WHEN c.v = '1.0.0' THEN 'LegacyR04ReplayRequiredError' ELSE 'UnsupportedStorageSchemaError' END AS document_issue FROM c LEFT JOIN m USING (run_id))
-SELECT event_id, CASE WHEN document_issue IS NOT NULL THEN 'unavailable' WHEN v = '1.1.0' THEN 'caller_override' WHEN mode = 'disabled' THEN 'manifest_disabled' ELSE 'manifest' END AS document_source, document_issue
-FROM (SELECT event_id, v, mode, CASE WHEN v IN ('1.3.0', '1.4.0') AND document_issue IS NULL AND mode = 'record' THEN 'AggregationConfigOverrideError' WHEN document_issue IN ('ManifestAggregationConfigError', 'ManifestAggregationConfigMismatchError', 'ManifestSimilarityConfigMismatchError') THEN 'AggregationConfigOverrideError' ELSE document_issue END AS document_issue FROM i)""")
+SELECT event_id, CASE WHEN document_issue IS NOT NULL THEN 'unavailable' WHEN v = '1.1.0' THEN 'caller_override' ELSE 'manifest_disabled' END AS document_source, document_issue FROM i""")
 def document_sources(spark, sf):
     """From which configuration stored documents can be built again where the caller gives one, or why not."""
     e, m = _stored_candidates(spark, sf)

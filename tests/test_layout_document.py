@@ -241,3 +241,18 @@ def test_repeated_furniture(spark):
 @pytest.mark.parametrize("n,chars,loaded", [(0, 0, False), (5, 29, False), (5, 30, True), (6, 1, True)])
 def test_load_gate(spark, n, chars, loaded):
     assert spark.range(1).select(layout.load_gate(F.lit(n), F.lit(chars)).alias("g")).first()["g"]["loaded"] is loaded
+
+
+def test_sources_of_documents(spark):
+    names = "run_id string, storage_schema_version string, aggregation_mode string, aggregation_config_version string, aggregation_config_digest string, aggregation_snapshot_digest string, similarity_mode string"
+    m = spark.createDataFrame([("good", "1.4.0", "record", "v", "d", "d", "record"), ("lost", "1.4.0", "record", "v", "d", None, "record"), ("other", "1.4.0", "record", "w", "d", "d", "record"), ("off", "1.4.0", "disabled", None, None, None, "disabled"), ("plain", "1.4.0", "record", "v", "d", "d", "disabled"), ("odd", "1.4.0", "record", "v", "d", "d", None)], names)
+    runs_ = ["good", "lost", "other", "off", "plain", "odd", "none"]
+    c = spark.createDataFrame([(r, "1.4.0", s, "completed" if s else "not_attempted", "v", "d") for r in runs_ for s in (True, False)], "run_id string, storage_schema_version string, has_similarity boolean, document_build_status string, aggregation_config_version string, aggregation_config_digest string")
+    got = {(r["run_id"], r["has_similarity"]): (r["document_source"], r["document_issue"]) for r in rebuild.document_source(c, m).collect()}
+    no = lambda x: ("unavailable", x)
+    yes = ("manifest", None)
+    assert got["good", True] == yes and got["good", False] == no("ManifestSimilarityConfigMismatchError")
+    assert got["lost", True] == no("ManifestAggregationConfigError") and got["other", True] == no("ManifestAggregationConfigMismatchError")
+    assert got["off", False] == ("manifest_disabled", None) and got["off", True] == no("DisabledAggregationMismatchError")
+    assert got["plain", False] == yes and got["plain", True] == no("DisabledSimilarityMismatchError")
+    assert got["odd", True] == no("ManifestSimilarityModeError") and got["none", True] == no("ManifestRunMismatchError")
