@@ -122,3 +122,18 @@ def test_protected(spark):
     got = r.select(text.is_protected(F.col("t"), F.col("t")).alias("p"), text.format_only(F.col("t"), F.col("t")).alias("f")).collect()
     assert [x["p"] for x in got] == [True] * 5 + [False] * 3
     assert [x["f"] for x in got] == [False] * 5 + [True, False, True]
+
+
+def test_functions_of_texts_work_on_pieces(monkeypatch, spark):
+    import pyarrow as pa
+
+    monkeypatch.setattr(text.F, "arrow_udf", lambda run, schema: lambda *columns: run)
+    seen = []
+    run = text.bounded("string")(lambda s: seen.append(sum(len(t or "") for t in s)) or s)("c")
+    texts = ["a" * 100_000] * 50 + [None, "", "b" * 600_000]
+    assert run(pa.array(texts)).to_pylist() == texts
+    assert len(seen) > 10 and sorted(seen)[-2] <= 1 << 18
+    parts = text._parts("c")(pa.array([None, "", "a b", "…", *texts[:9]])).to_pylist()
+    assert parts[:4] == [None, [], [{"text": "a", "is_protected": True}, {"text": " ", "is_protected": False}, {"text": "b", "is_protected": True}], [{"text": "…", "is_protected": False}]]
+    assert text._simhash("c")(pa.array(texts)).to_pylist()[50:52] == [None, None]
+    assert text._dice("a", "b")(pa.array(["abc", None]), pa.array(["abc", "x"])).to_pylist()[0]["score"] == 1.0
