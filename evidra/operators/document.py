@@ -113,13 +113,27 @@ def exact_overlap(doc: list[str], cur: list[str], c: dict):
     return 0, None, bad
 
 
+#: Bytes of an Arrow batch that become Python objects at once.
+_AT_ONCE = 1 << 20
+
+
+def pieces(batch: pa.RecordBatch, limit: int = _AT_ONCE):
+    """A batch halved until its pieces hold `limit` bytes or one row: what Python holds does not grow with the rows of a batch."""
+    if batch.num_rows > 1 and batch.nbytes > limit:
+        half = batch.num_rows // 2
+        yield from pieces(batch.slice(0, half), limit)
+        yield from pieces(batch.slice(half), limit)
+    elif batch.num_rows:
+        yield batch
+
+
 def exact_overlaps(rows: DataFrame, before: str, after: str, c: dict = config.DOCUMENT) -> DataFrame:
     """rows with overlap_lines, overlap_basis, inadmissible_lines: how the comparison texts of `before` (array) end like those of `after` begin."""
     schema = T.StructType([*rows.schema.fields, T.StructField("overlap_lines", T.IntegerType()), T.StructField("overlap_basis", T.StringType()), T.StructField("inadmissible_lines", T.IntegerType())])
     i, j = rows.columns.index(before), rows.columns.index(after)
 
     def run(batches):
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch)):
             got = [exact_overlap(x or [], y or [], c) for x, y in zip(b.column(i).to_pylist(), b.column(j).to_pylist())]
             k, basis, bad = zip(*got) if got else ((), (), ())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(k, pa.int32()), pa.array(basis, pa.string()), pa.array(bad, pa.int32())], names=schema.names)
@@ -373,27 +387,41 @@ RESULT = (
 )
 
 
+_SCREEN = ("screen_id", "screen_index", "is_formal", "normalization_status", "segments")
+
+
+def gather(screens: DataFrame, keys: tuple[str, ...] = ("run_id", "candidate_record_id"), order: str = "screen_index") -> DataFrame:
+    """One row per candidate of screens: keys, capture_status and screens, in the order of `order`."""
+    status = F.max("capture_status") if "capture_status" in screens.columns else F.lit(None).cast("string")
+    per = screens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *_SCREEN))).alias("_s"), status.alias("capture_status"))
+    return per.select(*keys, "capture_status", F.transform("_s", lambda s: F.struct(*(s[c].alias(c) for c in _SCREEN))).alias("screens"))
+
+
 def build_documents(screens: DataFrame, keys: tuple[str, ...] = ("run_id", "candidate_record_id"), order: str = "screen_index", c: dict = config.DOCUMENT, tolerant: bool = False) -> DataFrame:
     """One row per candidate of screens (keys, screen_id, screen_index, is_formal, normalization_status, segments, capture_status).
 
     `segments` is an array of SEGMENT, `order` the column by which screens came. Columns: keys and RESULT.
     """
+    return fold_candidates(gather(screens, keys, order), keys, c, tolerant)
+
+
+def fold_candidates(candidates: DataFrame, keys: tuple[str, ...] = ("run_id", "candidate_record_id"), c: dict = config.DOCUMENT, tolerant: bool = False, columns: tuple[str, ...] | None = None) -> DataFrame:
+    """build_documents of candidates whose screens are gathered (see above): no shuffle. columns: those of RESULT that are handed on (all)."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
-    cols = ["screen_id", "screen_index", "is_formal", "normalization_status", "segments"]
-    status = F.max("capture_status") if "capture_status" in screens.columns else F.lit(None).cast("string")
-    per = screens.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_order"), *cols))).alias("_screens"), status.alias("_status"))
+    status = F.col("capture_status") if "capture_status" in candidates.columns else F.lit(None).cast("string")
+    per = candidates.select(*keys, F.col("screens").alias("_screens"), status.alias("_status"))
     names = list(keys)
-    kinds = ", ".join(f"`{k}` {per.schema[k].dataType.simpleString()}" for k in keys)
-    schema = _parse_datatype_string(f"{kinds}, {RESULT}")
+    kinds = [(k, per.schema[k].dataType) for k in keys] + [(f.name, f.dataType) for f in _parse_datatype_string(RESULT).fields if columns is None or f.name in columns]
+    schema = T.StructType([T.StructField(n, t) for n, t in kinds])
 
     def run(batches):
         arrow = to_arrow_schema(schema)
-        for b in batches:
+        for b in (piece for batch in batches for piece in pieces(batch)):
             rows = []
             for r in b.to_pylist():
-                group = [{k: s[k] for k in cols} | {"segments": s["segments"] or [], "is_formal": bool(s["is_formal"])} for s in r["_screens"]]
+                group = [{k: s[k] for k in _SCREEN} | {"segments": s["segments"] or [], "is_formal": bool(s["is_formal"])} for s in r["_screens"] or []]
                 rows.append({k: r[k] for k in names} | fold(group, r["_status"], c, tolerant))
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
